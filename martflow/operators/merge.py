@@ -17,6 +17,7 @@ from martflow.operators.changes import (
     latest_changes,
     split_changes,
 )
+from martflow.operators.relational import union_by_name
 
 
 class DuplicateKeys(ValueError):
@@ -99,9 +100,9 @@ def merge(
     upserts = _aligned(target, upserts, schema)
     gone = upserts.select(*keys)
     if removed is not None and deletes == "apply":
-        gone = gone.unionByName(removed.select(*keys))
+        gone = union_by_name(gone, removed.select(*keys))
     kept = target.join(gone, list(keys), "left_anti").select(*target.columns)
-    return kept.unionByName(upserts, allowMissingColumns=schema == "evolve")
+    return union_by_name(kept, upserts, allow_missing=schema == "evolve")
 
 
 def touched_partitions(
@@ -114,7 +115,7 @@ def touched_partitions(
     """
     holding = target.select(*keys, *(b for b in by if b not in keys))
     holding = holding.join(source.select(*keys), list(keys), "left_semi").select(*by)
-    return holding.unionByName(source.select(*by)).distinct()
+    return union_by_name(holding, source.select(*by)).distinct()
 
 
 def without_partitions(df: DataFrame, predicate: Column | str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from martflow.session import plan_unions_safely
+
 # Account columns that never leave the staging layer.
 SENSITIVE = ("password", "is_superuser", "is_staff")
 
@@ -29,10 +31,16 @@ def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
 
 
+def union_by_name(a: DataFrame, b: DataFrame, allow_missing: bool = False) -> DataFrame:
+    """UNION ALL of two frames by column name."""
+    plan_unions_safely(a.sparkSession)
+    return a.unionByName(b, allowMissingColumns=allow_missing)
+
+
 def union_frames(frames: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL by name; a column missing from one frame is NULL there.
     A union by position would silently swap columns whose order drifted."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return reduce(lambda a, b: union_by_name(a, b, allow_missing=True), frames)
 
 
 def semi_join_max(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:

@@ -104,6 +104,7 @@ def access_log_batch(
     default_start: datetime | None = None,
     missing: str = "error",
     mode: str = "merge_partitions",
+    by: Sequence[str] = LOG_PARTS,
 ) -> dict | None:
     """Parse the log hours from the bookmark's hour to now, and advance it.
 
@@ -116,6 +117,6 @@ def access_log_batch(
     rows, seen = observe_newest(
         parse_access_log(lines).withColumn("_at", as_timestamp("timestamp")), "_at"
     )
-    written = write_partitions(rows.drop("_at"), parsed, LOG_PARTS, mode=mode)
+    written = write_partitions(rows.drop("_at"), parsed, by, mode=mode)
     bookmarks.advance(name, seen.get["newest"], now)
     return written

@@ -19,6 +19,7 @@ from graphlib import TopologicalSorter
 from pyspark.sql import DataFrame, SparkSession
 
 from martflow.operators.checks import assert_checks
+from martflow.operators.relational import union_by_name
 from martflow.plans.incremental import check_schema, incremental_append, incremental_merge
 from martflow.sinks.tables import ensure_database, publish
 
@@ -153,7 +154,7 @@ class Project:
         new = check_schema(target, rows, model.on_schema_change)
         table = self.table_name(model)
         if set(new.columns) != set(target.columns):
-            publish(target.unionByName(new, allowMissingColumns=True), table, self.root)
+            publish(union_by_name(target, new, allow_missing=True), table, self.root)
             return
         # Appending adds files to a folder the plan reads its newest time from;
         # the plan has listed that folder before the first file appears.

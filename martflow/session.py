@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
 # Defaults for a session this package starts itself.  A session that already
 # exists keeps its own settings: nothing below is applied to it.
 DEFAULTS = {
@@ -16,6 +18,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    UNION_PARTITIONING: "false",
     # A lost executor must not fail the job.
     "spark.task.maxFailures": "8",
     "spark.stage.maxConsecutiveAttempts": "10",
@@ -35,6 +38,19 @@ def build_session(app: str = "martflow", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
+def plan_unions_safely(spark: SparkSession) -> None:
+    """Keep Spark from deriving a partitioning for unions.
+
+    Spark 4.1 may plan a union of equally partitioned inputs as a zip of their
+    tasks and then fail at run time, when adaptive execution has given them
+    different numbers of tasks ("Can't zip RDDs with unequal numbers of
+    partitions").  A merge is such a union.  Without the derived partitioning the
+    rows are the same, and a later exchange may be needed.
+    """
+    if spark.conf.get(UNION_PARTITIONING, None) != "false":
+        spark.conf.set(UNION_PARTITIONING, "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach, as named by the cluster.
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from martflow import storage
 from martflow.operators.changes import latest_changes
+from martflow.operators.relational import union_by_name
 from martflow.session import shared_dir
 
 MODES = ("overwrite_partitions", "overwrite", "append", "merge_partitions")
@@ -135,7 +136,7 @@ def write_partitions(
     try:
         old = read_partitioned(df.sparkSession, path, df, fmt)
         touched = in_partitions(old, by, partition_names(df, by))
-        merged = _one_version(touched.unionByName(df), keys, ts, tie_break)
+        merged = _one_version(union_by_name(touched, df), keys, ts, tie_break)
         return replace_partitions(merged, path, by, batch_id, fmt=fmt)
     finally:
         df.unpersist()
@@ -156,7 +157,7 @@ def _one_version(
     for c in [*keys, ts]:
         unknown = unknown | F.col(c).isNull()
     newest = latest_changes(df, keys, ts, ties="one", tie_break=tie_break)
-    return newest.unionByName(df.where(unknown).distinct())
+    return union_by_name(newest, df.where(unknown).distinct())
 
 
 def drop_partitions(

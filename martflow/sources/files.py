@@ -49,17 +49,30 @@ def _hour_of(folder: str) -> datetime:
     return datetime(*(int(parts[name]) for name in HOUR_PARTS))
 
 
-def _hour_folders(spark: SparkSession, root: str, hours: Iterable[datetime]) -> dict:
-    """Existing folder of each hour; one listing per day.  Month, day and hour
-    may be written with or without a leading zero."""
-    found = {}
+def _hour_folders(spark: SparkSession, root: str, hours: list[datetime]) -> list[tuple]:
+    """``(hour, folder)`` of every hour folder of the days in range; one listing per
+    day.  Month, day and hour may be written with or without a leading zero."""
+    found = []
     for day, _ in groupby(hours, key=lambda h: h.date()):
         month, date = (f"{{{n:02d},{n}}}" for n in (day.month, day.day))
         pattern = f"{root}/year={day.year}/month={month}/day={date}/hour=*"
-        found |= {_hour_of(f): f for f in storage.folders(spark, pattern)}
+        found += [(_hour_of(f), f) for f in storage.folders(spark, pattern)]
     return found
 
 
+def _paths(found: list[tuple], wanted: set[datetime]) -> list[str]:
+    """Folders to open: a day's own folder when all its hours are wanted, so a long
+    range stays a short list."""
+    paths = []
+    for day, hours in groupby(found, key=lambda f: f[1].rsplit("/", 1)[0]):
+        inside = [(h in wanted, folder) for h, folder in hours]
+        if all(ok for ok, _ in inside):
+            paths.append(day)
+        else:
+            paths += [folder for ok, folder in inside if ok]
+    return paths
+
+
 def scan_hours(
     spark: SparkSession,
     root: str,
@@ -77,12 +90,13 @@ def scan_hours(
     """
     root = root.rstrip("/")
     hours = hours_between(since, until)
-    folders = _hour_folders(spark, root, hours)
-    absent = [h for h in hours if h not in folders]
+    found = _hour_folders(spark, root, hours)
+    there = {hour for hour, _ in found}
+    absent = [h for h in hours if h not in there]
     if absent and missing == "error":
         raise MissingFolders(f"{len(absent)} hours missing under {root}, first {absent[0]}")
     declared = _schema(schema or (LOG_LINE_SCHEMA if fmt == "json" else None))
-    paths = [folders[h] for h in hours if h in folders]
+    paths = _paths(found, set(hours))
     if not paths:
         if declared is None:
             raise MissingFolders(f"no hour folder under {root} and no schema given")

@@ -44,7 +44,7 @@ def _landed_lines(spark, sf, root):
     """Raw lines in hour folders by arrival time, as a landing writes them."""
     rows = streaming.hourly_rows(access_lines(spark, sf), "ts", tz="UTC")
     rows = rows.select("@timestamp", "log", *_HOURS)
-    sinks.write_partitions(rows, root, _HOURS, mode="overwrite", fmt="json")
+    rows.repartition(8, *_HOURS).write.partitionBy(*_HOURS).json(root)
 
 
 # --- scans -----------------------------------------------------------------
@@ -63,10 +63,11 @@ def scan_hours_json(spark, sf):
 
 @query("scan_hours_parquet", "SELECT event_id, user_id, event_type, ts FROM events")
 def scan_hours_parquet(spark, sf):
-    """SRC-2, SNK-4."""
+    """SRC-2."""
     root = scratch_dir(spark, "raw-events")
     events = given(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
-    sinks.write_partitions(with_partitions(events, "ts"), root, _HOURS, mode="overwrite")
+    landed = with_partitions(events, "ts")
+    landed.repartition(8, *_HOURS).write.partitionBy(*_HOURS).parquet(root)
     found = sources.scan_hours(spark, root, *_MONTH, fmt="parquet", missing="skip")
     return found.drop(*_HOURS)
 
@@ -81,7 +82,7 @@ def prune_hours(spark, sf):
     """SRC-1, SRC-10: range of hours of a table, by partition pruning."""
     root = scratch_dir(spark, "events")
     events = with_partitions(given(spark, sf, "events").select("event_id", "ts"), "ts")
-    sinks.write_partitions(events, root, _HOURS, mode="overwrite")
+    events.repartition(8, *_HOURS).write.partitionBy(*_HOURS).parquet(root)
     table = sources.scan_full(spark, root)
     kept = sources.prune_hours(table, datetime(2024, 1, 10, 5), datetime(2024, 1, 20, 17))
     return kept.select("event_id", "ts")
@@ -239,7 +240,7 @@ SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE year(o_orderdate)
 UNION ALL SELECT o_orderkey, o_orderdate, o_totalprice + 1 FROM orders WHERE year(o_orderdate) > 1999""",
 )
 def overwrite_partitions(spark, sf):
-    """SNK-1: only the batch's partitions are replaced."""
+    """SNK-1, SNK-4: only the batch's partitions are replaced."""
     root = scratch_dir(spark, "orders")
     orders = given(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     orders = with_partitions(orders, "o_orderdate", "year")
@@ -452,7 +453,15 @@ def access_log_job(spark, sf):
     state = sources.Bookmarks(spark, scratch_dir(spark, "bookmarks"))
     for now in (datetime(2024, 1, 16, 12), _MONTH[1]):
         jobs.access_log_batch(
-            spark, raw, out, state, "access_log", now, default_start=_MONTH[0], missing="skip"
+            spark,
+            raw,
+            out,
+            state,
+            "access_log",
+            now,
+            default_start=_MONTH[0],
+            missing="skip",
+            by=_HOURS[:3],
         )
     return sources.scan_full(spark, out)
 
@@ -633,7 +642,7 @@ def sink_hourly(spark, sf):
     out, checkpoint = scratch_dir(spark, "landed"), scratch_dir(spark, "progress")
     landing = scratch_dir(spark, "landing")
     events = given(spark, sf, "events").select("event_id", "ts")
-    events.write.parquet(landing)
+    events.repartitionByRange(8, "ts").write.parquet(landing)
     stream = spark.readStream.schema(events.schema).parquet(landing)
     streaming.sink_hourly(
         stream, out, checkpoint, "ts", fmt="parquet", max_records=1_000_000, once=True
