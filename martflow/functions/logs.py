@@ -45,6 +45,12 @@ LOG_COLUMNS = (
 )
 
 
+def _number(text: Column, type_: str = "int") -> Column:
+    """Text to a number.  Empty text, the usual case, is made NULL first: a failing
+    cast costs an exception per row."""
+    return F.nullif(text, F.lit("")).try_cast(type_)
+
+
 def query_params(
     url: Column | str, names: Sequence[str] = QUERY_IDS, type_: str = "int", anchored: bool = True
 ) -> dict[str, Column]:
@@ -56,7 +62,7 @@ def query_params(
     u = F.col(url) if isinstance(url, str) else url
     lead = "[?&]" if anchored else ""
     return {
-        name: F.regexp_extract(u, rf"{lead}{name}=(\d+)", 1).try_cast(type_) for name in names
+        name: _number(F.regexp_extract(u, rf"{lead}{name}=(\d+)", 1), type_) for name in names
     }
 
 
@@ -77,7 +83,7 @@ def parse_access_log(
         name: F.regexp_extract(F.col(col), pattern, 1) for name, pattern in LOG_PATTERNS.items()
     }
     for name in NUMERIC_FIELDS:
-        fields[name] = fields[name].try_cast("int")
+        fields[name] = _number(fields[name])
     parsed = lines.select(*keep, *(c.alias(name) for name, c in fields.items()))
     parsed = parsed.withColumns(query_params("endpoint", anchored=anchored))
     parsed = parsed.select(*keep, *LOG_COLUMNS)

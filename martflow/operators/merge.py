@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from martflow.operators.changes import (
     CONTROL_COLUMNS,
+    DELETE,
+    INSERT,
     duplicate_keys,
     latest_changes,
     split_changes,
@@ -44,7 +46,7 @@ def _aligned(target: DataFrame, upserts: DataFrame, schema: str) -> DataFrame:
 
 
 def _not_stale(target: DataFrame, source: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Source rows at least as new as the target's row of the same key.
+    """Source rows at least as new as the target's rows of the same key.
 
     Only keys and times of the target are read, and only those the source also
     has go on, so what is aggregated is bounded by the source.
@@ -59,6 +61,23 @@ def _not_stale(target: DataFrame, source: DataFrame, keys: Sequence[str], ts: st
     return source.join(theirs, list(keys), "left").where(newer).select(*source.columns)
 
 
+def _kept(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], ts: str | None
+) -> DataFrame:
+    """Target rows that no source row replaces or deletes.  One pass over the target;
+    the source gives its keys and, when time decides, its times."""
+    theirs = source.select(
+        *(F.col(k).alias(f"_s_{i}") for i, k in enumerate(keys)),
+        *([F.col(ts).alias("_s_ts")] if ts else []),
+    )
+    on = reduce(
+        lambda a, b: a & b, (F.col(k) == F.col(f"_s_{i}") for i, k in enumerate(keys))
+    )
+    if ts:
+        on = on & (F.col(ts).isNull() | (F.col("_s_ts") >= F.col(ts)))
+    return target.join(theirs, on, "left_anti")
+
+
 def merge(
     target: DataFrame,
     source: DataFrame,
@@ -79,7 +98,8 @@ def merge(
       ``"latest"`` takes the newest by ``newer_than``; ``"trust"`` skips the check
       when the caller has just selected one row per key.
     - ``newer_than`` names a version column: a source row older than the target's
-      is ignored, so reading an overlap twice is harmless.
+      is ignored, so reading an overlap twice is harmless.  If the target repeats a
+      key, copies older than the source row go in any case.
     - ``schema="evolve"`` adds the source's new columns to the table and fills
       columns the source has lost with NULL.
 
@@ -91,17 +111,15 @@ def merge(
         source = latest_changes(source, keys, newer_than, ties="one", tie_break=tie_break)
     elif on_duplicate == "error":
         require_unique(source, keys)
-    if newer_than is not None:
-        source = _not_stale(target, source, keys, newer_than)
-    if op in source.columns:
-        upserts, removed = split_changes(source, op, [op, *control])
+    if deletes == "ignore" and op in source.columns:
+        source = source.where(F.coalesce(F.col(op), F.lit(INSERT)) != DELETE)
+    kept = _kept(target, source, keys, newer_than)
+    fresh = source if newer_than is None else _not_stale(target, source, keys, newer_than)
+    if op in fresh.columns:
+        upserts, _ = split_changes(fresh, op, [op, *control])
     else:
-        upserts, removed = source.drop(*control), None
+        upserts = fresh.drop(*control)
     upserts = _aligned(target, upserts, schema)
-    gone = upserts.select(*keys)
-    if removed is not None and deletes == "apply":
-        gone = union_by_name(gone, removed.select(*keys))
-    kept = target.join(gone, list(keys), "left_anti").select(*target.columns)
     return union_by_name(kept, upserts, allow_missing=schema == "evolve")
 
 
