@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
 from martflow.operators.changes import (
     CONTROL_COLUMNS,
@@ -22,6 +23,10 @@ from martflow.operators.changes import (
 from martflow.operators.relational import union_by_name
 
 
+# Key types whose values survive the way to the driver and back unchanged.
+_RANGED = (ByteType, ShortType, IntegerType, LongType, StringType)
+
+
 class DuplicateKeys(ValueError):
     """The batch holds several rows for one key."""
 
@@ -123,6 +128,21 @@ def merge(
     return union_by_name(kept, upserts, allow_missing=schema == "evolve")
 
 
+def in_key_range(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """Target rows whose key lies between the source's smallest and largest.
+
+    Runs one aggregate of the source.  The bounds are plain values, so the scan
+    skips row groups by their statistics: where keys grow with time, a batch of
+    recent changes reads the recent part of a table only.
+    """
+    if not isinstance(source.schema[key].dataType, _RANGED):
+        return target
+    low, high = source.agg(F.min(key), F.max(key)).head()
+    if low is None:
+        return target.where(F.lit(False))
+    return target.where(F.col(key).between(low, high))
+
+
 def touched_partitions(
     target: DataFrame, source: DataFrame, keys: Sequence[str], by: Sequence[str]
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martflow import storage
 from martflow.operators.changes import CONTROL_COLUMNS, DELETE
-from martflow.operators.merge import merge, touched_partitions
+from martflow.operators.merge import in_key_range, merge, touched_partitions
 from martflow.session import scratch_dir
 from martflow.sinks.writers import (
     delete_partitions,
@@ -50,7 +50,8 @@ def upsert_path(
         # Folder names carry no types: partition columns take the batch's.
         types = {f.name: f.dataType for f in source.schema if f.name in by}
         target = target.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
-        names = partition_names(touched_partitions(target, source, keys, by), by)
+        candidates = in_key_range(target, source, keys[0])
+        names = partition_names(touched_partitions(candidates, source, keys, by), by)
         result = merge(
             in_partitions(target, by, names), source, keys, schema=schema, **rules
         )

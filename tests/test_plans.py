@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from martflow import sinks, sources
 from martflow.functions import with_partitions
 from martflow.operators import latest_changes, merge
+from martflow.operators.merge import in_key_range
 from martflow.plans import marts
 from martflow.sinks import writers
 from tests.conftest import rows_of
@@ -213,3 +214,11 @@ def test_conversion_of_a_repeated_dimension_key(spark, at):
         (1, 2, 1, "20240101"),
         (2, 0, 0, None),
     ]
+
+
+def test_key_range_reaches_the_scan(spark, orders):
+    source = orders.where("o_orderkey between 100 and 120").cache()
+    near = in_key_range(orders, source, "o_orderkey")
+    assert "LessThanOrEqual(o_orderkey,120)" in plan(near) and near.count() == 21
+    assert in_key_range(orders, source.where("false"), "o_orderkey").isEmpty()
+    assert in_key_range(orders, source, "o_orderdate").count() == orders.count()
