@@ -24,8 +24,9 @@ def as_timestamp(text: Column | str) -> Column:
 
 
 def day_of(ts: Column | str) -> Column:
-    """Truncate to the day, as ``timestamp_ntz`` (``date_trunc`` alone changes the type)."""
-    return F.date_trunc("day", _col(ts)).cast("timestamp_ntz")
+    """Truncate to the day, as ``timestamp_ntz``.  ``date_trunc`` would go through the
+    session's time zone and change the type."""
+    return _col(ts).cast("date").cast("timestamp_ntz")
 
 
 def with_partitions(df: DataFrame, ts: str, grain: str = "hour") -> DataFrame:

@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
+from martflow.operators.changes import changed_since
 from martflow.operators.merge import SchemaMismatch, merge
 
 
 def incremental_append(
-    target: DataFrame, source: DataFrame, ts: str, inclusive: bool = False
+    target: DataFrame,
+    source: DataFrame,
+    ts: str,
+    inclusive: bool = False,
+    high: datetime | None = None,
 ) -> DataFrame:
     """Source rows newer than the target's newest row.
 
     Strictly newer: rows of the same instant count as seen.  ``inclusive=True``
     lets them in again, for a target that removes repeats.  An empty target has no
-    newest row and admits everything.
+    newest row and admits everything.  ``high`` gives the newest time when a bookmark
+    holds it: the target is not read then, and the filter reaches the source's scan.
     """
-    high = target.select(F.max(ts)).scalar()
-    newer = F.col(ts) >= high if inclusive else F.col(ts) > high
-    return source.where(newer | high.isNull())
+    if high is not None:
+        return source.where(changed_since(ts, high, inclusive))
+    mark = target.select(F.max(ts)).scalar()
+    newer = F.col(ts) >= mark if inclusive else F.col(ts) > mark
+    return source.where(newer | mark.isNull())
 
 
 def incremental_merge(

@@ -103,20 +103,36 @@ def access_log_batch(
     now: datetime,
     default_start: datetime | None = None,
     missing: str = "error",
-    mode: str = "merge_partitions",
+    mode: str = "by_arrival",
     by: Sequence[str] = LOG_PARTS,
 ) -> dict | None:
     """Parse the log hours from the bookmark's hour to now, and advance it.
 
-    Hours are read by arrival and written by event time.  With the default mode a
-    late line adds to its hour; ``mode="overwrite_partitions"`` would replace it.
+    Hours are read by arrival and written by event time.  Three ways to write:
+
+    - ``by_arrival`` (default): each event hour is divided further by the hour its
+      lines arrived in (``arrived``, ``yyyyMMddHH``), and a run replaces exactly what
+      it read again.  Late lines add to their hour, a repeated run changes nothing,
+      equal lines all stay, and no stored row is read.
+    - ``merge_partitions``: no ``arrived`` column; event hours become *existing union
+      new*, and equal lines count as one.
+    - ``overwrite_partitions``: event hours are replaced by what was read, so a late
+      line removes the rest of its hour.
+
     Without a bookmark the run starts at ``default_start``, or now.
     """
     since = bookmarks.get(name, default_start or now)
     lines = scan_hours(spark, raw, since, now, missing=missing)
-    rows, seen = observe_newest(
-        parse_access_log(lines).withColumn("_at", as_timestamp("timestamp")), "_at"
-    )
-    written = write_partitions(rows.drop("_at"), parsed, by, mode=mode)
+    parts = [F.lpad(F.col(p).cast("string"), 4 if p == "year" else 2, "0") for p in LOG_PARTS]
+    lines = lines.select("log", F.concat(*parts).alias("arrived"))
+    if mode == "by_arrival":
+        keep, by, how = ["arrived"], [*by, "arrived"], "overwrite_partitions"
+    else:
+        keep, how = [], mode
+    rows = parse_access_log(lines, keep=keep).withColumn("_at", as_timestamp("timestamp"))
+    rows, seen = observe_newest(rows, "_at")
+    # Lines of one arrival hour come from the same files, so they need no exchange.
+    together = mode == "by_arrival"
+    written = write_partitions(rows.drop("_at"), parsed, by, mode=how, cluster=not together)
     bookmarks.advance(name, seen.get["newest"], now)
     return written

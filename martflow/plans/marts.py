@@ -319,9 +319,9 @@ def product_conversion_percent(
     ``ordered`` sorts by date and rate, both descending, for a report; a sort
     before a partitioned write would be undone by it.
     """
-    date = F.date_format("timestamp", "yyyyMMdd").alias("_date")
+    date = F.date_format(F.to_date("timestamp"), "yyyyMMdd").alias("_date")
     views = _daily(logs, ["product_id"], date, F.count(F.lit(1)).alias("_views"))
-    date = F.date_format("order_dt", "yyyyMMdd").alias("_date")
+    date = F.date_format(F.to_date("order_dt"), "yyyyMMdd").alias("_date")
     bought = _daily(orders, ["product_id"], date, F.count(F.lit(1)).alias("_orders"))
     bought = bought.withColumn("order_date", F.col("_date"))
     joined = products.join(views, "product_id", "left").join(

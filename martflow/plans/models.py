@@ -21,7 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from martflow.operators.checks import assert_checks
 from martflow.operators.relational import union_by_name
 from martflow.plans.incremental import check_schema, incremental_append, incremental_merge
-from martflow.sinks.tables import ensure_database, publish
+from martflow.sinks.merging import upsert_path
+from martflow.sinks.tables import ensure_database, layout, publish
+from martflow.sinks.writers import write_partitions
+from martflow.sources.catalog import discover_table
 
 MATERIALIZED = ("view", "table", "ephemeral", "append", "merge")
 
@@ -35,6 +38,9 @@ class Model:
     layer: str
     ts: str | None = None
     keys: Sequence[str] = ()
+    partition_by: Sequence[str] = ()
+    sort: Sequence[str] = ()
+    cluster: Sequence[str] = ()
     on_schema_change: str = "fail"
     checks: Sequence[Callable[[DataFrame], DataFrame]] = ()
     options: dict = field(default_factory=dict)
@@ -64,7 +70,10 @@ class Project:
 
     ``view`` and ``ephemeral`` models stay plans (a view also gets a name for SQL
     text); ``table``, ``append`` and ``merge`` are stored under ``root`` and
-    registered in one database per layer.
+    registered in one database per layer.  A table published as a whole is laid out
+    by ``cluster`` and ``sort``.  An ``append`` or ``merge`` model with
+    ``partition_by`` lives in one partitioned folder, and a run rewrites only the
+    partitions it touches.
     """
 
     def __init__(self, spark: SparkSession, root: str, prefix: str = ""):
@@ -139,19 +148,41 @@ class Project:
         if model.materialized == "view":
             rows.createOrReplaceTempView(f"{self.prefix}{model.layer}_{model.name}")
             return rows
-        if not incremental:
-            publish(rows, table, self.root)
+        if model.partition_by and model.materialized != "table":
+            self._store_partitioned(model, context, rows)
+        elif not incremental:
+            self._publish(model, rows)
         elif model.materialized == "append":
             self._append(model, context.this, rows)
         else:
             merged = incremental_merge(context.this, rows, model.keys, **model.options)
-            publish(merged, table, self.root)
+            self._publish(model, merged)
         return self.spark.table(table)
 
-    def _append(self, model: Model, target: DataFrame, rows: DataFrame) -> None:
+    def _publish(self, model: Model, rows: DataFrame) -> None:
+        laid_out = layout(rows, model.sort, model.cluster)
+        publish(laid_out, self.table_name(model), self.root)
+
+    def _store_partitioned(self, model: Model, context: Context, rows: DataFrame) -> None:
+        by, table = model.partition_by, self.table_name(model)
+        path = f"{self.root.rstrip('/')}/{table.replace('.', '/')}"
+        if not context.is_incremental:
+            write_partitions(rows, path, by, mode="overwrite")
+        elif model.materialized == "append":
+            new = self._new_rows(model, context.this, rows)
+            write_partitions(new, path, by, mode="append")
+        else:
+            known = [c for c in rows.columns if c in context.this.columns or c == "Op"]
+            upsert_path(self.spark, path, rows.select(*known), model.keys, by, **model.options)
+        discover_table(self.spark, path, table)
+
+    def _new_rows(self, model: Model, target: DataFrame, rows: DataFrame) -> DataFrame:
         if model.ts:
             rows = incremental_append(target, rows, model.ts)
-        new = check_schema(target, rows, model.on_schema_change)
+        return check_schema(target, rows, model.on_schema_change)
+
+    def _append(self, model: Model, target: DataFrame, rows: DataFrame) -> None:
+        new = self._new_rows(model, target, rows)
         table = self.table_name(model)
         if set(new.columns) != set(target.columns):
             publish(union_by_name(target, new, allow_missing=True), table, self.root)

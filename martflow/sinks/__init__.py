@@ -4,6 +4,7 @@ from martflow.sinks.tables import (
     drop_table,
     ensure_database,
     insert_into,
+    layout,
     list_databases,
     list_tables,
     publish,
@@ -26,6 +27,7 @@ __all__ = [
     "drop_table",
     "ensure_database",
     "insert_into",
+    "layout",
     "list_databases",
     "list_tables",
     "native_merge",

@@ -102,6 +102,15 @@ def publish(df: DataFrame, name: str, root: str) -> str:
     return location
 
 
+def layout(
+    df: DataFrame, sort: Sequence[str] = (), cluster: Sequence[str] = ()
+) -> DataFrame:
+    """Bring rows of equal ``cluster`` columns together and sort inside each task, so
+    that files have narrow value ranges.  A hot value is split over several tasks."""
+    rows = df.hint("rebalance", *cluster) if cluster else df
+    return rows.sortWithinPartitions(*sort) if sort else rows
+
+
 def write_bucketed(
     df: DataFrame,
     name: str,

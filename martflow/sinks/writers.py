@@ -76,9 +76,12 @@ def replace_partitions(
     batch_id: str | None = None,
     track: bool = False,
     fmt: str = "parquet",
+    cluster: bool = True,
 ) -> dict:
     """Replace the partitions present in ``df``; others stay.
 
+    ``cluster=False`` writes without an exchange, for rows that already lie together.
+
     ``df`` may be read from ``path`` itself.  Returns the number of ``rows``, and
     with ``track`` the names of the ``partitions`` written, both observed during
     the write.
@@ -88,7 +91,7 @@ def replace_partitions(
     metrics = [F.count(F.lit(1)).alias("rows")]
     if track:
         metrics.append(F.collect_set(_name(by)).alias("partitions"))
-    rows = cluster_for_write(df, by)
+    rows = cluster_for_write(df, by) if cluster else df
     if batch_id is None:
         _write(rows.observe(seen, *metrics), path, by, "overwrite", True, fmt)
         return seen.get
@@ -112,6 +115,7 @@ def write_partitions(
     tie_break: Sequence[str | Column] = (),
     batch_id: str | None = None,
     fmt: str = "parquet",
+    cluster: bool = True,
 ) -> dict | None:
     """Write a batch into a folder partitioned by ``by``.
 
@@ -126,18 +130,19 @@ def write_partitions(
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if mode in ("overwrite", "append"):
-        _write(cluster_for_write(df, by), path, by, mode, False, fmt)
+        rows = cluster_for_write(df, by) if cluster else df
+        _write(rows, path, by, mode, False, fmt)
         return None
     if mode == "overwrite_partitions" or not storage.exists(df.sparkSession, path):
         rows = df if mode == "overwrite_partitions" else _one_version(df, keys, ts, tie_break)
-        return replace_partitions(rows, path, by, batch_id, fmt=fmt)
+        return replace_partitions(rows, path, by, batch_id, fmt=fmt, cluster=cluster)
     # The batch is used twice, to find its partitions and to write them.
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         old = read_partitioned(df.sparkSession, path, df, fmt)
         touched = in_partitions(old, by, partition_names(df, by))
         merged = _one_version(union_by_name(touched, df), keys, ts, tie_break)
-        return replace_partitions(merged, path, by, batch_id, fmt=fmt)
+        return replace_partitions(merged, path, by, batch_id, fmt=fmt, cluster=cluster)
     finally:
         df.unpersist()
 

@@ -55,8 +55,11 @@ def register_external(
 
 
 def discover_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> None:
-    """Create a table over existing files: schema and partition columns are read
-    from the folder, and its partitions are registered.  Marker files are ignored."""
+    """Create a table over existing files, or bring its list of partitions up to date.
+
+    Schema and partition columns are read from the folder; marker files are ignored.
+    """
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING {fmt} LOCATION '{root}'")
     if any(c.isPartition for c in spark.catalog.listColumns(name)):
-        spark.catalog.recoverPartitions(name)
+        spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+    spark.catalog.refreshTable(name)

@@ -443,11 +443,11 @@ def bookmarks(spark, sf):
 
 @query(
     "access_log_job",
-    f"WITH {LOGS_SQL} SELECT DISTINCT {LOG_FIELDS_SQL}, {LOG_PARTS_SQL} FROM logs",
+    f"WITH {LOGS_SQL} SELECT {LOG_FIELDS_SQL}, {LOG_PARTS_SQL} FROM logs",
 )
 def access_log_job(spark, sf):
     """The log batch, run twice: to mid-month, then from its bookmark to the end.
-    The second run reads its first hour again and keeps one copy of each line."""
+    The second run reads its first hour again and replaces it by itself."""
     raw, out = scratch_dir(spark, "raw-log"), scratch_dir(spark, "parsed-log")
     _landed_lines(spark, sf, raw)
     state = sources.Bookmarks(spark, scratch_dir(spark, "bookmarks"))
@@ -463,7 +463,7 @@ def access_log_job(spark, sf):
             missing="skip",
             by=_HOURS[:3],
         )
-    return sources.scan_full(spark, out)
+    return sources.scan_full(spark, out).drop("arrived")
 
 
 @query(
@@ -544,6 +544,7 @@ def layered_models(spark, sf):
         refs=["orders"],
         materialized="merge",
         keys=["order_id"],
+        partition_by=["product_id"],
         checks=[
             lambda df: op.check_unique(df, "order_id"),
             lambda df: op.check_not_null(df, "customer_id"),
@@ -557,6 +558,8 @@ def layered_models(spark, sf):
         refs=["fact_accesslog", "fact_orders", "dim_product"],
         materialized="table",
         layer="info",
+        cluster=["product_id"],
+        sort=["product_id", "view_date"],
     )
     def _(ctx):
         return marts.product_conversion_daily(
@@ -707,6 +710,18 @@ def topic_rows(spark, sf):
     return view.select("kafka_offset", "kafka_timestamp", k)
 
 
+@query("tailed_lines", f"WITH {LOGS_SQL} SELECT log FROM lines")
+def tailed_lines(spark, sf):
+    """SRC-14: the lines of a log directory, as they appear."""
+    landing, out = scratch_dir(spark, "log-files"), scratch_dir(spark, "tailed")
+    access_lines(spark, sf).select("log").write.text(landing)
+    lines = streaming.stream_text(spark, landing, glob="*.txt").select("log")
+    lines.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", scratch_dir(spark, "progress")
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query(
     "stream_access_log",
     f"""

@@ -300,23 +300,31 @@ def test_bookmarks(spark, tmp_path, at):
     assert marks.history().count() == 2 and marks.get("orders") == at("01-03 00:00")
 
 
-def test_log_job_keeps_late_rows(spark, tmp_path):
+@pytest.mark.parametrize("mode", ["by_arrival", "merge_partitions", "overwrite_partitions"])
+def test_log_job_and_late_rows(spark, tmp_path, mode):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     marks = sources.Bookmarks(spark, str(tmp_path / "marks"))
-    _land(spark, raw, 13, _line("2024-06-15 13:10:00"), _line("2024-06-15 13:20:00"), "garbage")
+    twice = _line("2024-06-15 13:20:00")
+    _land(spark, raw, 13, _line("2024-06-15 13:10:00"), twice, twice, "garbage")
     start = datetime(2024, 6, 15, 13)
-
-    def run(hour, mode="merge_partitions", path=out):
+    # Rows after each of three runs: first, one hour on with a late line, repeated.
+    expected = {
+        "by_arrival": [4, 6, 6],
+        "merge_partitions": [3, 5, 5],
+        "overwrite_partitions": [4, 6, 3],
+    }[mode]
+
+    def run(hour):
         now = datetime(2024, 6, 15, hour, 59)
-        jobs.access_log_batch(spark, raw, path, marks, "log", now, start, mode=mode)
+        jobs.access_log_batch(spark, raw, out, marks, "log", now, start, mode=mode)
+        return spark.read.parquet(out).count()
 
-    run(13)
+    assert run(13) == expected[0]
     assert marks.get("log") == datetime(2024, 6, 15, 13, 20)
     _land(spark, raw, 14, _line("2024-06-15 13:59:00"), _line("2024-06-15 14:05:00"))
-    run(14)
-    assert spark.read.parquet(out).count() == 5
-    run(14)
-    assert spark.read.parquet(out).count() == 5
+    assert run(14) == expected[1]
+    assert marks.get("log") == datetime(2024, 6, 15, 14, 5)
+    assert run(14) == expected[2]
     assert marks.get("log") == datetime(2024, 6, 15, 14, 5)
 
 
@@ -435,6 +443,38 @@ def test_project(spark, tmp_path):
         project.order()
 
 
+def test_partitioned_models(spark, tmp_path):
+    project = Project(spark, str(tmp_path), prefix="pp_")
+    setting = {"partition_by": ["p"], "keys": ["k"]}
+
+    @project.model("merged", refs=["raw"], materialized="merge", **setting)
+    def _(ctx):
+        return ctx.ref("raw")
+
+    @project.model("appended", refs=["raw"], materialized="append", ts="k", **setting)
+    def _(ctx):
+        return ctx.ref("raw")
+
+    schema = "k int, v string, p int"
+    project.source("raw", spark.createDataFrame([(1, "a", 1), (2, "b", 2)], schema))
+    project.run()
+    project.source("raw", spark.createDataFrame([(1, "moved", 3), (3, "c", 2)], schema))
+    frames = project.run()
+    assert rows_of(frames["merged"]) == [(1, "moved", 3), (2, "b", 2), (3, "c", 2)]
+    assert rows_of(frames["appended"]) == [(1, "a", 1), (2, "b", 2), (3, "c", 2)]
+    parts = spark.sql("SHOW PARTITIONS pp_mart.merged").collect()
+    assert sorted(r[0] for r in parts) == ["p=2", "p=3"]
+
+
+def test_append_from_a_bookmark_reaches_the_scan(spark, at, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(at("01-01 00:00"),), (at("01-03 00:00"),)]
+    spark.createDataFrame(rows, "ts timestamp_ntz").write.parquet(path)
+    source = spark.read.parquet(path)
+    got = incremental_append(source.where("false"), source, "ts", high=at("01-01 00:00"))
+    assert rows_of(got) == [(at("01-03 00:00"),)]
+
+
 # --- properties ------------------------------------------------------------
 
 CHANGES = st.lists(
