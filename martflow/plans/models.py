@@ -138,7 +138,8 @@ class Project:
         table = self.table_name(model)
         stored = model.materialized in ("table", "append", "merge")
         if stored:
-            ensure_database(self.spark, table.split(".")[0])
+            db = table.split(".")[0]
+            ensure_database(self.spark, db, f"{self.root.rstrip('/')}/{db}")
         there = stored and self.spark.catalog.tableExists(table)
         incremental = there and model.materialized != "table" and not full_refresh
         context = Context(self, model, incremental)

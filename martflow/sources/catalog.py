@@ -44,11 +44,16 @@ def scan_catalog(
 
 
 def register_external(
-    spark: SparkSession, db: str, tables: Mapping[str, str], fmt: str = "parquet"
+    spark: SparkSession,
+    db: str,
+    tables: Mapping[str, str],
+    fmt: str = "parquet",
+    location: str | None = None,
 ) -> dict[str, str]:
     """Expose folders as tables of a database: ``{table: folder}``.  Returns the
     full name of each; the files stay where they are."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}{where}")
     for name, location in tables.items():
         discover_table(spark, location, f"{db}.{name}", fmt)
     return {name: f"{db}.{name}" for name in tables}

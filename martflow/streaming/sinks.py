@@ -11,9 +11,9 @@ from martflow.functions.times import with_local_partitions
 from martflow.functions.values import route_name
 
 HOUR_PARTS = ("year", "month", "day", "hour")
-# Landing zone, and how often and how large files are, by format.
+# Landing zone, and how often files are closed, by format.
 LANDING_TZ = "Asia/Seoul"
-ROTATION = {"json": ("60 seconds", 1000), "parquet": ("10 seconds", 10)}
+ROTATION = {"json": "60 seconds", "parquet": "10 seconds"}
 
 
 def _trigger(writer, every: str, once: bool):
@@ -42,19 +42,20 @@ def sink_hourly(
     """Land a stream in ``year=/month=/day=/hour=`` folders of a local time zone.
 
     A timer starts each batch, so a quiet source still flushes.  ``max_records``
-    limits a file, not a batch.  ``once`` lands what is there and ends.
+    limits the rows of a file (1000 for JSON or 10 for Parquet would be the sizes of a
+    small landing); by default there is no limit, as tiny files cost every later scan.
+    ``once`` lands what is there and ends.
     """
-    default_every, default_records = ROTATION[fmt]
     writer = (
         hourly_rows(stream, ts, tz)
         .writeStream.format(fmt)
         .partitionBy(*HOUR_PARTS)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .option("maxRecordsPerFile", max_records or default_records)
+        .option("maxRecordsPerFile", max_records or 0)
         .outputMode("append")
     )
-    return _trigger(writer, every or default_every, once).start()
+    return _trigger(writer, every or ROTATION[fmt], once).start()
 
 
 def route_to_tables(
@@ -63,7 +64,7 @@ def route_to_tables(
     checkpoint: str,
     pattern: str,
     replacement: str = "$1",
-    every: str = "10 seconds",
+    every: str = "1 minute",
     once: bool = False,
 ) -> StreamingQuery:
     """Append each topic's rows to the table its name maps to.

@@ -198,7 +198,10 @@ def external_tables(spark, sf):
     """SRC-16: folders exposed under a database."""
     label = f"customer_{uuid.uuid4().hex[:10]}"
     names = sources.register_external(
-        spark, "martflow_ext", {label: f"{sf}/customer.parquet"}
+        spark,
+        "martflow_ext",
+        {label: f"{sf}/customer.parquet"},
+        location=scratch_dir(spark, "suite-ext"),
     )
     return sources.table(spark, names[label]).select("c_custkey", "c_name")
 
@@ -648,7 +651,7 @@ def sink_hourly(spark, sf):
     events.repartitionByRange(8, "ts").write.parquet(landing)
     stream = spark.readStream.schema(events.schema).parquet(landing)
     streaming.sink_hourly(
-        stream, out, checkpoint, "ts", fmt="parquet", max_records=1_000_000, once=True
+        stream, out, checkpoint, "ts", fmt="parquet", once=True
     ).awaitTermination()
     parts = "event_id bigint, ts timestamp_ntz, year string, month string, day string, hour string"
     landed = sources.scan_full(spark, out, parts)

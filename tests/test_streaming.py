@@ -112,6 +112,16 @@ def test_hourly_landing_in_korea_time(spark, dirs, at):
     assert rows_of(found) == [(1,)]
 
 
+def test_landing_limits_rows_per_file_when_asked(spark, dirs, at):
+    _drop(spark, dirs["in"], [(i, at("01-31 23:30"), "x", "I") for i in range(25)])
+    stream = spark.readStream.schema(SCHEMA).parquet(dirs["in"])
+    streaming.sink_hourly(
+        stream, dirs["out"], dirs["ck"], "ts", fmt="parquet", max_records=10, once=True
+    ).awaitTermination()
+    landed = spark.read.parquet(dirs["out"])
+    assert landed.count() == 25 and len(landed.inputFiles()) == 3
+
+
 def test_routing(spark, dirs):
     rows = [
         ("rdb.shop.orders", 0, 1, '{"id":1}'),
