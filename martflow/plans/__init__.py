@@ -1,5 +1,6 @@
 from martflow.plans.incremental import check_schema, incremental_append, incremental_merge
 from martflow.plans.models import Context, Project
+from martflow.plans.projects import listings_project, shop_project
 from martflow.plans import jobs, marts
 
 __all__ = [
@@ -9,5 +10,7 @@ __all__ = [
     "incremental_append",
     "incremental_merge",
     "jobs",
+    "listings_project",
     "marts",
+    "shop_project",
 ]

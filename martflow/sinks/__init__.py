@@ -1,6 +1,7 @@
 from martflow.sinks.merging import native_merge, reload, upsert_path
 from martflow.sinks.tables import (
     create_table,
+    drop_old_versions,
     drop_table,
     ensure_database,
     insert_into,
@@ -23,6 +24,7 @@ __all__ = [
     "cluster_for_write",
     "compact",
     "create_table",
+    "drop_old_versions",
     "drop_partitions",
     "drop_table",
     "ensure_database",

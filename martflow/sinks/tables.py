@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import time
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from martflow import storage
 from martflow.sinks.writers import cluster_for_write
+from martflow.sources.catalog import describe_table
 
 
 def ensure_database(spark: SparkSession, db: str, location: str | None = None) -> None:
@@ -86,10 +88,10 @@ def publish(df: DataFrame, name: str, root: str) -> str:
 
     The rows go to a new folder under ``root``; then the catalog entry is pointed
     at it.  Readers see the old rows or the new ones, and a failed run changes
-    nothing.  Old folders stay until someone removes them.
+    nothing.  Old folders stay until ``drop_old_versions``.
     """
     spark = df.sparkSession
-    location = f"{root.rstrip('/')}/{name.replace('.', '/')}/{uuid.uuid4().hex[:12]}"
+    location = f"{_versions(name, root)}/v{time.time_ns():020d}"
     df.write.parquet(location)
     written = spark.read.parquet(location).schema
     if spark.catalog.tableExists(name):
@@ -102,6 +104,21 @@ def publish(df: DataFrame, name: str, root: str) -> str:
     return location
 
 
+def _versions(name: str, root: str) -> str:
+    return f"{root.rstrip('/')}/{name.replace('.', '/')}"
+
+
+def drop_old_versions(spark: SparkSession, name: str, root: str, keep: int = 2) -> list[str]:
+    """Delete all but the newest ``keep`` folders of a published table, and never the
+    one in use.  Keep enough for the readers that may still run."""
+    current = describe_table(spark, name)["Location"].rstrip("/").rsplit("/", 1)[-1]
+    folders = storage.folders(spark, f"{_versions(name, root)}/v*")
+    doomed = [f for f in folders[: max(len(folders) - keep, 0)] if not f.endswith(current)]
+    for folder in doomed:
+        storage.delete(spark, folder)
+    return doomed
+
+
 def layout(
     df: DataFrame, sort: Sequence[str] = (), cluster: Sequence[str] = ()
 ) -> DataFrame:

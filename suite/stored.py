@@ -10,23 +10,34 @@ from pyspark.sql import functions as F
 
 from martflow import operators as op, sinks, sources, streaming
 from martflow.functions import parse_access_log, with_applied_at, with_partitions
-from martflow.plans import Project, jobs, marts
+from martflow.plans import Project, jobs, listings_project, marts, shop_project
 from martflow.session import scratch_dir
 from suite.inputs import (
     CHANGES_SQL,
+    LISTINGS_SQL,
     LOG_FIELDS_SQL,
     LOG_PARTS_SQL,
     LOGS_SQL,
     SHOP_SQL,
     access_lines,
+    full_moons,
     given,
     order_changes,
     order_target,
+    raw_hosts,
+    raw_listings,
+    raw_reviews,
     shop_customers,
     shop_orders,
     shop_products,
 )
-from suite.marts import _ANY, _DIM_PRODUCT_SQL, _conversion_sql
+from suite.marts import (
+    _ANY,
+    _CLEAN_SQL,
+    _DIM_CUSTOMER_SQL,
+    _DIM_PRODUCT_SQL,
+    _conversion_sql,
+)
 from suite.registry import query
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
@@ -510,72 +521,106 @@ def change_upsert_job(spark, sf):
     return sources.scan_full(spark, root).drop(*parts)
 
 
+def _shop(spark, sf, mart):
+    """The shop's models, run twice as data arrives."""
+    logs, orders = parse_access_log(access_lines(spark, sf)), shop_orders(spark, sf)
+    project = None
+    for until in ("2024-01-16 00:00:00", "2024-02-01 00:00:00"):
+        sources_now = {
+            "customers": shop_customers(spark, sf),
+            "products": shop_products(spark, sf),
+            "orders": orders.where(f"order_dt < timestamp_ntz'{until}'"),
+            "access_log": logs.where(F.col("timestamp") < until),
+        }
+        if project is None:
+            root, run = scratch_dir(spark, "models"), uuid.uuid4().hex[:8]
+            project = shop_project(spark, root, sources_now, prefix=f"mf_{run}_")
+        for name, df in sources_now.items():
+            project.source(name, df)
+        frames = project.run([mart])
+    return frames[mart]
+
+
 @query(
-    "layered_models",
+    "shop_models_product",
     f"WITH {LOGS_SQL}, {SHOP_SQL}, {_DIM_PRODUCT_SQL},"
     + _conversion_sql("product_id", "product_name", "dim_product", "product_name", _ANY),
 )
-def layered_models(spark, sf):
-    """MDL-1 to MDL-9, CHK-1, CHK-2: sources to mart, run twice as data arrives."""
-    run = uuid.uuid4().hex[:8]
-    project = Project(spark, scratch_dir(spark, "models"), prefix=f"mf_{run}_")
-    model = project.model
+def shop_models_product(spark, sf):
+    """MDL-1 to MDL-3, MDL-5, MDL-6, MDL-9, CHK-1, CHK-2."""
+    return _shop(spark, sf, "info_product_conversion_rate")
 
-    @model("stg_accesslog", refs=["logs"], layer="stg")
-    def _(ctx):
-        return marts.stg_accesslog(ctx.ref("logs"))
 
-    @model("stg_product", refs=["products"], materialized="ephemeral", layer="stg")
-    def _(ctx):
-        return marts.stg_product(ctx.ref("products"))
+@query(
+    "shop_models_customer",
+    f"WITH {LOGS_SQL}, {SHOP_SQL}, {_DIM_CUSTOMER_SQL},"
+    + _conversion_sql("customer_id", "customer_name", "dim_customer", "full_name", _ANY),
+)
+def shop_models_customer(spark, sf):
+    """As above, by customer."""
+    return _shop(spark, sf, "info_customer_conversion_rate")
 
-    @model(
-        "dim_product",
-        refs=["stg_product"],
-        materialized="table",
-        checks=[lambda df: op.check_unique(df, "product_id")],
-    )
-    def _(ctx):
-        return marts.dim_product(ctx.ref("stg_product"))
 
-    @model("fact_accesslog", refs=["stg_accesslog"], materialized="append", ts="timestamp")
-    def _(ctx):
-        return marts.fact_accesslog(ctx.ref("stg_accesslog"))
+@query(
+    "listings_models",
+    f"""
+WITH {LISTINGS_SQL}, {_CLEAN_SQL}
+SELECT r.*, CASE WHEN full_moon_date IS NULL THEN 'not full moon' ELSE 'full moon' END
+  AS is_full_moon
+FROM reviews r LEFT JOIN full_moons ON cast(r.review_date AS date) = full_moon_date + 1""",
+)
+def listings_models(spark, sf):
+    """MDL-4, MDL-5, MDL-7, MART-4 to MART-6: reviews stored in two runs."""
+    reviews = raw_reviews(spark, sf)
+    given_now = {
+        "listings": raw_listings(spark, sf),
+        "hosts": raw_hosts(spark, sf),
+        "reviews": reviews.where("date < timestamp_ntz'2024-01-16 00:00:00'"),
+        "full_moons": full_moons(spark, sf),
+    }
+    root, run = scratch_dir(spark, "models"), uuid.uuid4().hex[:8]
+    project = listings_project(spark, root, given_now, prefix=f"mf_{run}_")
+    project.run()
+    project.source("reviews", reviews)
+    return project.run()["full_moon_reviews"]
+
 
-    @model(
+@query(
+    "layered_models",
+    f"WITH {SHOP_SQL} SELECT * FROM shop_orders",
+)
+def layered_models(spark, sf):
+    """MDL-6, MDL-8: orders merged into a partitioned, laid out table in two runs."""
+    run = uuid.uuid4().hex[:8]
+    project = Project(spark, scratch_dir(spark, "models"), prefix=f"mf_{run}_")
+
+    @project.model(
         "fact_orders",
         refs=["orders"],
         materialized="merge",
         keys=["order_id"],
         partition_by=["product_id"],
-        checks=[
-            lambda df: op.check_unique(df, "order_id"),
-            lambda df: op.check_not_null(df, "customer_id"),
-        ],
+        checks=[lambda df: op.check_unique(df, "order_id")],
     )
     def _(ctx):
         return ctx.ref("orders") if ctx.is_incremental else marts.fact_orders(ctx.ref("orders"))
 
-    @model(
-        "info_conversion",
-        refs=["fact_accesslog", "fact_orders", "dim_product"],
+    @project.model(
+        "orders_by_time",
+        refs=["fact_orders"],
         materialized="table",
         layer="info",
-        cluster=["product_id"],
-        sort=["product_id", "view_date"],
+        cluster=["customer_id"],
+        sort=["customer_id", "order_dt"],
     )
     def _(ctx):
-        return marts.product_conversion_daily(
-            ctx.ref("fact_accesslog"), ctx.ref("fact_orders"), ctx.ref("dim_product")
-        )
+        return ctx.ref("fact_orders")
 
-    logs, orders = parse_access_log(access_lines(spark, sf)), shop_orders(spark, sf)
-    project.source("products", shop_products(spark, sf))
+    orders = shop_orders(spark, sf)
     for until in ("2024-01-16 00:00:00", "2024-02-01 00:00:00"):
-        project.source("logs", logs.where(F.col("timestamp") < until))
         project.source("orders", orders.where(f"order_dt < timestamp_ntz'{until}'"))
         frames = project.run()
-    return frames["info_conversion"]
+    return frames["orders_by_time"]
 
 
 # --- streams ---------------------------------------------------------------

@@ -280,6 +280,10 @@ def test_publish_swaps_and_survives_a_failed_run(spark, tmp_path):
     assert spark.table(name).count() == 5 and held.count() == 3
     sinks.publish(spark.range(2).withColumn("more", F.lit("x")), name, root)
     assert spark.table(name).columns == ["id", "more"]
+    # The failed run left a folder too.
+    assert len(sinks.drop_old_versions(spark, name, root, keep=1)) == 3
+    assert sinks.drop_old_versions(spark, name, root, keep=0) == []
+    assert spark.table(name).count() == 2
 
 
 # --- bookmarks and jobs ----------------------------------------------------
