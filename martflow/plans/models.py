@@ -174,7 +174,11 @@ class Project:
             write_partitions(new, path, by, mode="append")
         else:
             known = [c for c in rows.columns if c in context.this.columns or c == "Op"]
-            upsert_path(self.spark, path, rows.select(*known), model.keys, by, **model.options)
+            stored = context.this.schema
+            batch = rows.select(*known)
+            upsert_path(
+                self.spark, path, batch, model.keys, by, declared=stored, **model.options
+            )
         discover_table(self.spark, path, table)
 
     def _new_rows(self, model: Model, target: DataFrame, rows: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from martflow import storage
 from martflow.operators.changes import CONTROL_COLUMNS, DELETE
@@ -17,6 +18,7 @@ from martflow.sinks.writers import (
     in_partitions,
     partition_names,
     replace_partitions,
+    stored_like,
     write_partitions,
 )
 
@@ -31,13 +33,15 @@ def upsert_path(
     op: str = "Op",
     control: Sequence[str] = CONTROL_COLUMNS,
     schema: str = "strict",
+    declared: StructType | str | None = None,
     **options,
 ) -> dict | None:
     """Merge a batch into a partitioned Parquet folder, rewriting touched partitions.
 
     The first batch creates the folder.  The cost follows the touched partitions,
-    not the table.  Merging the same batch again changes nothing.  ``options`` go
-    to ``merge``.  Returns the rows and partitions written (None when so many
+    not the table.  Merging the same batch again changes nothing.  ``declared`` is
+    the stored schema, if known: without it all footers are read.  ``options`` go to
+    ``merge``.  Returns the rows and partitions written (None when so many
     partitions are touched that the whole folder was rewritten).
     """
     source = source.persist(StorageLevel.MEMORY_AND_DISK)
@@ -46,10 +50,7 @@ def upsert_path(
         if not storage.exists(spark, path):
             empty = spark.createDataFrame([], source.drop(op, *control).schema)
             return replace_partitions(merge(empty, source, keys, **rules), path, by, batch_id)
-        target = spark.read.option("mergeSchema", schema == "evolve").parquet(path)
-        # Folder names carry no types: partition columns take the batch's.
-        types = {f.name: f.dataType for f in source.schema if f.name in by}
-        target = target.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
+        target = stored_like(source, path, by, declared)
         candidates = in_key_range(target, source, keys[0])
         names = partition_names(touched_partitions(candidates, source, keys, by), by)
         result = merge(

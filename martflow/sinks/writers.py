@@ -14,9 +14,11 @@ from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from martflow import storage
 from martflow.operators.changes import latest_changes
+from martflow.operators.merge import SchemaMismatch
 from martflow.operators.relational import union_by_name
 from martflow.session import shared_dir
 
@@ -54,12 +56,38 @@ def in_partitions(df: DataFrame, by: Sequence[str], names: Sequence[str] | None)
     return df if names is None else df.where(_name(by).isin(list(names)))
 
 
-def read_partitioned(
-    spark: SparkSession, path: str, like: DataFrame, fmt: str = "parquet"
+def stored_rows(
+    spark: SparkSession,
+    path: str,
+    declared: StructType | str | None = None,
+    fmt: str = "parquet",
+) -> DataFrame:
+    """A stored folder with every column any of its files has.
+
+    Files written before and after a schema change differ, and rewriting a partition
+    with the columns of just one file would lose the rest.  Collecting the columns
+    reads all footers; a ``declared`` schema spares that.
+    """
+    reader = spark.read.format(fmt)
+    if declared is not None:
+        return reader.schema(declared).load(path)
+    return (reader.option("mergeSchema", "true") if fmt == "parquet" else reader).load(path)
+
+
+def stored_like(
+    batch: DataFrame,
+    path: str,
+    by: Sequence[str],
+    declared: StructType | str | None = None,
+    fmt: str = "parquet",
 ) -> DataFrame:
-    """Read a partitioned folder with the types of ``like``, so that a partition
-    column kept as text (``'01'``) does not come back as a number."""
-    return spark.read.format(fmt).schema(like.schema).load(path)
+    """A stored folder whose partition columns have the batch's types.  Folder names
+    carry none, and a text such as ``01`` would come back as a number."""
+    spark = batch.sparkSession
+    found = stored_rows(spark, path, declared, fmt).schema
+    types = {f.name: f.dataType for f in batch.schema if f.name in by}
+    typed = [StructField(f.name, types.get(f.name, f.dataType)) for f in found]
+    return stored_rows(spark, path, StructType(typed), fmt)
 
 
 def _write(
@@ -116,12 +144,15 @@ def write_partitions(
     batch_id: str | None = None,
     fmt: str = "parquet",
     cluster: bool = True,
+    declared: StructType | str | None = None,
 ) -> dict | None:
     """Write a batch into a folder partitioned by ``by``.
 
     - ``merge_partitions`` (default): the partitions of the batch become *existing
       union new*, one row per key (the newest by ``ts``) or, without keys, distinct
-      rows.  A late row therefore adds to its hour.
+      rows.  A late row therefore adds to its hour.  Keys are compared inside these
+      partitions; a key that moves between partitions needs ``upsert_path``.
+      ``declared`` is the stored schema, if known.
     - ``overwrite_partitions``: the partitions of the batch are replaced by it.  A
       single late row then replaces its whole hour.
     - ``overwrite``: everything is replaced.
@@ -139,9 +170,13 @@ def write_partitions(
     # The batch is used twice, to find its partitions and to write them.
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        old = read_partitioned(df.sparkSession, path, df, fmt)
+        old = stored_like(df, path, by, declared, fmt)
+        lost = sorted(set(old.columns) - set(df.columns))
+        if lost:
+            raise SchemaMismatch(f"the batch lacks stored columns: {lost}")
+        old = old.select(*(c for c in df.columns if c in old.columns))
         touched = in_partitions(old, by, partition_names(df, by))
-        merged = _one_version(union_by_name(touched, df), keys, ts, tie_break)
+        merged = _one_version(union_by_name(touched, df, allow_missing=True), keys, ts, tie_break)
         return replace_partitions(merged, path, by, batch_id, fmt=fmt, cluster=cluster)
     finally:
         df.unpersist()
@@ -199,4 +234,4 @@ def compact(
 ) -> dict:
     """Rewrite partitions (all if ``names`` is None) into files of the advisory size
     ``spark.sql.adaptive.advisoryPartitionSizeInBytes``.  Rows stay the same."""
-    return replace_partitions(in_partitions(spark.read.parquet(path), by, names), path, by)
+    return replace_partitions(in_partitions(stored_rows(spark, path), by, names), path, by)

@@ -179,10 +179,15 @@ def scan_days(
 
 
 def scan_full(
-    spark: SparkSession, root: str, schema: StructType | str | None = None, fmt: str = "parquet"
+    spark: SparkSession,
+    root: str,
+    schema: StructType | str | None = None,
+    fmt: str = "parquet",
+    evolved: bool = False,
 ) -> DataFrame:
-    """A whole table folder, with its partition columns."""
-    reader = spark.read.format(fmt)
+    """A whole table folder, with its partition columns.  ``evolved`` collects the
+    columns of all files, for a table whose schema changed."""
+    reader = spark.read.format(fmt).option("mergeSchema", evolved)
     return (reader.schema(schema) if schema is not None else reader).load(root)
 
 

@@ -160,10 +160,10 @@ def test_text_and_null_partitions(spark, tmp_path):
     sinks.write_partitions(df, path, ["m"], mode="overwrite")
     more = spark.createDataFrame([(4, "01"), (5, None), (6, "a b/c%")], "id int, m string")
     sinks.write_partitions(more, path, ["m"])
-    got = writers.read_partitioned(spark, path, df)
+    got = sources.scan_full(spark, path, df.schema)
     assert rows_of(got, "id", "m") == rows_of(df.union(more), "id", "m")
     sinks.drop_partitions(spark, path, ["m"], "m = 'a b/c%'")
-    assert rows_of(writers.read_partitioned(spark, path, df), "id") == [(1,), (2,), (4,), (5,)]
+    assert rows_of(sources.scan_full(spark, path, df.schema), "id") == [(1,), (2,), (4,), (5,)]
 
 
 def test_newest_version_wins_and_unknown_keys_stay(spark, tmp_path, at):
@@ -231,8 +231,24 @@ def test_upsert_with_a_new_column(spark, tmp_path):
     with pytest.raises(SchemaMismatch):
         sinks.upsert_path(spark, path, wider, ["k"], ["p"])
     sinks.upsert_path(spark, path, wider, ["k"], ["p"], schema="evolve")
-    got = spark.read.option("mergeSchema", True).parquet(path)
+    got = sources.scan_full(spark, path, evolved=True)
     assert rows_of(got, "k", "v", "w") == [(1, None, 5), (2, "b", None)]
+    # Old and new files differ now: a rewrite keeps the columns of both.
+    full = spark.createDataFrame([(3, "c", 7, 1)], "k int, v string, w int, p int")
+    sinks.upsert_path(spark, path, full, ["k"], ["p"])
+    sinks.compact(spark, path, ["p"])
+    with pytest.raises(SchemaMismatch):
+        sinks.write_partitions(wider, path, ["p"], keys=["k"])
+    sinks.write_partitions(
+        full.withColumn("k", F.lit(4)).withColumn("x", F.lit("y")), path, ["p"], keys=["k"]
+    )
+    got = sources.scan_full(spark, path, evolved=True)
+    assert rows_of(got, "k", "v", "w", "x") == [
+        (1, None, 5, None),
+        (2, "b", None, None),
+        (3, "c", 7, None),
+        (4, "c", 7, "y"),
+    ]
 
 
 def test_compact_keeps_rows(spark, tmp_path):
@@ -514,3 +530,29 @@ def test_merging_twice_changes_nothing(spark, first, second):
             if r["Op"] != "D":
                 held[r["k"]] = r
     assert rows_of(once, "k", "v") == sorted(((k, r["v"]) for k, r in held.items()), key=repr)
+
+
+def test_empty_batches(spark, tmp_path, at):
+    path = str(tmp_path / "t")
+    schema = "k int, ts timestamp_ntz, v string, p int"
+    rows = spark.createDataFrame([(1, at("01-01 00:00"), "a", 1)], schema)
+    none = spark.createDataFrame([], schema)
+    sinks.upsert_path(spark, path, rows, ["k"], ["p"])
+    for batch in (none, rows.where("k > 5"), rows.where("false")):
+        sinks.upsert_path(spark, path, batch, ["k"], ["p"], newer_than="ts")
+        sinks.write_partitions(batch, path, ["p"])
+        sinks.write_partitions(batch, path, ["p"], keys=["k"], ts="ts")
+        sinks.write_partitions(batch, path, ["p"], mode="overwrite_partitions")
+        sinks.replace_partitions(batch, path, ["p"], batch_id="empty")
+    assert rows_of(spark.read.parquet(path), "v") == [("a",)]
+    sinks.upsert_path(spark, str(tmp_path / "new"), none, ["k"], ["p"])
+
+
+def test_log_job_without_lines(spark, tmp_path):
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    marks = sources.Bookmarks(spark, str(tmp_path / "marks"))
+    now = datetime(2024, 6, 15, 14, 30)
+    jobs.access_log_batch(spark, raw, out, marks, "log", now, missing="skip")
+    _land(spark, raw, 14, "garbage")
+    jobs.access_log_batch(spark, raw, out, marks, "log", now, missing="skip")
+    assert marks.get("log") is None and spark.read.parquet(out).count() == 1
