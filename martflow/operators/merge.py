@@ -20,7 +20,7 @@ from martflow.operators.changes import (
     latest_changes,
     split_changes,
 )
-from martflow.operators.relational import union_by_name
+from martflow.operators.relational import in_types_of, union_by_name
 
 
 # Key types whose values survive the way to the driver and back unchanged.
@@ -47,7 +47,7 @@ def _aligned(target: DataFrame, upserts: DataFrame, schema: str) -> DataFrame:
     if schema == "strict" and set(target.columns) != set(upserts.columns):
         extra = sorted(set(upserts.columns) ^ set(target.columns))
         raise SchemaMismatch(f"columns differ between source and target: {extra}")
-    return upserts
+    return in_types_of(upserts, target)
 
 
 def _not_stale(target: DataFrame, source: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:

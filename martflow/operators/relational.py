@@ -37,6 +37,18 @@ def union_by_name(a: DataFrame, b: DataFrame, allow_missing: bool = False) -> Da
     return a.unionByName(b, allowMissingColumns=allow_missing)
 
 
+def in_types_of(df: DataFrame, target: DataFrame) -> DataFrame:
+    """Cast the columns that both frames have to the target's types.  Without it a
+    union would widen them, and files of one table would disagree."""
+    types = {f.name: f.dataType for f in target.schema}
+    differ = {
+        f.name: F.col(f.name).cast(types[f.name])
+        for f in df.schema
+        if types.get(f.name, f.dataType) != f.dataType
+    }
+    return df.withColumns(differ) if differ else df
+
+
 def union_frames(frames: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL by name; a column missing from one frame is NULL there.
     A union by position would silently swap columns whose order drifted."""

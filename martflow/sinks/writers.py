@@ -19,7 +19,7 @@ from pyspark.sql.types import StructField, StructType
 from martflow import storage
 from martflow.operators.changes import latest_changes
 from martflow.operators.merge import SchemaMismatch
-from martflow.operators.relational import union_by_name
+from martflow.operators.relational import in_types_of, union_by_name
 from martflow.session import shared_dir
 
 MODES = ("overwrite_partitions", "overwrite", "append", "merge_partitions")
@@ -176,7 +176,8 @@ def write_partitions(
             raise SchemaMismatch(f"the batch lacks stored columns: {lost}")
         old = old.select(*(c for c in df.columns if c in old.columns))
         touched = in_partitions(old, by, partition_names(df, by))
-        merged = _one_version(union_by_name(touched, df, allow_missing=True), keys, ts, tie_break)
+        both = union_by_name(touched, in_types_of(df, old), allow_missing=True)
+        merged = _one_version(both, keys, ts, tie_break)
         return replace_partitions(merged, path, by, batch_id, fmt=fmt, cluster=cluster)
     finally:
         df.unpersist()

@@ -7,7 +7,6 @@ grow with the number of folders.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from datetime import datetime, time, timedelta
 from itertools import groupby
 from zoneinfo import ZoneInfo

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from martflow import operators as op, sinks, sources, streaming
-from martflow.functions import parse_access_log, with_applied_at, with_partitions
+from martflow.functions import parse_access_log, with_partitions
 from martflow.plans import Project, jobs, listings_project, marts, shop_project
 from martflow.session import scratch_dir
 from suite.inputs import (
@@ -148,7 +148,10 @@ def scan_days_lookback(spark, sf):
     )
 
 
-@query("scan_full_declared", "SELECT o_orderkey, o_orderdate, year(o_orderdate)::integer AS year FROM orders")
+@query(
+    "scan_full_declared",
+    "SELECT o_orderkey, o_orderdate, year(o_orderdate)::integer AS year FROM orders",
+)
 def scan_full_declared(spark, sf):
     """SRC-5, SRC-6: partition discovery and a declared schema."""
     root = scratch_dir(spark, "orders")
@@ -160,7 +163,9 @@ def scan_full_declared(spark, sf):
 
 @query(
     "scan_csv",
-    "SELECT o_orderkey, o_orderpriority, date_trunc('second', o_orderdate) AS o_orderdate, o_totalprice FROM orders",
+    """
+SELECT o_orderkey, o_orderpriority, date_trunc('second', o_orderdate) AS o_orderdate, o_totalprice
+FROM orders""",
 )
 def scan_csv(spark, sf):
     """SRC-11: delimited files with a header and a declared schema."""
@@ -194,7 +199,10 @@ def seed_days(spark, sf):
     return op.join_on_shifted_day(events.select("event_id", "ts"), "ts", seeds, "day").drop("ts")
 
 
-@query("scan_catalog", "SELECT o_orderkey, o_totalprice, year(o_orderdate)::integer AS year FROM orders")
+@query(
+    "scan_catalog",
+    "SELECT o_orderkey, o_totalprice, year(o_orderdate)::integer AS year FROM orders",
+)
 def scan_catalog(spark, sf):
     """SRC-9, SRC-10, SRC-19: files found, registered, and read by catalog facts alone."""
     name, root = _name(spark, "found")
@@ -251,7 +259,8 @@ def unprocessed_files(spark, sf):
     "overwrite_partitions",
     """
 SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE year(o_orderdate) <= 1999
-UNION ALL SELECT o_orderkey, o_orderdate, o_totalprice + 1 FROM orders WHERE year(o_orderdate) > 1999""",
+UNION ALL SELECT o_orderkey, o_orderdate, o_totalprice + 1 FROM orders
+WHERE year(o_orderdate) > 1999""",
 )
 def overwrite_partitions(spark, sf):
     """SNK-1, SNK-4: only the batch's partitions are replaced."""
@@ -405,7 +414,10 @@ def moved_rows(spark, sf):
     return sources.scan_full(spark, root).drop("year")
 
 
-@query("dropped_partitions", "SELECT o_orderkey, o_orderdate FROM orders WHERE year(o_orderdate) NOT IN (1996, 1997)")
+@query(
+    "dropped_partitions",
+    "SELECT o_orderkey, o_orderdate FROM orders WHERE year(o_orderdate) NOT IN (1996, 1997)",
+)
 def dropped_partitions(spark, sf):
     """MRG-6: partitions the source dropped leave the stored table."""
     root = scratch_dir(spark, "orders")
@@ -626,7 +638,12 @@ def layered_models(spark, sf):
 # --- streams ---------------------------------------------------------------
 
 
-@query("scan_new_files", "SELECT event_id, user_id, 1 AS run FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, user_id, 2 FROM events WHERE event_type = 'view'")
+@query(
+    "scan_new_files",
+    """
+SELECT event_id, user_id, 1 AS run FROM events WHERE event_type <> 'view'
+UNION ALL SELECT event_id, user_id, 2 FROM events WHERE event_type = 'view'""",
+)
 def scan_new_files(spark, sf):
     """SRC-7: the second run reads only the files added since the first; the third none."""
     root, checkpoint = scratch_dir(spark, "inbox"), scratch_dir(spark, "seen")
@@ -664,8 +681,8 @@ def stream_upsert(spark, sf):
     days = ["year", "month", "day"]
     mid = "ts < timestamp_ntz'2024-01-11 00:00:00'"
     for low, high in (("01-11", "01-21"), ("01-21", "02-01")):
-        span = f"ts >= timestamp_ntz'2024-{low} 00:00:00' and ts < timestamp_ntz'2024-{high} 00:00:00'"
-        changes.where(span).coalesce(1).write.mode("append").parquet(landing)
+        from_, to = (f"timestamp_ntz'2024-{day} 00:00:00'" for day in (low, high))
+        changes.where(f"ts >= {from_} and ts < {to}").coalesce(1).write.mode("append").parquet(landing)
     stream = (
         spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     )

@@ -9,7 +9,7 @@ from martflow.functions import with_partitions
 from martflow.operators import latest_changes, merge
 from martflow.operators.merge import DuplicateKeys, SchemaMismatch
 from martflow.plans import Project, check_schema, incremental_append, incremental_merge, jobs
-from martflow.session import scratch_dir, shared_dir
+from martflow.session import shared_dir
 from martflow.sinks import writers
 from tests.conftest import rows_of
 
@@ -225,7 +225,11 @@ def test_upsert_empties_and_creates_partitions(spark, tmp_path):
 def test_upsert_with_a_new_column(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.upsert_path(
-        spark, path, spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, p int"), ["k"], ["p"]
+        spark,
+        path,
+        spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, p int"),
+        ["k"],
+        ["p"],
     )
     wider = spark.createDataFrame([(1, 5, 1)], "k int, w int, p int")
     with pytest.raises(SchemaMismatch):
@@ -251,9 +255,22 @@ def test_upsert_with_a_new_column(spark, tmp_path):
     ]
 
 
+def test_a_wider_batch_takes_the_tables_types(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([(1, 10, 1), (2, 20, 1)], "k int, n int, p int")
+    sinks.upsert_path(spark, path, first, ["k"], ["p"])
+    longs = spark.createDataFrame([(1, 11, 1), (3, 30, 2)], "k long, n long, p int")
+    sinks.upsert_path(spark, path, longs, ["k"], ["p"])
+    sinks.write_partitions(longs, path, ["p"], keys=["k"])
+    got = spark.read.parquet(path)
+    assert got.schema["n"].dataType.simpleString() == "int"
+    assert rows_of(got, "k", "n") == [(1, 11), (2, 20), (3, 30)]
+
+
 def test_compact_keeps_rows(spark, tmp_path):
     path = str(tmp_path / "t")
-    spark.range(100).withColumn("p", F.col("id") % 3).repartition(9).write.partitionBy("p").parquet(path)
+    rows = spark.range(100).withColumn("p", F.col("id") % 3)
+    rows.repartition(9).write.partitionBy("p").parquet(path)
     many = len(spark.read.parquet(path).inputFiles())
     sinks.compact(spark, path, ["p"])
     after = spark.read.parquet(path)

@@ -23,7 +23,12 @@ def test_new_files_are_read_once(spark, dirs):
 
     def run():
         streaming.scan_new_files(
-            spark, dirs["in"], dirs["ck"], lambda b, i: seen.append(b.count()), "id bigint", max_files=1
+            spark,
+            dirs["in"],
+            dirs["ck"],
+            lambda b, i: seen.append(b.count()),
+            "id bigint",
+            max_files=1,
         )
 
     spark.range(3).coalesce(1).write.parquet(dirs["in"] + "/a")
