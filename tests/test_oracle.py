@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from suite import registry
 from tests.oracle import compare, connect
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
