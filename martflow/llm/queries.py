@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm import packing, repair, warc
+from martflow.llm import packing, quality, repair, substring, warc
 from martflow.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,30 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_WINDOWS_SQL = """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+w as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from d),
+r as (select doc_id, i, row_number() over (partition by array_to_string(ws[i:i+19], ' ') order by doc_id, i) as n from w),
+g as (select doc_id, list(distinct k) as gone
+      from (select doc_id, unnest(range(i, i + 20)) as k from r where n > 1) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+       sha256(array_to_string(list_filter(ws, lambda x, j: not list_contains(coalesce(gone, []::bigint[]), j)), ' ')) as kept_sha256
+from d left join g on d.doc_id = g.doc_id
+"""
+
+
+@query("op3_cover_anchor_dedup", _WINDOWS_SQL)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substring.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+@query("op4_neighbour_quality")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.rate(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op6_nnls_packing")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, window=2048)
