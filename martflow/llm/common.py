@@ -86,6 +86,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000)
             start = stop
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks to deal small rows with large work to.  A number that is given is
+    kept; without one, adaptive execution sees small rows and makes one task of them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The concatenation of ``pool[start:start + length]`` for all runs."""
     total = int(length.sum())

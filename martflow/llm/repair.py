@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from martflow.llm.common import folder, fresh_name, gather, slices, staged, store
+from martflow.llm.common import folder, fresh_name, gather, slices, staged, store, tasks
 from martflow.llm.tokens import encoder
 
 MAGIC = b"RPR1"
@@ -299,4 +299,4 @@ def read_shards(manifest: DataFrame, where: str) -> DataFrame:
                         schema=_DECODED,
                     )
 
-    return manifest.select("file", "tokens", "start").repartition("file").mapInArrow(read, DECODED)
+    return manifest.select("file", "tokens", "start").repartition(tasks(manifest.sparkSession), "file").mapInArrow(read, DECODED)

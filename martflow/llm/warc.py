@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from martflow.llm.common import CONTROL, bare_base32, copies, folder, fresh_name, slices, staged, store
+from martflow.llm.common import CONTROL, bare_base32, copies, folder, fresh_name, slices, staged, store, tasks
 
 INDEX = (
     "page_id long, url string, payload_digest string, payload_bytes long, record_type string, "
@@ -207,5 +207,5 @@ def read_records(index: DataFrame, where: str, read_bytes: int = 8 << 20, gap_by
             yield parsed(held)
 
     return (
-        spans.repartition("file", "_run", "_read").sortWithinPartitions("file", "_run", "_read", "offset").mapInArrow(read, RECORDS)
+        spans.repartition(tasks(index.sparkSession), "file", "_run", "_read").sortWithinPartitions("file", "_run", "_read", "offset").mapInArrow(read, RECORDS)
     )
