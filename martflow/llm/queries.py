@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm import packing, quality, repair, substring, warc
+from martflow.llm import ngram, packing, quality, repair, substring, warc
 from martflow.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,34 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_JACCARD_SQL = """
+with recursive t as (
+  select text, min(doc_id) as first, count(*) as n, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as ws
+  from documents where text is not null group by text),
+c as (select text, first, n, ws from t where len(ws) > 0),
+s as (select first, unnest(list_distinct(case when len(ws) < 5 then [array_to_string(ws, ' ')] else
+        list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) end)) as g from c),
+z as (select first, count(*) as k from s group by first),
+p as (select a.first as a, b.first as b, count(*) as common from s a join s b on a.g = b.g and a.first <> b.first group by all),
+l as (select p.a, p.b, cb.n from p join z za on za.first = p.a join z zb on zb.first = p.b join c cb on cb.first = p.b
+      where 5 * common >= 4 * (za.k + zb.k - common)),
+r as (select first as a, first as b from c union select r.a, l.b from r join l on l.a = r.b),
+m as (select a, min(b) as component from r group by a),
+d as (select doc_id, first, n from documents join c on documents.text = c.text),
+k as (select a, sum(n)::bigint as k from l group by a)
+select documents.doc_id, coalesce(d.first, documents.doc_id) as class_id,
+       (coalesce(k.k, 0) + coalesce(d.n, 1) - 1)::bigint as n_links,
+       coalesce(m.component, documents.doc_id) as component_id,
+       coalesce(m.component, documents.doc_id) = documents.doc_id as kept
+from documents left join d on d.doc_id = documents.doc_id left join k on k.a = d.first left join m on m.a = d.first
+"""
+
+
+@query("op2_ngram_jaccard_join", _JACCARD_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram.links(table(spark, sf, "documents")).drop("_key")
+
+
 _WINDOWS_SQL = """
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
 w as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from d),
