@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from martflow.llm import ngram, packing, quality, repair, substring, warc
 from martflow.session import shared_dir
 
@@ -114,3 +115,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     shards = repair.write_shards(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     back = repair.read_shards(shards, shared_dir(spark))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
