@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from martflow.llm import ngram, packing, quality, repair, substring, warc
+from martflow.llm import mtree, ngram, packing, pstable, quality, repair, substring, warc
 from martflow.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_VALID_SQL = """embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
+_TOP_SQL = f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings where {_VALID_SQL}),
+p as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score
+      from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from p)
+select query_id, n::int as rank, vec_id, score from r where n <= 20
+"""
+
+
+@query("op1_mtree_top_k", _TOP_SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf, "embeddings"), F.col("_id") % 20 == 0)
+
+
 _JACCARD_SQL = """
 with recursive t as (
   select text, min(doc_id) as first, count(*) as n, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as ws
@@ -82,6 +99,24 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return quality.rate(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+_COSINE_SQL = f"""
+with recursive v as (select vec_id, embedding::double[] as e from embeddings
+  where {_VALID_SQL} and list_inner_product(embedding, embedding) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+r as (select vec_id as a, vec_id as b from v union select r.a, l.b from r join l on l.a = r.b),
+m as (select a, min(b) as component from r group by a),
+k as (select a, count(*) as k from l group by a)
+select vec_id, coalesce(k, 0)::bigint as n_links, coalesce(component, vec_id) as component_id,
+       coalesce(component, vec_id) = vec_id as kept
+from embeddings left join m on m.a = vec_id left join k on k.a = vec_id
+"""
+
+
+@query("op5_pstable_near_dedup", _COSINE_SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return pstable.near(table(spark, sf, "embeddings")).drop("class_id")
+
+
 @query("op6_nnls_packing")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, window=2048)
