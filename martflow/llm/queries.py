@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from martflow.llm import mtree, ngram, packing, pstable, quality, repair, substring, warc
+from martflow.llm import licenses, mtree, ngram, packing, pieces, pstable, quality, repair, substring, warc
 from martflow.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,13 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op7_shared_prefix_pieces")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(table(spark, sf, "documents"), path), path)
+    return back.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 _PAGES_SQL = """
 with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
 g as (select h, max(page_id) as top from p group by h),
@@ -145,6 +152,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op9_dice_licenses")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 @query("op10_repair_shards")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     shards = repair.write_shards(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
