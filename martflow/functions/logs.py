@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from martflow.functions.times import as_timestamp, with_partitions
+from martflow.functions.times import with_partitions
 
 LOG_LINE_SCHEMA = "`@timestamp` double, log string"
 
@@ -45,14 +45,14 @@ LOG_COLUMNS = (
 )
 
 
-def _number(text: Column, type_: str = "int") -> Column:
+def _number(text: Column, type_: str = "bigint") -> Column:
     """Text to a number.  Empty text, the usual case, is made NULL first: a failing
     cast costs an exception per row."""
     return F.nullif(text, F.lit("")).try_cast(type_)
 
 
 def query_params(
-    url: Column | str, names: Sequence[str] = QUERY_IDS, type_: str = "int", anchored: bool = True
+    url: Column | str, names: Sequence[str] = QUERY_IDS, type_: str = "bigint", anchored: bool = True
 ) -> dict[str, Column]:
     """Numeric query-string parameters of a URL, one column per name.
 
@@ -89,7 +89,3 @@ def parse_access_log(
     parsed = parsed.select(*keep, *LOG_COLUMNS)
     return with_partitions(parsed, "timestamp", "hour") if partitions else parsed
 
-
-def typed_timestamp(logs: DataFrame, col: str = "timestamp") -> DataFrame:
-    """Replace the text timestamp by a real one."""
-    return logs.withColumn(col, as_timestamp(col))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from martflow.functions.logs import LOG_PATTERNS, NUMERIC_FIELDS, QUERY_IDS
+
 
 def given(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -42,26 +44,20 @@ lines AS (SELECT event_id, ts, CASE WHEN event_id % 100 = 99 THEN 'garbage' ELSE
   ' HTTP/1.1" ', CASE WHEN event_type = 'error' THEN '500' ELSE '200' END, ' 1576') END AS log
   FROM events)"""
 
-LOGS_SQL = (
-    LINES_SQL
-    + r""",
-fields AS (SELECT event_id, ts,
-  regexp_extract(log, '\|([^|]+)\|', 1) AS "timestamp",
-  regexp_extract(log, '\|\s(\d+\.\d+\.\d+\.\d+)\s-\s-\s', 1) AS ip_address,
-  regexp_extract(log, '"(GET|POST|PUT|DELETE)\s', 1) AS http_method,
-  regexp_extract(log, '"[A-Z]+\s(/[^\s]+)\s', 1) AS endpoint,
-  regexp_extract(log, '"[A-Z]+\s/([^\s]+)\?', 1) AS service,
-  regexp_extract(log, '"[A-Z]+\s/[^\s]+\s(HTTP/\d\.\d)"', 1) AS protocol,
-  try_cast(regexp_extract(log, '\s(\d{3})\s', 1) AS integer) AS status_code,
-  try_cast(regexp_extract(log, '\s(\d+)$', 1) AS integer) AS response_size
-  FROM lines),
-logs AS (SELECT *,
-  try_cast(regexp_extract(endpoint, '[?&]product_id=(\d+)', 1) AS integer) AS product_id,
-  try_cast(regexp_extract(endpoint, '[?&]customer_id=(\d+)', 1) AS integer) AS customer_id,
-  try_cast(regexp_extract(endpoint, '[?&]order_id=(\d+)', 1) AS integer) AS order_id,
-  try_cast("timestamp" AS timestamp) AS stamp
+def _field_sql(name: str) -> str:
+    """A field by the patterns that define the format (``LOG_PATTERNS``), for this engine."""
+    text = f"regexp_extract(log, '{LOG_PATTERNS[name]}', 1)"
+    return f'try_cast({text} AS bigint) AS {name}' if name in NUMERIC_FIELDS else f'{text} AS "{name}"'
+
+
+def _id_sql(name: str) -> str:
+    return f"try_cast(regexp_extract(endpoint, '[?&]{name}=(\\d+)', 1) AS bigint) AS {name}"
+
+
+LOGS_SQL = f"""{LINES_SQL},
+fields AS (SELECT event_id, ts, {", ".join(map(_field_sql, LOG_PATTERNS))} FROM lines),
+logs AS (SELECT *, {", ".join(map(_id_sql, QUERY_IDS))}, try_cast("timestamp" AS timestamp) AS stamp
   FROM fields)"""
-)
 LOG_FIELDS_SQL = """"timestamp", ip_address, http_method, endpoint, service, protocol,
   status_code, response_size, product_id, customer_id, order_id"""
 LOG_PARTS_SQL = """cast(year(stamp) AS integer) AS year, cast(month(stamp) AS integer) AS month,

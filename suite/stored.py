@@ -36,6 +36,8 @@ from suite.marts import (
     _CLEAN_SQL,
     _DIM_CUSTOMER_SQL,
     _DIM_PRODUCT_SQL,
+    _MOONS_SQL,
+    _PERCENT_SQL,
     _conversion_sql,
 )
 from suite.registry import query
@@ -577,9 +579,7 @@ def shop_models_customer(spark, sf):
     "listings_models",
     f"""
 WITH {LISTINGS_SQL}, {_CLEAN_SQL}
-SELECT r.*, CASE WHEN full_moon_date IS NULL THEN 'not full moon' ELSE 'full moon' END
-  AS is_full_moon
-FROM reviews r LEFT JOIN full_moons ON cast(r.review_date AS date) = full_moon_date + 1""",
+{_MOONS_SQL}""",
 )
 def listings_models(spark, sf):
     """MDL-4, MDL-5, MDL-7, MART-4 to MART-6: reviews stored in two runs."""
