@@ -9,23 +9,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from martflow.operators.relational import semi_join_max
 
-# Operation codes, control columns, and the floor that stands in
-# for a bookmark that does not exist yet.
+# Operation codes and control columns.
 INSERT, UPDATE, DELETE = "I", "U", "D"
 CONTROL_COLUMNS = ("Op", "dms_update_time")
-NO_BOOKMARK_FLOOR = datetime(1990, 1, 1, 1)
 # Envelope operation codes of a change stream.
 ENVELOPE_OPS = {"c": INSERT, "r": INSERT, "u": UPDATE, "d": DELETE}
 
 
 def since_threshold(
-    bookmark: datetime | None,
-    overlap: timedelta = timedelta(0),
-    floor: datetime = NO_BOOKMARK_FLOOR,
-) -> datetime:
-    """Where to start reading: the bookmark less an overlap for late rows, or the
-    floor when nothing was read yet."""
-    return floor if bookmark is None else bookmark - overlap
+    bookmark: datetime | None, overlap: timedelta = timedelta(0)
+) -> datetime | None:
+    """Where to start reading: the bookmark less an overlap for late rows; None, from the
+    beginning, when nothing was read yet."""
+    return None if bookmark is None else bookmark - overlap
 
 
 def changed_since(ts: Column | str, threshold: datetime, inclusive: bool = True) -> Column:

@@ -128,19 +128,36 @@ def merge(
     return union_by_name(kept, upserts, allow_missing=schema == "evolve")
 
 
-def in_key_range(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Target rows whose key lies between the source's smallest and largest.
-
-    Runs one aggregate of the source.  The bounds are plain values, so the scan
-    skips row groups by their statistics: where keys grow with time, a batch of
-    recent changes reads the recent part of a table only.
+def key_facts(source: DataFrame, keys: Sequence[str]) -> dict:
+    """Smallest and largest first key of a batch, and a repeated key if there is one.
+    One job."""
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    per_key = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = F.when(known & (F.col("_n") > 1), F.to_json(F.struct(*keys)))
+    row = per_key.agg(
+        F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high"), F.min(repeated).alias("repeated")
+    ).head()
+    return {**row.asDict(), "type": source.schema[keys[0]].dataType}
+
+
+def refuse_repeats(facts: dict) -> None:
+    if facts["repeated"] is not None:
+        raise DuplicateKeys(f"merge source has several rows for {facts['repeated']}")
+
+
+def in_key_range(target: DataFrame, facts: dict, key: str) -> DataFrame:
+    """Target rows whose key lies between the batch's smallest and largest (see
+    ``key_facts``).
+
+    The bounds are plain values, so the scan skips row groups by their statistics:
+    where keys grow with time, a batch of recent changes reads the recent part of a
+    table only.
     """
-    if not isinstance(source.schema[key].dataType, _RANGED):
+    if not isinstance(facts["type"], _RANGED):
         return target
-    low, high = source.agg(F.min(key), F.max(key)).head()
-    if low is None:
+    if facts["low"] is None:
         return target.where(F.lit(False))
-    return target.where(F.col(key).between(low, high))
+    return target.where(F.col(key).between(facts["low"], facts["high"]))
 
 
 def touched_partitions(

@@ -1,4 +1,9 @@
-from martflow.plans.incremental import check_schema, incremental_append, incremental_merge
+from martflow.plans.incremental import (
+    check_schema,
+    incremental_append,
+    incremental_merge,
+    missing_rows,
+)
 from martflow.plans.models import Context, Project
 from martflow.plans.projects import listings_project, shop_project
 from martflow.plans import jobs, marts
@@ -9,6 +14,7 @@ __all__ = [
     "check_schema",
     "incremental_append",
     "incremental_merge",
+    "missing_rows",
     "jobs",
     "listings_project",
     "marts",

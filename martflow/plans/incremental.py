@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from martflow.operators.changes import changed_since
 from martflow.operators.merge import SchemaMismatch, merge
+from martflow.operators.relational import in_types_of
 
 
 def incremental_append(
@@ -20,10 +22,12 @@ def incremental_append(
 ) -> DataFrame:
     """Source rows newer than the target's newest row.
 
-    Strictly newer: rows of the same instant count as seen.  ``inclusive=True``
-    lets them in again, for a target that removes repeats.  An empty target has no
-    newest row and admits everything.  ``high`` gives the newest time when a bookmark
-    holds it: the target is not read then, and the filter reaches the source's scan.
+    Strictly newer: rows of the same instant count as seen, later rows of earlier times
+    and rows without a time are left out; ``missing_rows`` is for sources that can have
+    them.  ``inclusive=True`` lets the same instant in again, for a target that removes
+    repeats.  An empty target has no newest row and admits everything.  ``high`` gives
+    the newest time when a bookmark holds it: the target is not read then, and the filter
+    reaches the source's scan.
     """
     if high is not None:
         return source.where(changed_since(ts, high, inclusive))
@@ -32,6 +36,38 @@ def incremental_append(
     return source.where(newer | mark.isNull())
 
 
+def missing_rows(
+    target: DataFrame,
+    source: DataFrame,
+    ts: str | None = None,
+    high: datetime | None = None,
+    overlap: timedelta | None = None,
+) -> DataFrame:
+    """Source rows that the target does not have yet, whatever their time.
+
+    A row that the source has three times and the target once is missing twice.  Columns
+    that only the source has are not compared.  With ``high`` and ``overlap`` only rows
+    from ``high - overlap`` on, and those without a time, are compared on both sides,
+    and an earlier row is taken for stored.  Rows are counted map-side by their columns.
+    """
+    shared = [c for c in source.columns if c in target.columns]
+    if ts is not None and high is not None and overlap is not None:
+        recent = F.col(ts).isNull() | changed_since(ts, high - overlap)
+        target, source = target.where(recent), source.where(recent)
+    target = in_types_of(target.select(*shared), source)
+    held = target.groupBy(*shared).agg(F.count(F.lit(1)).alias("_held"))
+    extra = [c for c in source.columns if c not in shared]
+    same = reduce(
+        lambda a, b: a & b, (F.col(f"_t.{c}").eqNullSafe(F.col(f"_s.{c}")) for c in shared)
+    )
+    # Equal rows are numbered, and as many as are held count as stored.
+    number = Window.partitionBy(*shared).orderBy(*(F.col(c) for c in (extra or shared[:1])))
+    numbered = source.withColumn("_number", F.row_number().over(number))
+    joined = numbered.alias("_s").join(held.alias("_t"), same, "left")
+    new = joined.where(F.col("_number") > F.coalesce("_held", F.lit(0)))
+    return new.select(*(F.col(f"_s.{c}").alias(c) for c in source.columns))
+
+
 def incremental_merge(
     target: DataFrame, source: DataFrame, keys: Sequence[str], **options
 ) -> DataFrame:

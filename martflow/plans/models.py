@@ -19,8 +19,14 @@ from graphlib import TopologicalSorter
 from pyspark.sql import DataFrame, SparkSession
 
 from martflow.operators.checks import assert_checks
+from martflow.operators.merge import merge
 from martflow.operators.relational import union_by_name
-from martflow.plans.incremental import check_schema, incremental_append, incremental_merge
+from martflow.plans.incremental import (
+    check_schema,
+    incremental_append,
+    incremental_merge,
+    missing_rows,
+)
 from martflow.sinks.merging import upsert_path
 from martflow.sinks.tables import ensure_database, layout, publish
 from martflow.sinks.writers import write_partitions
@@ -43,6 +49,7 @@ class Model:
     cluster: Sequence[str] = ()
     on_schema_change: str = "fail"
     checks: Sequence[Callable[[DataFrame], DataFrame]] = ()
+    late: str = "strict"
     options: dict = field(default_factory=dict)
 
 
@@ -74,12 +81,19 @@ class Project:
     by ``cluster`` and ``sort``.  An ``append`` or ``merge`` model with
     ``partition_by`` lives in one partitioned folder, and a run rewrites only the
     partitions it touches.
+
+    An ``append`` model with a ``ts`` takes the rows newer than its newest; with
+    ``late="all"`` it takes every row it does not have yet, late ones, ones of the same
+    instant and ones without a time.  A ``merge`` model refuses a batch, the first one
+    too, that repeats a key, unless its ``options`` say ``on_duplicate="latest"``.
+    Checks of a table that is published as a whole run before it becomes visible.
     """
 
     def __init__(self, spark: SparkSession, root: str, prefix: str = ""):
         self.spark, self.root, self.prefix = spark, root, prefix
         self.models: dict[str, Model] = {}
         self.frames: dict[str, DataFrame] = {}
+        self._checked = False
 
     def source(self, name: str, df: DataFrame) -> None:
         self.frames[name] = df
@@ -130,11 +144,22 @@ class Project:
         for name in self.order(only):
             model = self.models[name]
             self.frames[name] = self._materialize(model, full_refresh)
-            if model.checks:
-                assert_checks([check(self.frames[name]) for check in model.checks])
+            if model.checks and not self._checked:
+                self._check(model, self.frames[name])
         return {n: self.frames[n] for n in self.order(only)}
 
+    def _check(self, model: Model, rows: DataFrame) -> None:
+        assert_checks([check(rows) for check in model.checks])
+
+    def _first_rows(self, model: Model, rows: DataFrame) -> DataFrame:
+        """What a first run of a merge model stores: one row for each key."""
+        if model.materialized != "merge":
+            return rows
+        empty = self.spark.createDataFrame([], rows.drop("Op").schema)
+        return merge(empty, rows, model.keys, **model.options)
+
     def _materialize(self, model: Model, full_refresh: bool) -> DataFrame:
+        self._checked = False
         table = self.table_name(model)
         stored = model.materialized in ("table", "append", "merge")
         if stored:
@@ -152,7 +177,7 @@ class Project:
         if model.partition_by and model.materialized != "table":
             self._store_partitioned(model, context, rows)
         elif not incremental:
-            self._publish(model, rows)
+            self._publish(model, self._first_rows(model, rows))
         elif model.materialized == "append":
             self._append(model, context.this, rows)
         else:
@@ -162,13 +187,15 @@ class Project:
 
     def _publish(self, model: Model, rows: DataFrame) -> None:
         laid_out = layout(rows, model.sort, model.cluster)
-        publish(laid_out, self.table_name(model), self.root)
+        check = (lambda staged: self._check(model, staged)) if model.checks else None
+        publish(laid_out, self.table_name(model), self.root, check)
+        self._checked = True
 
     def _store_partitioned(self, model: Model, context: Context, rows: DataFrame) -> None:
         by, table = model.partition_by, self.table_name(model)
         path = f"{self.root.rstrip('/')}/{table.replace('.', '/')}"
         if not context.is_incremental:
-            write_partitions(rows, path, by, mode="overwrite")
+            write_partitions(self._first_rows(model, rows), path, by, mode="overwrite")
         elif model.materialized == "append":
             new = self._new_rows(model, context.this, rows)
             write_partitions(new, path, by, mode="append")
@@ -182,7 +209,9 @@ class Project:
         discover_table(self.spark, path, table)
 
     def _new_rows(self, model: Model, target: DataFrame, rows: DataFrame) -> DataFrame:
-        if model.ts:
+        if model.late == "all":
+            rows = missing_rows(target, rows)
+        elif model.ts:
             rows = incremental_append(target, rows, model.ts)
         return check_schema(target, rows, model.on_schema_change)
 

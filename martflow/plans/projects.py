@@ -47,7 +47,8 @@ def shop_project(
     """Staging, dimensions, facts and conversion rates of the shop.
 
     ``sources`` has ``customers``, ``products``, ``orders`` and the parsed
-    ``access_log``.  Orders merge by id; the log appends what is newer than stored.
+    ``access_log``.  Orders merge by id, and a row older than the stored one is ignored;
+    the log appends what is not stored yet, however late it comes.
     Order facts are partitioned by ``orders_by``, taken from the order time, so that a
     merge rewrites the days it touches; empty, they are one table rewritten whole.
     """
@@ -66,7 +67,7 @@ def shop_project(
     add("stg_accesslog", ["access_log"], marts.stg_accesslog, "view", "stg")
     add("dim_customer", ["stg_customer"], marts.dim_customer)
     add("dim_product", ["stg_product"], marts.dim_product)
-    add("fact_accesslog", ["stg_accesslog"], marts.fact_accesslog, "append", ts="timestamp")
+    add("fact_accesslog", ["stg_accesslog"], marts.fact_accesslog, "append", ts="timestamp", late="all")
 
     def fact_orders(orders: DataFrame) -> DataFrame:
         facts = marts.fact_orders(orders)
@@ -78,6 +79,7 @@ def shop_project(
         fact_orders,
         "merge",
         keys=["order_id"],
+        options={"newer_than": "last_update_time"},
         partition_by=orders_by,
         sort=["order_id"],
         cluster=["order_id"],
@@ -127,6 +129,7 @@ def listings_project(
         marts.fct_reviews,
         "append",
         ts="review_date",
+        late="all",
         on_schema_change="fail",
     )
     moons = ["fct_reviews", "full_moons"]

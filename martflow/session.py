@@ -19,6 +19,10 @@ DEFAULTS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     UNION_PARTITIONING: "false",
+    # Streams keep their state on disk, not in the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # A lost executor must not fail the job.
     "spark.task.maxFailures": "8",
     "spark.stage.maxConsecutiveAttempts": "10",

@@ -9,16 +9,19 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from martflow import storage
 from martflow.operators.changes import CONTROL_COLUMNS, DELETE
-from martflow.operators.merge import in_key_range, merge, touched_partitions
-from martflow.session import scratch_dir
+from martflow.operators.merge import in_key_range, key_facts, merge, refuse_repeats
+from martflow.operators.relational import union_by_name
 from martflow.sinks.writers import (
-    delete_partitions,
+    declare_schema,
+    delete_unwritten,
+    held_partitions,
     in_partitions,
-    partition_names,
+    is_empty_table,
+    partitions_of,
     replace_partitions,
     stored_like,
+    with_file,
     write_partitions,
 )
 
@@ -34,47 +37,47 @@ def upsert_path(
     control: Sequence[str] = CONTROL_COLUMNS,
     schema: str = "strict",
     declared: StructType | str | None = None,
+    on_duplicate: str = "error",
+    keep: bool = True,
     **options,
-) -> dict | None:
+) -> dict:
     """Merge a batch into a partitioned Parquet folder, rewriting touched partitions.
 
-    The first batch creates the folder.  The cost follows the touched partitions,
-    not the table.  Merging the same batch again changes nothing.  ``declared`` is
-    the stored schema, if known: without it all footers are read.  ``options`` go to
-    ``merge``.  Returns the rows and partitions written (None when so many
-    partitions are touched that the whole folder was rewritten).
+    The first batch creates the folder.  The cost follows the touched partitions, not
+    the table, and the way is the same for any number of them.  Merging the same batch
+    again changes nothing.  ``declared`` is the stored schema; by default the one kept
+    beside the table.  ``keep=False`` if the caller holds the batch already.
+    ``options`` go to ``merge``.  Returns the number of ``rows`` written.
+
+    One aggregate of the batch gives its key range and finds repeated keys; then come
+    the touched partitions, the write, and a look for emptied partitions.
     """
-    source = source.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep:
+        source = source.persist(StorageLevel.MEMORY_AND_DISK)
     rules = {"op": op, "control": control, **options}
     try:
-        if not storage.exists(spark, path):
+        facts = key_facts(source, keys)
+        if on_duplicate == "error":
+            refuse_repeats(facts)
+            on_duplicate = "trust"
+        rules["on_duplicate"] = on_duplicate
+        if is_empty_table(spark, path):
             empty = spark.createDataFrame([], source.drop(op, *control).schema)
+            declare_schema(spark, path, empty.schema)
             return replace_partitions(merge(empty, source, keys, **rules), path, by, batch_id)
         target = stored_like(source, path, by, declared)
-        candidates = in_key_range(target, source, keys[0])
-        names = partition_names(touched_partitions(candidates, source, keys, by), by)
-        result = merge(
-            in_partitions(target, by, names), source, keys, schema=schema, **rules
-        )
-        if names is None:
-            return _rewrite_all(result, path, by)
-        written = replace_partitions(result, path, by, batch_id, track=True)
-        # A partition whose rows all moved or were deleted has nothing to write,
-        # and a dynamic overwrite leaves it alone.
-        emptied = sorted(set(names) - set(written["partitions"]))
-        delete_partitions(spark, path, by, emptied)
+        candidates = in_key_range(target, facts, keys[0])
+        places = with_file(candidates, *keys, *(b for b in by if b not in keys))
+        matched = places.join(source.select(*keys), list(keys), "left_semi")
+        held = held_partitions(matched, by)
+        touched = union_by_name(held.select("_p", "_on"), partitions_of(source, by))
+        result = merge(in_partitions(target, by, touched), source, keys, schema=schema, **rules)
+        written = replace_partitions(result, path, by, batch_id)
+        delete_unwritten(stored_like(source, path, by, target.schema), by, held)
         return written
     finally:
-        source.unpersist()
-
-
-def _rewrite_all(df: DataFrame, path: str, by: Sequence[str]) -> None:
-    """Replace a folder by rows read from it: written aside first."""
-    spark = df.sparkSession
-    aside = scratch_dir(spark, "rewrite")
-    df.write.parquet(aside)
-    write_partitions(spark.read.schema(df.schema).parquet(aside), path, by, mode="overwrite")
-    storage.delete(spark, aside)
+        if keep:
+            source.unpersist()
 
 
 def reload(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -91,7 +94,9 @@ def native_merge(
     control: Sequence[str] = CONTROL_COLUMNS,
     newer_than: str | None = None,
 ) -> None:
-    """MERGE INTO a table whose format supports it; Parquet tables do not."""
+    """MERGE INTO a table whose format supports it; Parquet tables do not.
+
+    No such format is installed here: only the refusal by Parquet is tested."""
     s, t = "s", table.split(".")[-1]
     on = reduce(lambda a, b: a & b, (F.col(f"{s}.{k}") == F.col(f"{t}.{k}") for k in keys))
     newer = F.col(f"{s}.{newer_than}") >= F.col(f"{t}.{newer_than}") if newer_than else F.lit(True)

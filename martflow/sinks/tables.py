@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -83,17 +83,25 @@ def insert_into(df: DataFrame, name: str) -> None:
     df.select(*target.columns).write.insertInto(name)
 
 
-def publish(df: DataFrame, name: str, root: str) -> str:
+def publish(
+    df: DataFrame,
+    name: str,
+    root: str,
+    check: Callable[[DataFrame], None] | None = None,
+) -> str:
     """Replace an unpartitioned table in one step.
 
     The rows go to a new folder under ``root``; then the catalog entry is pointed
     at it.  Readers see the old rows or the new ones, and a failed run changes
-    nothing.  Old folders stay until ``drop_old_versions``.
+    nothing; ``check`` sees the written rows first and may raise.  Old folders stay until ``drop_old_versions``.
     """
     spark = df.sparkSession
     location = f"{_versions(name, root)}/v{time.time_ns():020d}"
     df.write.parquet(location)
-    written = spark.read.parquet(location).schema
+    staged = spark.read.parquet(location)
+    if check is not None:
+        check(staged)
+    written = staged.schema
     if spark.catalog.tableExists(name):
         if spark.table(name).schema == written:
             spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")

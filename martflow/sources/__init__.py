@@ -10,8 +10,13 @@ from martflow.sources.files import (
     day_folders,
     describe_files,
     hours_between,
+    local_clock,
     mark_processed,
+    newest_day,
+    newest_hour,
+    oldest_hour,
     prune_hours,
+    read_unprocessed,
     scan_csv,
     scan_days,
     scan_full,
@@ -27,8 +32,13 @@ __all__ = [
     "describe_table",
     "discover_table",
     "hours_between",
+    "local_clock",
     "mark_processed",
+    "newest_day",
+    "newest_hour",
+    "oldest_hour",
     "prune_hours",
+    "read_unprocessed",
     "register_external",
     "scan_catalog",
     "scan_csv",

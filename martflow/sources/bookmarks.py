@@ -58,6 +58,17 @@ class Bookmarks:
         row = self.spark.createDataFrame([(*iso, name)], _STATE)
         row.coalesce(1).write.mode("append").partitionBy("table_name").json(self.path)
 
+    def set_many(self, rows: DataFrame, updated_at: datetime, started_at: datetime | None = None) -> None:
+        """Record the bookmarks of many tables, ``(table_name, ts)`` rows, in one job."""
+        iso = [F.lit(t.isoformat(sep=" ") if t else None).cast("string") for t in (started_at, updated_at)]
+        state = rows.select(
+            F.col("ts").cast("string").alias("last_bookmark_time"),
+            iso[0].alias("started_at"),
+            iso[1].alias("last_update_time"),
+            "table_name",
+        )
+        state.hint("rebalance", "table_name").write.mode("append").partitionBy("table_name").json(self.path)
+
     def advance(self, name: str, newest: datetime | None, updated_at: datetime) -> None:
         """Move to the newest time of a batch; an empty batch changes nothing."""
         if newest is not None:

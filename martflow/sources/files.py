@@ -18,8 +18,7 @@ from martflow import storage
 from martflow.functions.logs import LOG_LINE_SCHEMA
 
 HOUR_PARTS = ("year", "month", "day", "hour")
-# How far back a first scan reaches, and the zones of the landing.
-DEFAULT_LOOKBACK = timedelta(days=365)
+# The zones of the landing.
 LANDING_TZ, LOCAL_TZ = "UTC", "Asia/Seoul"
 CSV_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss"
 
@@ -48,6 +47,30 @@ def _hour_of(folder: str) -> datetime:
     return datetime(*(int(parts[name]) for name in HOUR_PARTS))
 
 
+def oldest_hour(spark: SparkSession, root: str) -> datetime | None:
+    """The hour of the oldest hour folder; None if there is none.  A listing per level."""
+    folder = root.rstrip("/")
+    for part in HOUR_PARTS:
+        found = storage.folders(spark, f"{folder}/{part}=*")
+        numbered = [(int(f.rsplit("=", 1)[1]), f) for f in found if f.rsplit("=", 1)[1].isdigit()]
+        if not numbered:
+            return None
+        folder = min(numbered)[1]
+    return _hour_of(folder)
+
+
+def newest_hour(spark: SparkSession, root: str, since: datetime, until: datetime) -> datetime | None:
+    """The last hour of a range that has a folder: how far a scan of it has read."""
+    hours = hours_between(since, until)
+    wanted = set(hours)
+    return max((h for h, _ in _hour_folders(spark, root.rstrip("/"), hours) if h in wanted), default=None)
+
+
+def local_clock(utc: datetime, tz: str) -> datetime:
+    """A UTC time on the clock that names a landing's folders."""
+    return utc.replace(tzinfo=ZoneInfo("UTC")).astimezone(ZoneInfo(tz)).replace(tzinfo=None)
+
+
 def _hour_folders(spark: SparkSession, root: str, hours: list[datetime]) -> list[tuple]:
     """``(hour, folder)`` of every hour folder of the days in range; one listing per
     day.  Month, day and hour may be written with or without a leading zero."""
@@ -128,7 +151,7 @@ def prune_hours(table: DataFrame, since: datetime, until: datetime) -> DataFrame
 def day_folders(
     since: datetime | None,
     until: datetime,
-    lookback: timedelta = DEFAULT_LOOKBACK,
+    lookback: timedelta | None = None,
     source_tz: str = LANDING_TZ,
     local_tz: str = LOCAL_TZ,
 ) -> list[str]:
@@ -139,6 +162,8 @@ def day_folders(
     ``until - lookback``, unshifted.
     """
     if since is None:
+        if lookback is None:
+            raise ValueError("without a start, a list of days needs a look-back")
         start = until - lookback
     else:
         local = since.replace(tzinfo=ZoneInfo(local_tz))
@@ -148,24 +173,56 @@ def day_folders(
     return [f"{start + timedelta(days=i):%Y/%m/%d}" for i in range(days)]
 
 
+def _day_paths(
+    spark: SparkSession,
+    root: str,
+    since: datetime | None,
+    until: datetime,
+    lookback: timedelta | None,
+    source_tz: str,
+    local_tz: str,
+) -> list[tuple[str, str]]:
+    """``(yyyy/MM/dd, folder)`` of the days that are there; one listing per month."""
+    if since is None and lookback is None:
+        found = [(f[-10:], f) for f in storage.folders(spark, f"{root}/[0-9]*/[0-9]*/[0-9]*")]
+        return [(d, f) for d, f in found if d <= f"{until:%Y/%m/%d}"]
+    paths = []
+    for month, days in groupby(
+        day_folders(since, until, lookback, source_tz, local_tz), key=lambda d: d[:7]
+    ):
+        there = {f[-10:]: f for f in storage.folders(spark, f"{root}/{month}/*")}
+        paths += [(d, there[d]) for d in days if d in there]
+    return paths
+
+
+def newest_day(
+    spark: SparkSession,
+    root: str,
+    since: datetime | None,
+    until: datetime,
+    source_tz: str = LANDING_TZ,
+    local_tz: str = LOCAL_TZ,
+) -> datetime | None:
+    """The last day of a range that has a folder, on the source's clock."""
+    days = _day_paths(spark, root.rstrip("/"), since, until, None, source_tz, local_tz)
+    return datetime.strptime(max(days)[0], "%Y/%m/%d") if days else None
+
+
 def scan_days(
     spark: SparkSession,
     root: str,
     since: datetime | None,
     until: datetime,
-    lookback: timedelta = DEFAULT_LOOKBACK,
+    lookback: timedelta | None = None,
     source_tz: str = LANDING_TZ,
     local_tz: str = LOCAL_TZ,
     fmt: str = "parquet",
     schema: StructType | str | None = None,
 ) -> DataFrame:
-    """All ``yyyy/MM/dd`` folders of a range; days without a folder are skipped."""
+    """All ``yyyy/MM/dd`` folders of a range; days without a folder are skipped.
+    Without a bookmark the scan begins at the oldest folder, or ``lookback`` ago."""
     root = root.rstrip("/")
-    wanted = day_folders(since, until, lookback, source_tz, local_tz)
-    paths = []
-    for month, days in groupby(wanted, key=lambda d: d[:7]):
-        there = {f[-10:]: f for f in storage.folders(spark, f"{root}/{month}/*")}
-        paths += [there[d] for d in days if d in there]
+    paths = [f for _, f in _day_paths(spark, root, since, until, lookback, source_tz, local_tz)]
     declared = _schema(schema)
     if not paths:
         if declared is None:
@@ -196,15 +253,17 @@ def scan_csv(
     schema: StructType | str,
     header: bool = True,
     timestamp_format: str = CSV_TIMESTAMP,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Delimited text with a declared schema; quoted fields may span lines."""
+    """Delimited text with a declared schema.  A file is read by several tasks, unless
+    ``multiline``: quoted fields may then span lines, and a file is one task."""
     return (
         spark.read.schema(schema)
         .option("header", header)
         .option("timestampFormat", timestamp_format)
         .option("timestampNTZFormat", timestamp_format)
         .option("enforceSchema", "false")
-        .option("multiLine", "true")
+        .option("multiLine", multiline)
         .option("escape", '"')
         .csv(path)
     )
@@ -243,6 +302,17 @@ def unprocessed_files(
     return listed.join(done, "file_name", "left_anti")
 
 
+def read_unprocessed(
+    spark: SparkSession, files: DataFrame, schema: StructType | str, fmt: str = "parquet"
+) -> DataFrame:
+    """The rows of the files that ``unprocessed_files`` has listed; only these are
+    opened.  Their paths are what the plan of any read holds on the driver."""
+    paths = [r["file_name"] for r in files.select("file_name").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], _schema(schema))
+    return spark.read.format(fmt).schema(schema).load(paths)
+
+
 def mark_processed(files: DataFrame, ledger: str, at: datetime) -> None:
     """Add files to the ledger with the time they were processed."""
     stamp = F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz").alias("processed_at")

@@ -31,3 +31,45 @@ def delete(spark: SparkSession, path: str) -> bool:
     """Delete a folder; False if it was not there."""
     fs, p = _resolve(spark, path)
     return fs.delete(p, True)
+
+
+def has_data(spark: SparkSession, path: str) -> bool:
+    """True if a folder holds anything but marker files, at any depth.  Stops at the
+    first file."""
+    fs, p = _resolve(spark, path)
+    if not fs.exists(p):
+        return False
+    todo = [p]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            if status.getPath().getName().startswith(("_", ".")):
+                continue
+            if not status.isDirectory():
+                return True
+            todo.append(status.getPath())
+    return False
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, or None if it is not there."""
+    fs, p = _resolve(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file: aside first, then put in place."""
+    fs, p = _resolve(spark, path)
+    _, aside = _resolve(spark, f"{path}.new")
+    stream = fs.create(aside, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    fs.delete(p, False)
+    fs.rename(aside, p)

@@ -1,4 +1,10 @@
-from martflow.streaming.sinks import hourly_rows, route_to_tables, routed_table, sink_hourly
+from martflow.streaming.sinks import (
+    compact_routed,
+    hourly_rows,
+    route_to_tables,
+    routed_table,
+    sink_hourly,
+)
 from martflow.streaming.sources import (
     kafka_available,
     scan_new_files,
@@ -7,9 +13,11 @@ from martflow.streaming.sources import (
     stream_topic,
     topic_rows,
 )
-from martflow.streaming.upsert import merge_batches, stream_access_log, stream_upsert
+from martflow.streaming.upsert import malformed_lines, merge_batches, stream_access_log, stream_upsert
 
 __all__ = [
+    "compact_routed",
+    "malformed_lines",
     "hourly_rows",
     "kafka_available",
     "merge_batches",

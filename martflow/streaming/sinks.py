@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from martflow import storage
 from martflow.functions.times import with_local_partitions
 from martflow.functions.values import route_name
 
@@ -14,6 +17,7 @@ HOUR_PARTS = ("year", "month", "day", "hour")
 # Landing zone, and how often files are closed, by format.
 LANDING_TZ = "Asia/Seoul"
 ROTATION = {"json": "60 seconds", "parquet": "10 seconds"}
+_PLACE = "topic string, partition int, offset bigint"
 
 
 def _trigger(writer, every: str, once: bool):
@@ -69,16 +73,28 @@ def route_to_tables(
 ) -> StreamingQuery:
     """Append each topic's rows to the table its name maps to.
 
-    Topics that ``pattern`` does not match are left out.  All tables are written
-    by one job, in one folder per table and batch; repeating a batch replaces its
-    folder, so a row is never there twice.
+    Topics that ``pattern`` does not match are left out.  A row is known by its topic,
+    partition and offset: those already stored are not written again, so neither a
+    repeated batch nor a new checkpoint that reads a topic once more doubles a row or
+    replaces one.  All tables are written by one job, in one folder per table and batch;
+    ``compact_routed`` brings the folders of a table together.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         routed = batch.withColumn("table", route_name("topic", pattern, replacement))
+        routed = routed.where(F.col("table").isNotNull())
+        spark = batch.sparkSession
+        if storage.has_data(spark, root):
+            place = ["topic", "partition", "offset"]
+            held = spark.read.schema(_PLACE).parquet(root)
+            # A batch is a range of offsets: the scan skips files that end before it.
+            first = routed.agg(F.min("offset")).head()[0]
+            if first is not None:
+                routed = routed.join(held.where(F.col("offset") >= first), place, "left_anti")
         (
-            routed.where(F.col("table").isNotNull())
-            .withColumn("batch", F.lit(batch_id))
+            routed.select(*batch.columns, "table")
+            .withColumn("batch", F.lit(f"{run}-{batch_id}"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("table", "batch")
@@ -89,6 +105,22 @@ def route_to_tables(
     return _trigger(writer, every, once).start()
 
 
+def compact_routed(spark: SparkSession, root: str, table: str) -> int:
+    """Bring all batches of a routed table together in one folder.  The old folders go
+    after the new one is complete; should the run end in between, rows are there twice
+    until it is repeated.  Returns how many folders went."""
+    folder = f"{root.rstrip('/')}/table={table}"
+    old = storage.folders(spark, f"{folder}/batch=*")
+    if len(old) < 2:
+        return 0
+    rows = spark.read.option("basePath", folder).option("mergeSchema", "true").parquet(*old).drop("batch")
+    one = rows.dropDuplicates(["topic", "partition", "offset"]).hint("rebalance")
+    one.write.parquet(f"{folder}/batch=compact-{uuid.uuid4().hex[:12]}")
+    for path in old:
+        storage.delete(spark, path)
+    return len(old)
+
+
 def routed_table(
     spark: SparkSession, root: str, table: str, schema: str, options: Mapping | None = None
 ) -> DataFrame:

@@ -69,14 +69,27 @@ def stream_upsert(
 
 
 def stream_access_log(
-    lines: DataFrame, keys: Sequence[str], lateness: str = "2 hours", col: str = "log"
+    lines: DataFrame, keys: Sequence[str], lateness: str | None = None, col: str = "log"
 ) -> DataFrame:
     """Parsed log stream without repeats.
 
-    ``keys`` identify a line (its place in the log).  State is kept for
-    ``lateness`` of event time; malformed lines have no time and are left out.
+    ``keys`` identify a line (its place in the log).  By default a line counts as a
+    repeat however late it comes, and its key is kept for good; ``lateness`` bounds that
+    state by event time, and a line later than that is dropped.  Malformed lines have no
+    time: ``malformed_lines`` gives them, for an output of their own.  The state is best
+    held on disk (``session.DEFAULTS`` says how).
     """
-    parsed = parse_access_log(lines, col, keep=keys)
-    timed = parsed.withColumn("event_time", as_timestamp("timestamp").cast("timestamp"))
-    timed = timed.where(F.col("event_time").isNotNull())
+    timed = _timed(lines, keys, col).where(F.col("event_time").isNotNull())
+    if lateness is None:
+        return timed.dropDuplicates([*keys])
     return timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark([*keys])
+
+
+def malformed_lines(lines: DataFrame, keys: Sequence[str], col: str = "log") -> DataFrame:
+    """The lines that ``stream_access_log`` leaves out because no time can be read."""
+    return _timed(lines, [*keys, col], col).where(F.col("event_time").isNull()).select(*keys, col)
+
+
+def _timed(lines: DataFrame, keep: Sequence[str], col: str) -> DataFrame:
+    parsed = parse_access_log(lines, col, keep=keep)
+    return parsed.withColumn("event_time", as_timestamp("timestamp").cast("timestamp"))

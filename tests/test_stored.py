@@ -8,9 +8,15 @@ from martflow import sinks, sources, storage
 from martflow.functions import with_partitions
 from martflow.operators import latest_changes, merge
 from martflow.operators.merge import DuplicateKeys, SchemaMismatch
-from martflow.plans import Project, check_schema, incremental_append, incremental_merge, jobs
+from martflow.plans import (
+    Project,
+    check_schema,
+    incremental_append,
+    incremental_merge,
+    jobs,
+    missing_rows,
+)
 from martflow.session import shared_dir
-from martflow.sinks import writers
 from tests.conftest import rows_of
 
 HOURS = ["year", "month", "day", "hour"]
@@ -77,7 +83,9 @@ def test_day_folders():
     assert sources.day_folders(datetime(2024, 4, 24, 13), now)[0] == "2024/04/24"
     same = {"source_tz": "UTC", "local_tz": "UTC"}
     assert sources.day_folders(datetime(2024, 4, 25, 23, 59), now, **same) == ["2024/04/25"]
-    assert len(sources.day_folders(None, now)) == 366
+    assert len(sources.day_folders(None, now, timedelta(days=365))) == 366
+    with pytest.raises(ValueError):
+        sources.day_folders(None, now)
     assert sources.day_folders(None, now, timedelta(days=30), **same)[0] == "2024/03/26"
     assert sources.day_folders(datetime(2024, 5, 1), now, **same) == []
 
@@ -141,7 +149,7 @@ def late(spark, at):
 def test_late_row_adds_to_its_hour(spark, tmp_path, hourly, late):
     path = str(tmp_path / "t")
     sinks.write_partitions(hourly, path, HOURS)
-    sinks.write_partitions(late, path, HOURS)
+    sinks.write_partitions(late, path, HOURS, distinct=True)
     assert rows_of(spark.read.parquet(path), "id") == [(i,) for i in (1, 2, 3, 4, 5)]
     sinks.write_partitions(late, path, HOURS, keys=["id"], ts="ts")
     assert spark.read.parquet(path).count() == 5
@@ -184,14 +192,13 @@ def test_interrupted_commit_is_finished_from_the_stage(spark, tmp_path, hourly):
     changed.write.parquet(stage)
     # The table lost a folder while it was replaced; what the retry is given no
     # longer has those rows either.
-    writers.delete_partitions(spark, path, HOURS, ["2024/1/1/13"])
+    sinks.drop_partitions(spark, path, HOURS, "hour = 13")
     sinks.replace_partitions(spark.read.parquet(path), path, HOURS, batch_id=batch)
     assert rows_of(spark.read.parquet(path), "id") == [(11,), (12,), (13,)]
     assert not storage.exists(spark, stage)
 
 
-def test_many_partitions_fall_back_to_a_whole_rewrite(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(writers, "MAX_LISTED_PARTITIONS", 2)
+def test_every_partition_moves(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(10).withColumn("p", F.col("id"))
     sinks.write_partitions(df, path, ["p"], mode="overwrite")
@@ -222,6 +229,52 @@ def test_upsert_empties_and_creates_partitions(spark, tmp_path):
         sinks.upsert_path(spark, path, twice, ["k"], ["p"])
 
 
+@pytest.mark.parametrize("kind", ["string", "date"])
+def test_partitions_keep_their_types_in_a_merge(spark, tmp_path, kind):
+    path = str(tmp_path / "t")
+    months = {"string": ("'01'", "'02'"), "date": ("date'2024-01-01'", "date'2024-02-01'")}[kind]
+
+    def rows(*given):
+        return spark.sql(" union all ".join(f"select {k} k, {m} m, '{o}' Op" for k, m, o in given))
+
+    first = rows((1, months[0], "I"), (2, months[1], "I"), (3, f"cast(null as {kind})", "I"))
+    sinks.upsert_path(spark, path, first, ["k"], ["m"])
+    sinks.upsert_path(spark, path, rows((1, months[1], "U"), (3, months[1], "U")), ["k"], ["m"])
+    assert rows_of(sources.scan_full(spark, path), "k") == [(1,), (2,), (3,)]
+    assert len(storage.folders(spark, f"{path}/m=*")) == 1
+    for k in (1, 2, 3):
+        sinks.upsert_path(spark, path, rows((k, months[1], "D")), ["k"], ["m"])
+    assert storage.folders(spark, f"{path}/m=*") == []
+    # The emptied table goes on, with its columns.
+    sinks.upsert_path(spark, path, rows((9, months[0], "U")), ["k"], ["m"])
+    assert rows_of(spark.read.parquet(path), "k") == [(9,)]
+
+
+def test_upsert_into_a_folder_without_a_kept_schema(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a", 1)], "k int, v string, p int").write.partitionBy("p").parquet(path)
+    spark.createDataFrame([(2, 5, 1)], "k int, w int, p int").write.mode("append").partitionBy("p").parquet(path)
+    sinks.upsert_path(
+        spark, path, spark.createDataFrame([(3, "c", 7, 1)], "k int, v string, w int, p int"), ["k"], ["p"]
+    )
+    got = sources.scan_full(spark, path, evolved=True)
+    assert rows_of(got, "k", "v", "w") == [(1, "a", None), (2, None, 5), (3, "c", 7)]
+
+
+def test_the_batch_wins_and_null_keys_stay(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "k int, v string, p int"
+    old = [(1, "old", 1), (None, "n1", 1), (None, "n2", 1), (1, "elsewhere", 2)]
+    sinks.write_partitions(spark.createDataFrame(old, schema), path, ["p"], keys=["k"])
+    new = spark.createDataFrame([(1, "new", 1), (None, "n3", 1)], schema)
+    for _ in range(2):
+        sinks.write_partitions(new, path, ["p"], keys=["k"])
+        got = rows_of(spark.read.parquet(path), "k", "v", "p")
+        assert got == [(1, "elsewhere", 2), (1, "new", 1), (None, "n1", 1), (None, "n2", 1), (None, "n3", 1)]
+    sinks.write_partitions(new.union(new).where("k = 1"), path, ["p"])
+    assert spark.read.parquet(path).count() == 7
+
+
 def test_upsert_with_a_new_column(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.upsert_path(
@@ -357,21 +410,63 @@ def test_log_job_and_late_rows(spark, tmp_path, mode):
         return spark.read.parquet(out).count()
 
     assert run(13) == expected[0]
-    assert marks.get("log") == datetime(2024, 6, 15, 13, 20)
+    assert marks.get("log") == datetime(2024, 6, 15, 13)
     _land(spark, raw, 14, _line("2024-06-15 13:59:00"), _line("2024-06-15 14:05:00"))
     assert run(14) == expected[1]
-    assert marks.get("log") == datetime(2024, 6, 15, 14, 5)
+    assert marks.get("log") == datetime(2024, 6, 15, 14)
     assert run(14) == expected[2]
-    assert marks.get("log") == datetime(2024, 6, 15, 14, 5)
+    assert marks.get("log") == datetime(2024, 6, 15, 14)
 
 
-def test_first_log_run_skips_history(spark, tmp_path):
+def test_first_log_run_begins_at_the_oldest_folder(spark, tmp_path):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     marks = sources.Bookmarks(spark, str(tmp_path / "marks"))
+    now = datetime(2024, 6, 15, 14, 30)
     _land(spark, raw, 13, _line("2024-06-15 13:10:00"))
     _land(spark, raw, 14, _line("2024-06-15 14:10:00"))
-    jobs.access_log_batch(spark, raw, out, marks, "log", datetime(2024, 6, 15, 14, 30))
-    assert rows_of(spark.read.parquet(out), "hour") == [(14,)]
+    jobs.access_log_batch(spark, raw, out, marks, "log", now)
+    assert rows_of(spark.read.parquet(out), "hour") == [(13,), (14,)]
+
+
+def test_a_fast_clock_and_a_landing_zone_lose_no_line(spark, tmp_path):
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    marks = sources.Bookmarks(spark, str(tmp_path / "marks"))
+    # The landing is five hours behind UTC; one line's clock is four hours fast.
+    for hour, stamps in ((8, ["13:10", "17:20"]), (9, ["14:05"]), (10, ["15:01"])):
+        _land(spark, raw, hour, *(_line(f"2024-06-15 {s}:00") for s in stamps))
+        now = datetime(2024, 6, 15, hour + 5, 59)
+        jobs.access_log_batch(spark, raw, out, marks, "log", now, zone="Etc/GMT+5")
+    assert spark.read.parquet(out).count() == 4 and marks.get("log") == datetime(2024, 6, 15, 10)
+
+
+def test_scan_to_upsert_jobs(spark, tmp_path, at):
+    marks = sources.Bookmarks(spark, str(tmp_path / "marks"))
+    schema = "k int, ts timestamp_ntz, v string, Op string"
+    first = spark.createDataFrame(
+        [(1, at("06-15 13:10", 1985), "old", "I"), (2, at("06-15 13:20"), "b", "I")], schema
+    )
+    second = spark.createDataFrame(
+        [(1, at("06-15 14:10"), "new", "U"), (2, at("06-15 14:20"), None, "D")], schema
+    )
+    hours, days, inbox = (str(tmp_path / n) for n in ("hours", "days", "inbox"))
+    for n, rows in ((13, first), (14, second)):
+        rows.write.parquet(f"{hours}/year=2024/month=6/day=15/hour={n}")
+        rows.write.parquet(f"{days}/2024/06/{n}")
+        rows.write.parquet(f"{inbox}/{n}")
+        now = datetime(2024, 6, 15, n, 30)
+        done = jobs.upsert_hours(spark, hours, str(tmp_path / "a"), marks, "a", ["k"], "ts", now)
+        other = jobs.upsert_days(
+            spark, days, str(tmp_path / "b"), marks, "b", ["k"], "ts", datetime(2024, 6, n)
+        )
+        files = jobs.upsert_files(
+            spark, inbox, str(tmp_path / "seen"), str(tmp_path / "c"), ["k"], "ts", schema
+        )
+        expected = [(1, "old"), (2, "b")] if n == 13 else [(1, "new")]
+        for table in ("a", "b", "c"):
+            assert rows_of(spark.read.parquet(str(tmp_path / table)), "k", "v") == sorted(expected)
+    assert (done["inserted"], done["updated"], done["deleted"], done["total"]) == (2, 1, 1, 4)
+    assert done["min_ts"] == at("06-15 13:10", 1985) and other["max_ts"] == at("06-15 14:20")
+    assert [f["total"] for f in files] == [2] and marks.get("a") == datetime(2024, 6, 15, 14)
 
 
 def test_upsert_job_with_overlap(spark, tmp_path, at):
@@ -426,6 +521,19 @@ def test_incremental_append_is_strict(spark, at):
     assert incremental_append(stored.where("false"), new, "ts").count() == 3
 
 
+def test_missing_rows_of_any_time(spark, at):
+    schema = "ts timestamp_ntz, v string"
+    stored = spark.createDataFrame([(at("01-02 00:00"), "a"), (at("01-02 00:00"), "b")], schema)
+    source = [(at("01-02 00:00"), "a"), (at("01-02 00:00"), "c"), (at("01-01 00:00"), "late")]
+    source += [(None, "null"), (at("01-02 00:00"), "b"), (at("01-02 00:00"), "b")]
+    source = spark.createDataFrame(source, schema)
+    new = missing_rows(stored, source)
+    assert rows_of(new, "v") == [("b",), ("c",), ("late",), ("null",)]
+    assert missing_rows(stored.union(new), source).isEmpty()
+    near = missing_rows(stored, source, "ts", at("01-02 00:00"), timedelta(hours=1))
+    assert rows_of(near, "v") == [("b",), ("c",), ("null",)]
+
+
 def test_incremental_merge_takes_the_targets_columns(spark):
     stored = spark.createDataFrame([(1, "a")], "k int, v string")
     later = spark.createDataFrame([(1, 5, "b"), (2, 6, "c")], "k int, extra int, v string")
@@ -570,6 +678,7 @@ def test_log_job_without_lines(spark, tmp_path):
     marks = sources.Bookmarks(spark, str(tmp_path / "marks"))
     now = datetime(2024, 6, 15, 14, 30)
     jobs.access_log_batch(spark, raw, out, marks, "log", now, missing="skip")
+    assert marks.get("log") is None
     _land(spark, raw, 14, "garbage")
     jobs.access_log_batch(spark, raw, out, marks, "log", now, missing="skip")
-    assert marks.get("log") is None and spark.read.parquet(out).count() == 1
+    assert marks.get("log") == datetime(2024, 6, 15, 14) and spark.read.parquet(out).count() == 1
