@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from martflow.llm.common import staged
 
 
+def fewer(edges: DataFrame, label: str = "ties") -> DataFrame:
+    """Edges that connect the same nodes, about one for each node.
+
+    Every node keeps the edge to its smallest neighbour in ``_b``, and its other
+    neighbours are tied to that one as well, which many nodes have in common.  For edges
+    in which a node stands in ``_a`` a bounded number of times."""
+    smallest = F.min("_b").over(Window.partitionBy("_a"))
+    ties = staged(edges.select("_a", "_b").distinct().withColumn("_m", smallest), label)
+    near = ties.select("_a", F.col("_m").alias("_b"))
+    far = ties.select(F.col("_b").alias("_a"), F.col("_m").alias("_b"))
+    return near.union(far).where("_a != _b").distinct()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``(_node, _root)`` for every node of ``edges`` (``_a``, ``_b``: whole numbers):
     the smallest node that it is connected with.

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martflow.llm.common import slices, staged
-from martflow.llm.graph import components
+from martflow.llm.graph import components, fewer
 from martflow.llm.words import mix, runs, within, words_of
 from martflow.session import plan_unions_safely
 
@@ -226,9 +226,9 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> D
         bands.groupBy("_band").agg(F.min("_node").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_band", "_b"),
         "buckets",
     )
-    groups = components(
-        bands.join(buckets, "_band").where(F.col("_node") != F.col("_b")).select(F.col("_node").alias("_a"), "_b"), "candidates"
-    )
+    # At most one tie for each band of a text.
+    ties = bands.join(buckets, "_band").where(F.col("_node") != F.col("_b")).select(F.col("_node").alias("_a"), "_b")
+    groups = components(fewer(ties), "candidates")
     sizes = groups.groupBy("_root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     members = staged(
         groups.join(staged(sizes, "sizes"), "_root")
@@ -267,7 +267,7 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> D
 
     found = staged(sent.groupBy("_root", "_low", "_high").applyInArrow(compare, "_a long, _n long, _b long"), "found")
     counts = found.groupBy(F.col("_a").alias("_node")).agg(F.sum("_n").alias("_n"))
-    roots = components(found.where("_a != _b"), "links")
+    roots = components(fewer(found.where("_a != _b")), "links")
     named = roots.join(classes.select("_node", "_first"), "_node")
     names = staged(named.groupBy("_root").agg(F.min("_first").alias("_component")), "names")
     linked = staged(

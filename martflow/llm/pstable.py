@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martflow.llm.common import staged, tasks
-from martflow.llm.graph import components
+from martflow.llm.graph import components, fewer
 from martflow.llm.ngram import forest
 from martflow.llm.vectors import LOWEST, clean, matrix
 from martflow.llm.words import mix
@@ -154,7 +154,7 @@ def near(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         sent.repartition(tasks(vectors.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(compare, "_a long, _n long, _b long"), "found"
     )
     counts = found.groupBy(F.col("_a").alias("_node")).agg(F.sum("_n").alias("_n"))
-    roots = components(found.where("_a != _b").select("_a", "_b"), "links")
+    roots = components(fewer(found.where("_a != _b")), "links")
     names = staged(
         roots.join(classes.select("_node", "_first"), "_node").groupBy("_root").agg(F.min("_first").alias("_component")), "names"
     )
