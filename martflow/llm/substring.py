@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +47,17 @@ _COPY, _ANCHOR, _LATER = 0, 1, 2
 _SIDE = "_b int, _kind int, _id long, _at long"
 
 
+def text_of(rows: pa.Table) -> list[str | None]:
+    return pc.struct_field(rows.column("_row"), "text").to_pylist()
+
+
 class Bucket:
     """The documents of a bucket in their order, and the words of those that are no
     copies of an earlier text."""
 
     def __init__(self, rows: pa.Table, side: pa.Table):
         ids = rows.column("_id").to_pylist()
-        texts = rows.column("_text").to_pylist()
+        texts = text_of(rows)
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or ""))
         self.texts = [texts[i] for i in self.order]
         kind = side.column("_kind").to_numpy()
@@ -129,9 +134,8 @@ def dedup(docs: DataFrame, removed_names: tuple[str, str] | None = None) -> Data
         "later",
     )
     # The documents' own columns travel in one struct, so no name of theirs can clash.
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), inner.alias("_id"), text.alias("_text")
-    ).withColumn("_b", bucket)
+    own = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("_row"), inner.alias("_id")).withColumn("_b", bucket)
 
     def name_anchors(rows: pa.Table, side: pa.Table) -> pa.Table:
         own = Bucket(rows, side)
