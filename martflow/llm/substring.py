@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from martflow.llm.common import copies, pick, staged
 from martflow.llm.words import bounds, runs, within, words_of
@@ -189,7 +190,7 @@ def dedup(docs: DataFrame, removed_names: tuple[str, str] | None = None) -> Data
             last = (a[-1], b[-1])
             yield pa.RecordBatch.from_arrays([batch.column("_id").filter(pa.array(again)), batch.column("_at").filter(pa.array(again))], names=["_id", "_at"])
 
-    out_type = rows.select("_row", F.lit("").alias("_kept"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_cut")).schema
+    out_type = StructType([rows.schema["_row"], StructField("_kept", StringType()), StructField("_n", LongType()), StructField("_cut", LongType())])
 
     def remove(rows: pa.Table, side: pa.Table) -> pa.Table:
         own = Bucket(rows, side)
