@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ PENALTY = 10.0
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LONG = 64  # longer words are not kept
 _KNOWN = 150_000
+_POOL = 8_000_000  # ids of known words
+_NEAR = 4  # characters whose endings are remembered
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -62,6 +65,7 @@ class Pieces:
             for at in range(1, len(piece)):
                 self.tails.setdefault(piece[at:], (0.0, -1))
         self.tails |= self.rank
+        self.endings: dict[str, tuple] = {}
         if any(MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("a piece has a mark after another character")
         self._clear()
@@ -69,47 +73,84 @@ class Pieces:
     def _clear(self):
         self.known: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, dtype=np.int32)
-        self.start, self.size, self.used = [], [], 0
+        self.start = self.size = self.uses = np.zeros(0, dtype=np.int64)
+        self.used = 0
+
+    def _forget(self):
+        """Make room: keep the half of the known words that occurred most."""
+        index = np.fromiter(self.known.values(), dtype=np.int64, count=len(self.known))
+        kept = np.argsort(-self.uses[index], kind="stable")[: _KNOWN // 2]
+        words = list(self.known)
+        self.known = {words[i]: k for k, i in enumerate(kept.tolist())}
+        index = index[kept]
+        ids, self.size = gather(self.pool, self.start[index], self.size[index]), self.size[index]
+        self.start, self.uses = np.cumsum(self.size) - self.size, self.uses[index] // 2
+        self.pool, self.used = np.concatenate((ids, np.zeros(1 << 16, dtype=np.int32))), len(ids)
 
     def segment(self, words: list[str]) -> tuple[list[list[int]], int]:
         """Ids of sorted words; also the number of characters whose forward scores were
         computed (not taken from the word before)."""
         out, computed = [], 0
         last = ""
-        best, back = [0.0], [(0, -1)]  # score of each prefix; start and id of its last piece
-        tails, unknown = self.tails, self.unknown
+        deepest = max(map(len, words), default=0) + 1
+        # For each prefix: its score, the start of its last piece and the piece's id.
+        best, since, piece = [0.0] * deepest, [0] * deepest, [-1] * deepest
+        tails, unknown, endings = self.tails, self.unknown, self.endings
+        if len(endings) > _KNOWN:
+            endings.clear()
         for word in words:
             same = 0
             for a, b in zip(last, word):  # noqa: B905  (they differ in length)
                 if a != b:
                     break
                 same += 1
-            del best[same + 1 :], back[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
+            n = len(word)
+            for end in range(same + 1, n + 1):
+                lo = end - _NEAR if end > _NEAR else 0
+                near = word[lo:end]
+                try:
+                    found, more = endings[near]
+                except KeyError:
+                    found, more = endings[near] = self._endings(near)
                 top, at, which = best[end - 1] + unknown, end - 1, -1
-                for begin in range(end - 1, -1, -1):
-                    found = tails.get(word[begin:end])
-                    if found is None:  # no piece ends like this
-                        break
-                    if found[1] >= 0:
-                        score = best[begin] + found[0]
-                        if score >= top:  # of equal scores the longer last piece
-                            top, at, which = score, begin, found[1]
-                best.append(top)
-                back.append((at, which))
-                computed += 1
+                for length, value, i in found:
+                    score = best[end - length] + value
+                    if score >= top:  # of equal scores the longer last piece
+                        top, at, which = score, end - length, i
+                if more:  # longer pieces may end here
+                    for begin in range(lo - 1, -1, -1):
+                        tail = tails.get(word[begin:end])
+                        if tail is None:
+                            break
+                        if tail[1] >= 0:
+                            score = best[begin] + tail[0]
+                            if score >= top:
+                                top, at, which = score, begin, tail[1]
+                best[end], since[end], piece[end] = top, at, which
+            computed += n - same
             last = word
-            ids, end = [], len(word)
+            ids, end = [], n
             while end:
-                begin, which = back[end]
-                if which >= 0:
-                    ids.append(which)
+                if piece[end] >= 0:
+                    ids.append(piece[end])
                 else:
-                    ids += [int(self.bytes[b]) for b in reversed(word[begin:end].encode())]
-                end = begin
-            out.append(ids[::-1])
+                    ids += [int(self.bytes[b]) for b in reversed(word[since[end] : end].encode())]
+                end = since[end]
+            ids.reverse()
+            out.append(ids)
         return out, computed
 
+    def _endings(self, near: str) -> tuple[tuple[tuple[int, float, int], ...], bool]:
+        """The pieces that a few characters end with, and whether longer ones may."""
+        out = []
+        for length in range(1, len(near) + 1):
+            found = self.tails.get(near[-length:])
+            if found is None:
+                return tuple(out), False
+            if found[1] >= 0:
+                out.append((length, *found))
+        return tuple(out), True
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text's."""
         words, counts = [], []
@@ -117,35 +158,29 @@ class Pieces:
             found = _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
             words += found
             counts.append(len(found))
-        if len(self.known) > _KNOWN:
-            self._clear()
+        if len(self.known) > _KNOWN or self.used > _POOL:
+            self._forget()
         new = sorted(set(words) - self.known.keys())
         ids, _ = self.segment(new)
-        passing: dict[str, int] = {}
-        base = self.used
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        total = int(sizes.sum())
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        total, base, first = int(sizes.sum()), self.used, len(self.start)
         while base + total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.pool[base : base + total] = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=total)
+        self.pool[base : base + total] = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=total)
         self.used += total
-        first = len(self.start)
-        self.start += (base + np.cumsum(sizes) - sizes).tolist()
-        self.size += sizes.tolist()
+        self.start = np.concatenate((self.start, base + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        passing: dict[str, int] = {}
         for k, word in enumerate(new):
             (self.known if len(word) <= _LONG else passing)[word] = first + k
-        known = self.known
-        if passing:
-            which = np.array([known[w] if w in known else passing[w] for w in words], dtype=np.int64)
-        else:
-            which = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        start, size = np.array(self.start, dtype=np.int64)[which], np.array(self.size, dtype=np.int64)[which]
+        place = self.known | passing if passing else self.known
+        which = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
+        self.uses = np.concatenate((self.uses, np.zeros(len(new), dtype=np.int64)))
+        self.uses += np.bincount(which, minlength=len(self.uses))
+        size = self.size[which]
         ends = np.concatenate(([0], np.cumsum(size)))
         cuts = np.concatenate(([0], np.cumsum(np.array(counts, dtype=np.int64))))
-        out = gather(self.pool, start, size)
-        if self.used > 8_000_000:
-            self._clear()
-        return out, np.diff(ends[cuts])
+        return gather(self.pool, self.start[which], size), np.diff(ends[cuts])
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of some ids: bytes together as UTF-8, marks as spaces, without the
