@@ -523,9 +523,9 @@ FROM shown, shop_products WHERE product_id = k"""
 {_PERCENT_SQL}""",
 )
 def product_conversion_percent(spark, sf):
-    """MART-1, SRT-1, FN-6, FN-8, FN-11."""
+    """MART-1, FN-6, FN-8, FN-11."""
     return marts.product_conversion_percent(
-        _staged_logs(spark, sf), shop_orders(spark, sf), shop_products(spark, sf), ordered=True
+        _staged_logs(spark, sf), shop_orders(spark, sf), shop_products(spark, sf)
     )
 
 

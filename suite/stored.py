@@ -12,6 +12,7 @@ from martflow import operators as op, sinks, sources, streaming
 from martflow.functions import parse_access_log, with_partitions
 from martflow.plans import Project, jobs, listings_project, marts, shop_project
 from martflow.session import scratch_dir
+from martflow.sinks import writers
 from suite.inputs import (
     CHANGES_SQL,
     LISTINGS_SQL,
@@ -44,7 +45,12 @@ from suite.registry import query
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 _HOURS = ("year", "month", "day", "hour")
-_MONTH = (datetime(2024, 1, 1), datetime(2024, 1, 31, 23))
+_MID = datetime(2024, 1, 16)
+
+
+def _span(spark, sf):
+    """First and last time of the events: no query is bound to a month."""
+    return tuple(given(spark, sf, "events").agg(F.min("ts"), F.max("ts")).head())
 
 
 def _name(spark, label):
@@ -57,7 +63,7 @@ def _landed_lines(spark, sf, root):
     """Raw lines in hour folders by arrival time, as a landing writes them."""
     rows = streaming.hourly_rows(access_lines(spark, sf), "ts", tz="UTC")
     rows = rows.select("@timestamp", "log", *_HOURS)
-    rows.repartition(8, *_HOURS).write.partitionBy(*_HOURS).json(root)
+    sinks.cluster_for_write(rows, _HOURS).write.partitionBy(*_HOURS).json(root)
 
 
 # --- scans -----------------------------------------------------------------
@@ -71,7 +77,7 @@ def scan_hours_json(spark, sf):
     """SRC-1: hours without a folder are skipped here, as the data has gaps at its ends."""
     root = scratch_dir(spark, "raw-log")
     _landed_lines(spark, sf, root)
-    return sources.scan_hours(spark, root, *_MONTH, missing="skip").select("log")
+    return sources.scan_hours(spark, root, *_span(spark, sf), missing="skip").select("log")
 
 
 @query("scan_hours_parquet", "SELECT event_id, user_id, event_type, ts FROM events")
@@ -80,8 +86,8 @@ def scan_hours_parquet(spark, sf):
     root = scratch_dir(spark, "raw-events")
     events = given(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
     landed = with_partitions(events, "ts")
-    landed.repartition(8, *_HOURS).write.partitionBy(*_HOURS).parquet(root)
-    found = sources.scan_hours(spark, root, *_MONTH, fmt="parquet", missing="skip")
+    sinks.write_partitions(landed, root, _HOURS, mode="overwrite")
+    found = sources.scan_hours(spark, root, *_span(spark, sf), fmt="parquet", missing="skip")
     return found.drop(*_HOURS)
 
 
@@ -95,7 +101,7 @@ def prune_hours(spark, sf):
     """SRC-1, SRC-10: range of hours of a table, by partition pruning."""
     root = scratch_dir(spark, "events")
     events = with_partitions(given(spark, sf, "events").select("event_id", "ts"), "ts")
-    events.repartition(8, *_HOURS).write.partitionBy(*_HOURS).parquet(root)
+    sinks.write_partitions(events, root, _HOURS, mode="overwrite")
     table = sources.scan_full(spark, root)
     kept = sources.prune_hours(table, datetime(2024, 1, 10, 5), datetime(2024, 1, 20, 17))
     return kept.select("event_id", "ts")
@@ -244,12 +250,7 @@ def unprocessed_files(spark, sf):
         if batch is not None:
             batch.write.mode("append").parquet(root)
         new = sources.unprocessed_files(spark, root, ledger)
-        read = sources.scan_full(spark, root, customer.schema)
-        place = F.regexp_replace(F.col("_metadata.file_path"), "^.*/", "")
-        files = new.select(F.regexp_replace("file_name", "^.*/", "").alias("_file"))
-        read.withColumn("_file", place).join(files, "_file", "left_semi").drop(
-            "_file"
-        ).write.mode("append").parquet(out)
+        sources.read_unprocessed(spark, new, customer.schema).write.mode("append").parquet(out)
         sources.mark_processed(new, ledger, datetime(2024, 1, 1, hour))
     return spark.read.parquet(out)
 
@@ -342,7 +343,12 @@ def inserted_rows(spark, sf):
     swapped = given(spark, sf, "customer").select("c_name", "c_custkey")
     sinks.insert_into(swapped, name)
     assert name.split(".")[1] in sinks.list_tables(spark, "martflow_suite")
-    return sources.table(spark, name)
+    rows = spark.read.parquet(root)
+    gone, other = _name(spark, "dropped")
+    sinks.create_table(spark, gone, "c_custkey bigint", path=other)
+    sinks.drop_table(spark, gone)
+    assert gone.split(".")[1] not in sinks.list_tables(spark, "martflow_suite")
+    return rows
 
 
 @query("published_table", "SELECT p_partkey, p_name FROM part")
@@ -445,9 +451,171 @@ def reloaded_table(spark, sf):
     return sources.scan_full(spark, root).drop("year")
 
 
+_TEXT_MONTHS_SQL = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 OR month(o_orderdate) = 3
+  THEN lpad(cast(month(o_orderdate) % 12 + 1 AS varchar), 2, '0')
+  ELSE lpad(cast(month(o_orderdate) AS varchar), 2, '0') END AS o_month
+FROM orders WHERE o_orderkey % 10 <> 2"""
+
+
+@query("upsert_text_partitions", _TEXT_MONTHS_SQL)
+def upsert_text_partitions(spark, sf):
+    """MRG-1, MRG-2: rows move and go between folders named by zero-padded text; one
+    folder is emptied."""
+    root = scratch_dir(spark, "orders")
+    month = F.lpad(F.month("o_orderdate").cast("string"), 2, "0")
+    orders = given(spark, sf, "orders").select("o_orderkey", month.alias("o_month"))
+    sinks.upsert_path(spark, root, orders, ["o_orderkey"], ["o_month"])
+    following = F.lpad((F.col("o_month").cast("int") % 12 + 1).cast("string"), 2, "0")
+    gone = F.col("o_orderkey") % 10 == 2
+    changed = orders.where(gone | (F.col("o_orderkey") % 10 == 1) | (F.col("o_month") == "03"))
+    batch = changed.withColumn("Op", F.when(gone, "D").otherwise("U")).withColumn("o_month", following)
+    for _ in range(2):
+        sinks.upsert_path(spark, root, batch, ["o_orderkey"], ["o_month"])
+    return sources.scan_full(spark, root, orders.schema)
+
+
+@query("upsert_after_empty", "SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 0")
+def upsert_after_empty(spark, sf):
+    """MRG-2: a table whose last row was deleted takes the next batch."""
+    root = scratch_dir(spark, "customers")
+    customers = given(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    rows = customers.drop("c_acctbal")
+    for batch in (rows, rows.withColumn("Op", F.lit("D")), customers.where("c_acctbal > 0").drop("c_acctbal")):
+        sinks.upsert_path(spark, root, batch, ["c_custkey"], ["c_nationkey"])
+    return sources.scan_full(spark, root, rows.schema)
+
+
+@query("drop_many_partitions", "SELECT o_orderkey, o_custkey % 300 AS part FROM orders WHERE o_custkey % 300 % 3 > 0")
+def drop_many_partitions(spark, sf):
+    """MRG-6: any number of partitions, none of them listed on the driver."""
+    root = scratch_dir(spark, "orders")
+    orders = given(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey % 300 as part")
+    sinks.write_partitions(orders, root, ["part"], mode="overwrite")
+    sinks.drop_partitions(spark, root, ["part"], "part % 3 = 0")
+    return sources.scan_full(spark, root, orders.schema)
+
+
+@query(
+    "merge_partitions_null_keys",
+    """
+SELECT CASE WHEN event_id % 7 > 0 THEN event_id END AS event_id, event_type,
+  CASE WHEN event_id % 7 > 0 AND event_id % 2 = 0 THEN value + 1 ELSE value END AS value FROM events
+UNION ALL SELECT NULL, event_type, value + 1 FROM events WHERE event_id % 14 = 0""",
+)
+def merge_partitions_null_keys(spark, sf):
+    """SNK-3: the batch's row wins, and rows without a key all stay."""
+    root = scratch_dir(spark, "events")
+    events = given(spark, sf, "events").selectExpr(
+        "case when event_id % 7 > 0 then event_id end as event_id", "event_type", "value", "event_id as n"
+    )
+    batch = events.where("n % 2 = 0").withColumn("value", F.col("value") + 1)
+    for rows in (events, batch, batch):
+        sinks.write_partitions(rows, root, ["event_type"], keys=["event_id"])
+    return sources.scan_full(spark, root).select("event_id", "event_type", "value")
+
+
 # --- bookmarks and jobs ----------------------------------------------------
 
 
+def _shifted_lines(spark, sf):
+    """Lines of which every fiftieth has a clock four hours fast."""
+    lines = access_lines(spark, sf)
+    fast = F.date_format(F.col("ts") + F.expr("interval 4 hours"), "yyyy-MM-dd HH:mm:ss")
+    moved = F.regexp_replace("log", r"^\|[^|]+\|", F.concat(F.lit("|"), fast, F.lit("|")))
+    return lines.withColumn("log", F.when(F.col("event_id") % 50 == 7, moved).otherwise(F.col("log")))
+
+
+def _log_runs(spark, sf, lines, tz, cut):
+    """Land lines by a local clock and parse them in two runs."""
+    raw, out = scratch_dir(spark, "raw-log"), scratch_dir(spark, "parsed-log")
+    rows = streaming.hourly_rows(lines, "ts", tz=tz).select("@timestamp", "log", *_HOURS)
+    sinks.cluster_for_write(rows, _HOURS).write.partitionBy(*_HOURS).json(raw)
+    state = sources.Bookmarks(spark, scratch_dir(spark, "bookmarks"))
+    for now in (cut, _span(spark, sf)[1]):
+        jobs.access_log_batch(spark, raw, out, state, "log", now, missing="skip", by=_HOURS[:3], zone=tz)
+    return sources.scan_full(spark, out)
+
+
+@query(
+    "access_log_fast_clock",
+    f"""
+WITH {LOGS_SQL} SELECT CASE WHEN event_id % 50 = 7 AND log <> 'garbage'
+  THEN strftime(ts + INTERVAL 4 HOUR, '%Y-%m-%d %H:%M:%S') ELSE "timestamp" END AS "timestamp", endpoint
+FROM (SELECT l.log, f.* FROM logs f JOIN lines l ON l.event_id = f.event_id)""",
+)
+def access_log_fast_clock(spark, sf):
+    """BMK-7: no line's own clock moves the bookmark."""
+    parsed = _log_runs(spark, sf, _shifted_lines(spark, sf), "UTC", datetime(2024, 1, 16, 12))
+    return parsed.select("timestamp", "endpoint")
+
+
+@query("access_log_local_zone", f'WITH {LOGS_SQL} SELECT "timestamp", endpoint, product_id FROM logs')
+def access_log_local_zone(spark, sf):
+    """BMK-7, SNK-11: folders named by a clock west of UTC."""
+    parsed = _log_runs(spark, sf, access_lines(spark, sf), "America/Bogota", datetime(2024, 1, 16, 2, 30))
+    return parsed.select("timestamp", "endpoint", "product_id")
+
+
+_LATEST_EVENT_SQL = """
+SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER
+  (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+WHERE n = 1 AND event_type <> 'error'"""
+_DAYS = ("year", "month", "day")
+
+
+def _event_changes(spark, sf):
+    code = F.when(F.col("event_type") == "error", "D").otherwise("U")
+    return given(spark, sf, "events").select("user_id", "event_id", "event_type", "ts", code.alias("Op"))
+
+
+@query("upsert_hours_job", _LATEST_EVENT_SQL)
+def upsert_hours_job(spark, sf):
+    """SRC-2, CDC-1, MRG-1, BMK-7 as one job, in two runs; the second opens the hours
+    from the bookmark on."""
+    raw, out = scratch_dir(spark, "raw"), scratch_dir(spark, "table")
+    changes = _event_changes(spark, sf)
+    sinks.write_partitions(with_partitions(changes, "ts"), raw, _HOURS, mode="overwrite")
+    state = sources.Bookmarks(spark, scratch_dir(spark, "bookmarks"))
+    for now in (_MID, _span(spark, sf)[1]):
+        jobs.upsert_hours(
+            spark, raw, out, state, "events", ["user_id"], "ts", now, schema=changes.schema, tie_break=["event_id"]
+        )
+    return sources.scan_full(spark, out).drop(*_DAYS)
+
+
+@query("upsert_days_job", _LATEST_EVENT_SQL)
+def upsert_days_job(spark, sf):
+    """SRC-3 with CDC-1 and MRG-1 as one job, in two runs."""
+    raw, out = scratch_dir(spark, "raw"), scratch_dir(spark, "table")
+    changes = _event_changes(spark, sf)
+    _land_days(spark, changes, "ts", raw)
+    state = sources.Bookmarks(spark, scratch_dir(spark, "bookmarks"))
+    for now in (_MID, _span(spark, sf)[1]):
+        jobs.upsert_days(
+            spark, raw, out, state, "events", ["user_id"], "ts", now, schema=changes.schema, tie_break=["event_id"]
+        )
+    return sources.scan_full(spark, out).drop(*_DAYS)
+
+
+@query("upsert_files_job", _LATEST_EVENT_SQL)
+def upsert_files_job(spark, sf):
+    """SRC-7, CDC-4, CDC-8 and MRG-1 as one job: two deliveries, then none."""
+    inbox, seen, out = (scratch_dir(spark, n) for n in ("inbox", "seen", "table"))
+    changes = _event_changes(spark, sf)
+    early = F.col("ts") < F.lit(_MID).cast("timestamp_ntz")
+    total = 0
+    for rows in (changes.where(early), changes.where(~early), None):
+        if rows is not None:
+            rows.write.mode("append").parquet(inbox)
+        done = jobs.upsert_files(
+            spark, inbox, seen, out, ["user_id"], "ts", changes.schema, tie_break=["event_id"]
+        )
+        total += sum(d["total"] for d in done)
+    assert total == changes.count()
+    return sources.scan_full(spark, out).drop(*_DAYS)
+
+
 @query(
     "bookmarks",
     """
@@ -459,12 +627,12 @@ def bookmarks(spark, sf):
     """BMK-1 to BMK-4, BMK-7: two settings per table; the later one is in force."""
     events = given(spark, sf, "events")
     state = sources.Bookmarks(spark, scratch_dir(spark, "bookmarks"))
-    newest = events.groupBy("event_type").agg(F.max("ts").alias("ts")).collect()
-    for row in newest:
-        start = datetime(2024, 1, 1)
-        state.set(row["event_type"], row["ts"] - timedelta(days=1), datetime(2024, 2, 1), start)
-        state.set(row["event_type"], row["ts"], datetime(2024, 2, 2), start)
-        state.advance(row["event_type"], None, datetime(2024, 2, 3))
+    newest = events.groupBy(F.col("event_type").alias("table_name")).agg(F.max("ts").alias("ts"))
+    start = datetime(2024, 1, 1)
+    earlier = newest.withColumn("ts", F.col("ts") - F.expr("interval 1 day"))
+    state.set_many(earlier, datetime(2024, 2, 1), start)
+    state.set_many(newest, datetime(2024, 2, 2), start)
+    state.advance("view", None, datetime(2024, 2, 3))
     state.compact()
     return state.current()
 
@@ -479,7 +647,7 @@ def access_log_job(spark, sf):
     raw, out = scratch_dir(spark, "raw-log"), scratch_dir(spark, "parsed-log")
     _landed_lines(spark, sf, raw)
     state = sources.Bookmarks(spark, scratch_dir(spark, "bookmarks"))
-    for now in (datetime(2024, 1, 16, 12), _MONTH[1]):
+    for now in (datetime(2024, 1, 16, 12), _span(spark, sf)[1]):
         jobs.access_log_batch(
             spark,
             raw,
@@ -487,7 +655,6 @@ def access_log_job(spark, sf):
             state,
             "access_log",
             now,
-            default_start=_MONTH[0],
             missing="skip",
             by=_HOURS[:3],
         )
@@ -535,16 +702,19 @@ def change_upsert_job(spark, sf):
     return sources.scan_full(spark, root).drop(*parts)
 
 
-def _shop(spark, sf, mart):
-    """The shop's models, run twice as data arrives."""
+def _shop(spark, sf, mart, first_orders=None, first_logs=None):
+    """The shop's models, run twice as data arrives: by default to mid-month, then all."""
     logs, orders = parse_access_log(access_lines(spark, sf)), shop_orders(spark, sf)
+    if first_orders is None:
+        first_orders = orders.where(F.col("order_dt") < F.lit(_MID).cast("timestamp_ntz"))
+        first_logs = logs.where(F.col("timestamp") < str(_MID))
     project = None
-    for until in ("2024-01-16 00:00:00", "2024-02-01 00:00:00"):
+    for orders_now, logs_now in ((first_orders, first_logs), (orders, logs)):
         sources_now = {
             "customers": shop_customers(spark, sf),
             "products": shop_products(spark, sf),
-            "orders": orders.where(f"order_dt < timestamp_ntz'{until}'"),
-            "access_log": logs.where(F.col("timestamp") < until),
+            "orders": orders_now,
+            "access_log": logs_now,
         }
         if project is None:
             root, run = scratch_dir(spark, "models"), uuid.uuid4().hex[:8]
@@ -575,6 +745,54 @@ def shop_models_customer(spark, sf):
     return _shop(spark, sf, "info_customer_conversion_rate")
 
 
+@query(
+    "shop_models_late_rows",
+    f"WITH {LOGS_SQL}, {SHOP_SQL}, {_DIM_PRODUCT_SQL},"
+    + _conversion_sql("product_id", "product_name", "dim_product", "product_name", _ANY),
+)
+def shop_models_late_rows(spark, sf):
+    """MDL-5, MDL-6: the second run brings rows of times, and instants, stored before."""
+    logs, orders = parse_access_log(access_lines(spark, sf)), shop_orders(spark, sf)
+    return _shop(
+        spark,
+        sf,
+        "info_product_conversion_rate",
+        orders.where("order_id % 3 > 0"),
+        logs.where("coalesce(product_id, 0) % 3 > 0"),
+    )
+
+
+@query("merge_model_repeated_keys", f"WITH {SHOP_SQL} SELECT * FROM shop_orders")
+def merge_model_repeated_keys(spark, sf):
+    """MDL-6: a first load with several versions of a key stores the newest; an older
+    one that comes later is ignored."""
+    project = Project(spark, scratch_dir(spark, "models"), prefix=f"mf_{uuid.uuid4().hex[:8]}_")
+    rules = {"newer_than": "last_update_time", "on_duplicate": "latest"}
+
+    @project.model("fact_orders", refs=["orders"], materialized="merge", keys=["order_id"], options=rules)
+    def _(ctx):
+        return marts.fact_orders(ctx.ref("orders"))
+
+    orders = shop_orders(spark, sf)
+    older = orders.withColumn("order_price", F.lit(-1)).withColumn(
+        "last_update_time", F.col("last_update_time") - F.expr("interval 1 day")
+    )
+    for rows in (orders.unionByName(older), older):
+        project.source("orders", rows)
+        frames = project.run()
+    return frames["fact_orders"]
+
+
+@query("conversion_percent_stored", _PERCENT_SQL)
+def conversion_percent_stored(spark, sf):
+    """MART-1 as a table partitioned by text dates, rows without a date included."""
+    root = scratch_dir(spark, "percent")
+    logs = marts.stg_accesslog(parse_access_log(access_lines(spark, sf)))
+    mart = marts.product_conversion_percent(logs, shop_orders(spark, sf), shop_products(spark, sf))
+    sinks.write_partitions(mart, root, ["year", "month", "day"], mode="overwrite_partitions")
+    return writers.stored_rows(spark, root)
+
+
 @query(
     "listings_models",
     f"""
@@ -629,8 +847,8 @@ def layered_models(spark, sf):
         return ctx.ref("fact_orders")
 
     orders = shop_orders(spark, sf)
-    for until in ("2024-01-16 00:00:00", "2024-02-01 00:00:00"):
-        project.source("orders", orders.where(f"order_dt < timestamp_ntz'{until}'"))
+    for rows in (orders.where(F.col("order_dt") < F.lit(_MID).cast("timestamp_ntz")), orders):
+        project.source("orders", rows)
         frames = project.run()
     return frames["orders_by_time"]
 
@@ -680,9 +898,9 @@ def stream_upsert(spark, sf):
     ).withColumn("Op", code)
     days = ["year", "month", "day"]
     mid = "ts < timestamp_ntz'2024-01-11 00:00:00'"
-    for low, high in (("01-11", "01-21"), ("01-21", "02-01")):
-        from_, to = (f"timestamp_ntz'2024-{day} 00:00:00'" for day in (low, high))
-        changes.where(f"ts >= {from_} and ts < {to}").coalesce(1).write.mode("append").parquet(landing)
+    late = "ts >= timestamp_ntz'2024-01-21 00:00:00'"
+    for rows in (changes.where(f"not ({mid}) and not ({late})"), changes.where(late)):
+        rows.write.mode("append").parquet(landing)
     stream = (
         spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     )
@@ -747,6 +965,71 @@ def routed_tables(spark, sf):
     return rows.select("offset", "user_id", "event_type")
 
 
+@query(
+    "routed_second_checkpoint",
+    """
+SELECT event_id AS "offset", user_id, event_type FROM events WHERE event_type = 'purchase'""",
+)
+def routed_second_checkpoint(spark, sf):
+    """SNK-13: topics read again from the start under a new checkpoint, then compacted."""
+    root, landing = scratch_dir(spark, "routed"), scratch_dir(spark, "topics")
+    topics = given(spark, sf, "events").select(
+        F.concat(F.lit("rdb.shop."), "event_type").alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.to_json(F.struct("user_id", "event_type")).alias("value"),
+    )
+    for part in (topics.where("offset % 2 = 0"), topics.where("offset % 2 = 1")):
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(topics.schema).parquet(landing)
+        streaming.route_to_tables(
+            stream, root, scratch_dir(spark, "progress"), r"rdb\.shop\.(.*)", once=True
+        ).awaitTermination()
+    streaming.compact_routed(spark, root, "purchase")
+    rows = streaming.routed_table(spark, root, "purchase", "user_id bigint, event_type string")
+    return rows.select("offset", "user_id", "event_type")
+
+
+@query(
+    "change_stream_tables",
+    """
+SELECT 'customer' AS source, c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 5 > 0
+UNION ALL SELECT 'part', p_partkey, upper(p_name) FROM part WHERE p_partkey % 5 > 0
+UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier WHERE s_suppkey % 5 > 0""",
+)
+def change_stream_tables(spark, sf):
+    """SRC-15: a snapshot and the envelopes of three tables, merged continuously; every
+    fifth row is deleted, and the names of parts change."""
+    tables = {
+        "customer": given(spark, sf, "customer").selectExpr("c_custkey as id", "c_name as name"),
+        "part": given(spark, sf, "part").selectExpr("p_partkey as id", "p_name as name"),
+        "supplier": given(spark, sf, "supplier").selectExpr("s_suppkey as id", "s_name as name"),
+    }
+    stored = []
+    for source, rows in tables.items():
+        root, landing = scratch_dir(spark, source), scratch_dir(spark, "landing")
+        image = F.struct("id", "name")
+        after = F.struct("id", (F.upper("name") if source == "part" else F.col("name")).alias("name"))
+        gone, none = F.col("id") % 5 == 0, F.lit(None).cast("struct<id:bigint,name:string>")
+        envelope = F.struct(
+            image.alias("before"),
+            F.when(gone, none).otherwise(after).alias("after"),
+            F.when(gone, "d").otherwise("u").alias("op"),
+            F.lit(1_704_067_200_000).alias("ts_ms"),
+        )
+        rows.select(F.to_json(envelope).alias("value")).write.parquet(landing)
+        stream = spark.readStream.schema("value string").parquet(landing)
+        slot = (F.col("id") % 4).cast("int")
+        changes = streaming.stream_changes(stream, "id bigint, name string").withColumn("slot", slot)
+        first = F.lit("2023-12-31 00:00:00").cast("timestamp_ntz")
+        snapshot = rows.select("id", "name", F.lit("I").alias("Op"), first.alias("changed_at"), slot.alias("slot"))
+        streaming.stream_upsert(
+            changes, root, scratch_dir(spark, "progress"), ["id"], "changed_at", ["slot"], snapshot=snapshot, once=True
+        ).awaitTermination()
+        stored.append(sources.scan_full(spark, root).select(F.lit(source).alias("source"), "id", "name"))
+    return op.union_frames(stored)
+
+
 @query(
     "topic_rows",
     """
