@@ -2,11 +2,13 @@
 
 A document longer than the window fills whole sequences; what remains of it has one of
 ``window`` lengths, so the remainders of any number of documents are one histogram of
-that size.  All combinations of two or three lengths that fill the window exactly are
-enumerated, and their repeat counts are the non-negative least-squares solution against
-the histogram, rounded so that no length is used more often than it occurs.  What is
-left is laid end to end in order of length and cut at window borders, so only the last
-sequence of all can be short.
+that size.  Combinations of two to ``DEPTH`` lengths that fill the window exactly are
+enumerated: all of a small window, a fixed draw of ``COLUMNS`` from a large one, where
+all would be hundreds of millions and their counts fractions of one.  Their repeat
+counts are the non-negative least-squares solution against the histogram, rounded so
+that no length is used more often than it occurs; further rounds do the same with what
+is left.  The rest is laid end to end in order of length and cut at window borders, so
+only the last sequence of all can be short.
 
 Cases: a null text is an empty one (its only id is the end id), and so is a text with
 no ids; rows that repeat a ``doc_id`` are packed each; a null ``doc_id`` stays null;
@@ -32,22 +34,32 @@ ENCODED = "doc_id long, part int, rest int, rank long, fulls long, n_tokens long
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def combinations(histogram: np.ndarray) -> np.ndarray:
-    """All pairs and triples of lengths that occur and fill the window exactly, as rows
-    of three, longest first; 0 stands for none.  ``histogram[n]``: pieces of length n."""
+DEPTH = 4
+COLUMNS = 4000
+ROUNDS = 24
+
+
+def combinations(histogram: np.ndarray, seed: int = 0, limit: int = COLUMNS) -> np.ndarray:
+    """Combinations of lengths that occur and fill the window exactly, as rows of
+    ``DEPTH`` numbers, longest first; 0 stands for none.  ``histogram[n]``: pieces of
+    length n.  All of them, or if they are more than ``limit``, about as many drawn in
+    proportion to the pieces."""
     window = len(histogram)
-    have = histogram > 0
-    out = []
-    for a in range((window + 2) // 3, window):
-        if not have[a]:
-            continue
-        rest = window - a
-        b = np.arange((rest + 1) // 2, min(a, rest) + 1)
-        c = rest - b
-        ok = have[b] & ((c == 0) | have[c])
-        if ok.any():
-            out.append(np.stack((np.full(int(ok.sum()), a), b[ok], c[ok]), axis=1))
-    return np.concatenate(out) if out else np.empty((0, 3), dtype=np.int64)
+    have = np.flatnonzero(histogram[1:]) + 1
+    if not len(have):
+        return np.empty((0, DEPTH), dtype=np.int64)
+    if len(have) ** (DEPTH - 1) <= 20 * limit:
+        first = np.stack(np.meshgrid(*[np.append(have, 0)] * (DEPTH - 1), indexing="ij"), axis=-1).reshape(-1, DEPTH - 1)
+    else:
+        rng = np.random.Generator(np.random.PCG64(seed))
+        share = histogram[have] / histogram[have].sum()
+        first = rng.choice(have, p=share, size=(2 * limit, DEPTH - 1))
+        for depth in range(1, DEPTH - 1):  # as many of each depth
+            first[depth - 1 :: DEPTH - 1, depth:] = 0
+    last = window - first.sum(axis=1)
+    fits = (last > 0) & (histogram[np.clip(last, 0, window - 1)] > 0) & (last < window)
+    rows = np.concatenate((first[fits], last[fits, None]), axis=1)
+    return np.unique(-np.sort(-rows, axis=1), axis=0)
 
 
 def repeat_counts(lengths: np.ndarray, histogram: np.ndarray, steps: int = 150) -> np.ndarray:
@@ -62,7 +74,7 @@ def repeat_counts(lengths: np.ndarray, histogram: np.ndarray, steps: int = 150)
     weight = (flat > 0).astype(float)
 
     def made(x):
-        return np.bincount(flat, np.repeat(x, 3) * weight, minlength=window)
+        return np.bincount(flat, np.repeat(x, lengths.shape[1]) * weight, minlength=window)
 
     def back(r):
         r = r.copy()
@@ -104,7 +116,7 @@ class Plan:
     padding: int
 
 
-def make_plan(histogram: np.ndarray, rounds: int = 3) -> Plan:
+def make_plan(histogram: np.ndarray, rounds: int = ROUNDS) -> Plan:
     """Solve, round and lay out a histogram of remainders.  Its work depends on the
     window only."""
     window = len(histogram)
@@ -113,16 +125,17 @@ def make_plan(histogram: np.ndarray, rounds: int = 3) -> Plan:
     taken = np.zeros(window, dtype=np.int64)
     lengths_of, ranks, sequences, offsets = [], [], [], []
     packed = 0
-    for _ in range(rounds):
-        combos = combinations(left)
+    for turn in range(rounds):
+        before = packed
+        combos = combinations(left, turn)
         counts = repeat_counts(combos, left)
         some = counts > 0
-        for (a, b, c), n in zip(combos[some].tolist(), counts[some].tolist(), strict=True):
-            n = min([n, *(left[x] // (a, b, c).count(x) for x in {a, b, c} if x)])
+        for combo, n in zip(combos[some].tolist(), counts[some].tolist(), strict=True):
+            n = min([n, *(left[x] // combo.count(x) for x in set(combo) if x)])
             if n <= 0:
                 continue
             at = 0
-            for x in (a, b, c):
+            for x in combo:
                 if x:
                     lengths_of.append(x)
                     ranks.append(int(taken[x]))
@@ -132,7 +145,7 @@ def make_plan(histogram: np.ndarray, rounds: int = 3) -> Plan:
                     left[x] -= n
                     at += x
             packed += n
-        if not some.any():
+        if packed - before <= packed // 200:
             break
     order = np.lexsort((ranks, lengths_of)) if ranks else np.empty(0, dtype=np.int64)
     lengths_arr = np.array(lengths_of, dtype=np.int64)[order]

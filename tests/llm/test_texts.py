@@ -124,8 +124,11 @@ def test_combinations_fill_the_window_exactly():
     h = np.array([0, 3, 0, 2, 5, 1, 0, 4, 0, 1])
     found = {tuple(c) for c in packing.combinations(h).tolist()}
     have = [n for n in range(10) if h[n]]
-    want = {(a, b, c) for a in have for b in have for c in [0, *have] if a >= b >= c and a + b + c == 10}
+    some = itertools.chain.from_iterable(itertools.combinations_with_replacement(have, k) for k in range(2, packing.DEPTH + 1))
+    want = {tuple(sorted(c, reverse=True)) + (0,) * (packing.DEPTH - len(c)) for c in some if sum(c) == 10}
     assert found == want
+    wide = packing.combinations(np.arange(500) % 7)
+    assert len(wide) > 1000 and (wide.sum(axis=1) == 500).all() and not (wide % 7 == 0).any(where=wide > 0)
 
 
 @pytest.mark.parametrize("seed", range(3))
