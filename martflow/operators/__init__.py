@@ -13,6 +13,7 @@ from martflow.operators.checks import (
     check_columns,
     check_freshness,
     check_not_null,
+    check_not_nulls,
     check_unique,
     run_checks,
 )
@@ -35,6 +36,7 @@ __all__ = [
     "check_columns",
     "check_freshness",
     "check_not_null",
+    "check_not_nulls",
     "check_unique",
     "duplicate_keys",
     "join_on_shifted_day",

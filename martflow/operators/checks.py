@@ -40,6 +40,20 @@ def check_not_null(df: DataFrame, col: str) -> DataFrame:
     return found.select(*_row("not_null", col, _pass_if_none(F.col("n")), F.col("n")))
 
 
+def check_not_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``check_not_null`` of several columns in one pass: one row for each."""
+    counts = [
+        F.struct(F.lit(c).alias("target"), F.count_if(F.col(c).isNull()).alias("n")) for c in columns
+    ]
+    found = df.agg(F.array(*counts).alias("_found")).select(F.inline("_found"))
+    return found.select(
+        F.lit("not_null").alias("check"),
+        "target",
+        _pass_if_none(F.col("n")).alias("status"),
+        F.col("n").cast("long").alias("failures"),
+    )
+
+
 def check_freshness(
     df: DataFrame,
     ts: str,

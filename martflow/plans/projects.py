@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from martflow.functions.times import with_partitions
-from martflow.operators.checks import check_freshness, check_not_null, check_unique
+from martflow.operators.checks import check_freshness, check_not_nulls, check_unique
 from martflow.plans import marts
 from martflow.plans.models import Project
 
@@ -25,16 +25,14 @@ SHOP_CHECKS = {
 SHOP_SOURCES = ("customers", "products", "orders", "access_log")
 LISTING_SOURCES = ("listings", "hosts", "reviews", "full_moons")
 
-_CHECKS = {"unique": check_unique, "not_null": check_not_null}
-
-
 def declared_checks(name: str, declared: Mapping = SHOP_CHECKS) -> list:
-    """The checks of a model, as functions of its frame."""
-    return [
-        lambda df, check=_CHECKS[kind], col=col: check(df, col)
-        for kind, columns in declared.get(name, {}).items()
-        for col in columns
-    ]
+    """The checks of a model, as functions of its frame: one pass for all columns that
+    may not be NULL, and one for each unique column."""
+    wanted = declared.get(name, {})
+    checks = [lambda df, col=col: check_unique(df, col) for col in wanted.get("unique", ())]
+    if "not_null" in wanted:
+        checks.append(lambda df: check_not_nulls(df, wanted["not_null"]))
+    return checks
 
 
 def shop_project(

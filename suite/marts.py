@@ -22,6 +22,7 @@ from martflow.operators import (
     check_columns,
     check_freshness,
     check_not_null,
+    check_not_nulls,
     check_unique,
     join_on_shifted_day,
     join_single_value,
@@ -648,7 +649,7 @@ UNION ALL SELECT 'not_null', 'name', CASE WHEN b = 0 THEN 'pass' ELSE 'error' EN
 def not_null_check(spark, sf):
     """CHK-2, FLT-2."""
     hosts = raw_hosts(spark, sf)
-    return run_checks([check_not_null(hosts, "id"), check_not_null(hosts, "name")])
+    return check_not_nulls(hosts, ["id", "name"])
 
 
 @query(
