@@ -69,7 +69,8 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-_LETTERS = {b: c for b, c in enumerate(_byte_letters())}
+_LETTERS = {b: c for b, c in enumerate(_byte_letters())} | {0: "\n"}
+_BLOCK = 2000  # units of a line for the bare model
 
 
 class Encoder:
@@ -251,30 +252,36 @@ class Encoder:
 
     def _new(self, units: list[str], single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units by the library, one after another, and their numbers."""
-        size = np.zeros(len(units), dtype=np.int32)
-        lists: list[np.ndarray | None] = [None] * len(units)
-        rest = np.flatnonzero(~single)
-        for i, got in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-            lists[i] = np.array(got.ids, dtype=self.dtype)
-            size[i] = len(got.ids)
-        plain = np.flatnonzero(single)
-        if not len(plain):
-            return np.concatenate(lists), size
-        words = [units[i] if self.spaces else units[i].lower() for i in plain]
-        ends = np.cumsum([len(w.encode()) for w in words])
-        blocks = [words[i : i + 2000] for i in range(0, len(words), 2000)]
-        lines = ["\n".join(w.encode().decode("latin-1").translate(_LETTERS) for w in b) for b in blocks]
-        got = self.model.encode_batch_fast(lines, add_special_tokens=False)
-        flat = np.concatenate([np.array(g.ids, dtype=self.dtype) for g in got])
-        # The letters of the ids fill the units exactly.
-        last = np.searchsorted(np.cumsum(self.width[flat]), ends)
-        count = np.diff(np.concatenate(([0], last + 1)))
-        size[plain] = count
-        if not len(rest):
-            return flat, size
-        for i, own in zip(plain, np.split(flat, np.cumsum(count)[:-1]), strict=True):
-            lists[i] = own
-        return np.concatenate(lists), size
+        size = np.zeros(len(units), dtype=np.int64)
+        rest, plain = np.flatnonzero(~single), np.flatnonzero(single)
+        others = [
+            np.array(got.ids, dtype=self.dtype)
+            for got in self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)
+        ]
+        size[rest] = [len(x) for x in others]
+        flat = np.empty(0, dtype=self.dtype)
+        if len(plain):
+            joined = "\0".join([units[i] for i in plain])  # no unit holds a zero byte
+            blob = (joined if self.spaces else joined.lower()).encode()
+            cuts = np.append(np.flatnonzero(np.frombuffer(blob, dtype=np.uint8) == 0), len(blob))
+            edges = [-1, *cuts[_BLOCK - 1 :: _BLOCK].tolist()]
+            if edges[-1] < len(blob):
+                edges.append(len(blob))
+            lines = [blob[a + 1 : b].decode("latin-1").translate(_LETTERS) for a, b in zip(edges, edges[1:], strict=False)]
+            got = self.model.encode_batch_fast(lines, add_special_tokens=False)
+            flat = np.concatenate([np.array(g.ids, dtype=self.dtype) for g in got])
+            # The letters of the ids fill the units exactly.
+            ends = cuts - np.arange(len(cuts))
+            last = np.searchsorted(np.cumsum(self.width[flat]), ends)
+            size[plain] = np.diff(np.concatenate(([0], last + 1)))
+            if not len(rest):
+                return flat, size
+        start = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), dtype=self.dtype)
+        out[gather(np.arange(len(out)), start[plain], size[plain])] = flat
+        for i, own in zip(start[rest].tolist(), others, strict=True):
+            out[i : i + len(own)] = own
+        return out, size
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
