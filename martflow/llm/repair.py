@@ -89,11 +89,11 @@ class Grammar:
         return np.array(out[skip : skip + stop - first], dtype=np.uint32)
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, max_rounds: int = 6, min_count: int = 8, max_rules: int | None = None):
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, max_rounds: int = 4, min_count: int = 8, max_rules: int | None = None):
     """Rules, their expansion lengths, the compressed ids and each document's number of
     symbols.  A rule is made for a pair that occurs ``min_count`` times or more."""
     room = max((1 << 16) - base, 4096) if max_rules is None else max_rules
-    seq = ids.astype(np.uint32)
+    seq = ids.astype(np.uint32)  # a copy
     last = np.zeros(len(seq), dtype=bool)
     ends = np.cumsum(counts)
     last[ends[counts > 0] - 1] = True
@@ -102,16 +102,18 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, max_rounds: int = 6
     for step in range(max_rounds):
         if len(seq) < 2 or room <= 0:
             break
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         fits = base + sum(map(len, rules)) <= 1 << 16
-        keys = ((seq[:-1] << np.uint32(16)) | seq[1:]) if fits else pairs
-        ordered = np.sort(keys[~last[:-1]])
+        keys = (seq[:-1] << np.uint32(16)) if fits else (seq[:-1].astype(np.uint64) << np.uint64(32))
+        keys |= seq[1:]
+        ordered = keys[~last[:-1]]
+        ordered.sort()
         if not len(ordered):
             break
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        found, n = ordered[edge], np.diff(np.append(edge, len(ordered)))
-        often = n >= min_count
-        found, n = found[often], n[often]
+        # A key is frequent if the one min_count - 1 places on is equal.
+        again = np.flatnonzero(ordered[min_count - 1 :] == ordered[: len(ordered) - min_count + 1])
+        found = ordered[again]
+        edge = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))[: len(found)]
+        found, n = found[edge], np.diff(np.append(edge, len(found))) + min_count - 1
         if not len(found):
             break
         # The last rounds may use all that is left; earlier ones leave room, so that
@@ -129,10 +131,8 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, max_rounds: int = 6
         table[spread[kept]] = np.arange(len(found), dtype=np.int32)
         table[np.setdiff1d(spread, spread[kept])] = -1
         which = table[_spread(keys, bits)]
-        hit = which >= 0
-        hit &= found[which] == keys
-        hit &= ~last[:-1]
-        where = np.flatnonzero(hit)
+        where = np.flatnonzero(which >= 0)
+        where = where[(found[which[where]] == keys[where]) & ~last[where]]
         # In a run of overlapping occurrences every second one is replaced.
         new_run = np.concatenate(([True], np.diff(where) > 1))
         run_start = where[new_run][np.cumsum(new_run) - 1]
@@ -144,7 +144,6 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, max_rounds: int = 6
         rules.append(pair)
         lengths = np.concatenate((lengths, lengths[pair[:, 0]] + lengths[pair[:, 1]]))
         room -= len(found)
-        seq = seq.copy()
         seq[where] = first_new + chosen
         last[where] = last[where + 1]
         keep = np.ones(len(seq), dtype=bool)
