@@ -124,9 +124,12 @@ def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = 48, k: int = 2
     if not len(labels):
         return Model(np.ones(_WIDTH), np.zeros((_WIDTH, 1)), np.zeros((0, 1)), labels, 0.5, k)
     weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.2
-    x = _relative(counts) * weight
+    weight = weight.astype(counts.dtype)  # the driver holds the training rows in single precision
+    x = _relative(counts)
+    x *= weight
     rng = np.random.Generator(np.random.PCG64(5))
-    q = np.linalg.qr(x @ rng.standard_normal((_WIDTH, min(dimensions + 10, *x.shape))))[0]
+    start = rng.standard_normal((_WIDTH, min(dimensions + 10, *x.shape))).astype(x.dtype)
+    q = np.linalg.qr(x @ start)[0]
     for _ in range(4):
         q = np.linalg.qr(x @ np.linalg.qr(x.T @ q)[0])[0]
     axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:dimensions].T
@@ -175,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **options)
 
     got = rows.mapInArrow(count, "_id long, label double, terms binary, counts binary").collect()
     got.sort(key=lambda r: r["_id"])
-    counts = np.zeros((len(got), _WIDTH))
+    counts = np.zeros((len(got), _WIDTH), dtype=np.float32)
     for row, r in zip(counts, got, strict=True):
         row[np.frombuffer(r["terms"], dtype="<u2")] = np.frombuffer(r["counts"], dtype="<f4")
     return fit(counts, np.array([r["label"] for r in got]), **options)
