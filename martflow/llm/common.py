@@ -71,7 +71,7 @@ def copies(df: DataFrame, key, order: str, largest: bool = False, label: str = "
     )
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
