@@ -10,7 +10,7 @@ such a run at the same place inside them.  Runs found in more than one bucket of
 documents mark the windows around them, and these windows alone are compared in full.
 
 1. Documents are dealt to buckets by ``doc_id``; this exchange of texts is used by all
-   steps.  Later copies of a whole text are only marked.
+   steps.  Later copies of a whole text are only marked, by ``doc_id`` and the text's hash.
 2. Each bucket names every anchor once, so a passage of a third of all documents is one
    row for each bucket.  Anchors of two or more buckets go back to their buckets.
 3. Each bucket names every marked window once, at its first place.  All but the first
@@ -64,9 +64,12 @@ class Bucket:
         kind = side.column("_kind").to_numpy()
         self.side_id, self.side_at = side.column("_id").to_numpy(), side.column("_at").to_numpy()
         self.side = {k: kind == k for k in (_COPY, _ANCHOR, _LATER)}
-        later = set(self.side_id[self.side[_COPY]].tolist())
+        # A mark is for the rows of an id with this text, not for all rows of the id.
+        marks = self.side[_COPY]
+        later = set(zip(self.side_id[marks].tolist(), self.side_at[marks].tolist(), strict=True))
         self.ids = np.array([ids[i] for i in self.order], dtype=np.int64)
-        self.copied = np.array([i in later for i in self.ids.tolist()], dtype=bool)
+        digests = rows.column("_digest").to_pylist()
+        self.copied = np.array([texts[i] is not None and (ids[i], digests[i]) in later for i in self.order], dtype=bool)
         words = words_of([None if c else t for c, t in zip(self.copied, self.texts, strict=True)])
         self.words, self.counts = words.hashes, words.counts
         self.offsets = words.offsets
@@ -120,6 +123,7 @@ def dedup(docs: DataFrame, removed_names: tuple[str, str] | None = None) -> Data
             inner.alias("_id"),
             F.when(F.length(text) > 0, F.unhex(F.sha2(text, 256))).alias("_key0"),
             F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_bytes"),
+            F.xxhash64(text).alias("_digest"),
         ),
         "keys",
     )
@@ -131,12 +135,12 @@ def dedup(docs: DataFrame, removed_names: tuple[str, str] | None = None) -> Data
     later = staged(
         slim.join(same, F.col("_key0") == F.col("_key"))
         .where(F.col("_id") > F.col("_first"))
-        .select(bucket.alias("_b"), F.lit(_COPY).alias("_kind"), "_id", F.lit(0).cast("long").alias("_at")),
+        .select(bucket.alias("_b"), F.lit(_COPY).alias("_kind"), "_id", F.col("_digest").alias("_at")),
         "later",
     )
     # The documents' own columns travel in one struct, so no name of theirs can clash.
     own = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*own).alias("_row"), inner.alias("_id")).withColumn("_b", bucket)
+    rows = docs.select(F.struct(*own).alias("_row"), inner.alias("_id"), F.xxhash64(text).alias("_digest")).withColumn("_b", bucket)
 
     def name_anchors(rows: pa.Table, side: pa.Table) -> pa.Table:
         own = Bucket(rows, side)

@@ -200,6 +200,16 @@ def test_repeats_of_odd_rows(spark, odd_docs):
     assert substring.dedup(spark.createDataFrame([], SCHEMA)).isEmpty()
 
 
+def test_a_copy_among_other_rows_of_its_id(spark):
+    """One id with a copied text, texts of its own and a null: only the copy is one."""
+    copied, own, other = (" ".join(f"{c}{k}" for k in range(30)) for c in "anz")
+    docs = [(1, copied), (5, own), (5, None), (5, copied), (5, other), (5, ""), (7, own + " tail"), (8, copied), (8, "short")]
+    got = [(r["doc_id"], r["text"], r["n_words"], r["n_removed"]) for r in substring.dedup(spark.createDataFrame(docs, SCHEMA)).collect()]
+    want = [(1, copied, 30, 0), (5, own, 30, 0), (5, None, 0, 0), (5, "", 30, 30), (5, other, 30, 0), (5, "", 0, 0)]
+    want += [(7, "tail", 31, 30), (8, "", 30, 30), (8, "short", 1, 0)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_cut_words_keeps_the_space_after_what_stays():
     assert substring.cut_words(" a  b\nc d ", np.array([False, True, False, True])) == " a  c "
 
