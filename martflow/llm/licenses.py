@@ -2,13 +2,17 @@
 
 Texts and templates are normalised alike: ASCII letters in lower case, everything but
 ASCII letters, digits and characters beyond ASCII as a gap between words.  The passages
-of a document are its lines, its runs of lines without a blank one, and the whole text.
+of a document are its lines, its runs of lines without a blank one, the whole text, and
+its windows: the runs of words that begin and end with a bigram of the template, over
+any lines, and lie inside none of the other passages that match.
 ``dice = 2 * common / (bigrams of the passage + bigrams of the template)`` over distinct
-bigrams; a passage of one word has no bigram and matches nothing.
+bigrams; a passage of one word has no bigram and matches nothing.  Of windows that
+overlap, the most that can stand side by side are counted.
 
 A template can reach ``threshold`` t only if the smaller of both sizes is t / (2 - t) of
 the larger or more, and a passage only if t / 2 of its bigrams occur in some template;
-the rest is never compared.
+the rest is never compared.  A window needs t / (2 - t) of the template's bigrams and has
+at most (2 - t) / t as many of its own; a text without the former is not searched.
 
 Cases: a null or empty text matches nothing; the best match wins, ties to the smaller
 template name; rows that repeat a ``doc_id`` count each; an empty table gives no row.
@@ -16,6 +20,7 @@ template name; rows that repeat a ``doc_id`` count each; an empty table gives no
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martflow.llm.common import slices
+from martflow.llm.license_texts import TEXTS
 from martflow.llm.words import bounds, mix, words_of
 
 _BSD_TERMS = """
@@ -101,7 +107,7 @@ TEMPLATES = {
         This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
         use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
         purpose, commercial or non-commercial, and by any means.""",
-}
+} | TEXTS
 
 
 def _normal_bytes() -> np.ndarray:
@@ -143,6 +149,12 @@ class Scanner:
         self.templates = {name: bigrams(normal(text)) for name, text in sorted(templates.items())}
         words = [words_of([normal(t).decode()]).hashes for t in templates.values()]
         self.known = np.unique(np.concatenate([_pair_hashes(w) for w in words if w.shape[1] > 1]))
+        self.names = list(self.templates)
+        self.member = np.zeros((len(self.names), len(self.known)), dtype=bool)
+        for k, name in enumerate(self.names):
+            own = words_of([normal(templates[name]).decode()]).hashes
+            if own.shape[1] > 1:
+                self.member[k, np.searchsorted(self.known, _pair_hashes(own))] = True
         self.ratio = self.threshold / (2 - self.threshold)
         self.smallest = min(len(b) for b in self.templates.values())
         self.largest = max(len(b) for b in self.templates.values())
@@ -182,6 +194,7 @@ class Scanner:
         lines = np.concatenate(([0], np.cumsum(new_line)))
         blocks = np.concatenate(([0], np.cumsum(new_block)))
         seen: set[tuple[int, int]] = set()
+        matched: dict[int, list[tuple[int, int]]] = {}
         for number in (lines, blocks, text):
             inside = number[1:] == number[:-1]
             owner = number[:-1][inside]
@@ -207,12 +220,96 @@ class Scanner:
                 match = self.best(blob[span[0] : span[1]])
                 if match:
                     i, before = int(text[a]), found[int(text[a])]
+                    matched.setdefault(i, []).append((int(a), int(b)))
                     n = 1 + (before[2] if before else 0)
                     if before and (before[1], match[0]) >= (match[1], before[0]):
                         match = before[:2]
                     found[i] = (*match, n)
+        self._add_windows(found, matched, pairs, at, hit, text)
         return found
 
+    def _add_windows(self, found: list, matched: dict, pairs: np.ndarray, at: np.ndarray, hit: np.ndarray, text: np.ndarray) -> None:
+        """Take the windows of each text into its result."""
+        inside = np.flatnonzero(hit & (text[1:] == text[:-1]))
+        key = np.unique(text[inside] * np.int64(len(self.known)) + at[inside])
+        owner, known = key // len(self.known), key % len(self.known)
+        searched: dict[int, list[int]] = {}
+        for k, name in enumerate(self.names):
+            least = max(1, int(np.ceil(self.ratio * len(self.templates[name]))))
+            for i in np.flatnonzero(np.bincount(owner, self.member[k][known], minlength=len(found)) >= least).tolist():
+                searched.setdefault(i, []).append(k)
+        for i, ks in searched.items():
+            a, b = np.searchsorted(text, i), np.searchsorted(text, i, side="right")
+            own, n = slice(a, b - 1), int(b - a) - 1
+            # The last bigram of the passages that match and begin at a word or before it.
+            far = np.full(n + 1, -1, dtype=np.int64)
+            for p, q in matched.get(i, ()):
+                far[p - a] = max(far[p - a], q - a - 2)
+            far = np.maximum.accumulate(far)[:n]
+            if far[0] >= n - 1:
+                continue
+            number = np.unique(pairs[own], return_inverse=True)[1]
+            order = np.argsort(number, kind="stable")
+            after = np.full(n, n, dtype=np.int64)
+            same = number[order][1:] == number[order][:-1]
+            after[order[:-1][same]] = order[1:][same]
+            spans, best = [], None
+            for k in ks:
+                member = hit[own] & self.member[k][np.minimum(at[own], len(self.known) - 1)]
+                some, top = self._windows(member, after, far, len(self.templates[self.names[k]]))
+                spans += some
+                if top and (best is None or top > best[1]):
+                    best = (self.names[k], top)
+            if best is None:
+                continue
+            count, free = 0, 0
+            for stop, first in sorted(spans):
+                if first >= free:
+                    count, free = count + 1, stop + 2  # a bigram's last word is one further
+            before = found[i]
+            if before and (before[1], best[0]) >= (best[1], before[0]):
+                best = before[:2]
+            found[i] = (*best, count + (before[2] if before else 0))
+
+    def _windows(self, member: np.ndarray, after: np.ndarray, far: np.ndarray, m: int) -> tuple[list[tuple[int, int]], Fraction | None]:
+        """Of the windows of a text that match a template of ``m`` bigrams: the shortest at
+        each start as (last, first bigram), and the best coefficient.  ``member``: bigrams of
+        the template; ``after``: the next place of the same bigram."""
+        n, t = len(member), self.threshold
+        hits = np.flatnonzero(member)
+        least, most = int(np.ceil(self.ratio * m)), int(m / self.ratio)
+        is_hit, following = member.tolist(), after.tolist()
+        # Places in [a, reach) where a bigram first occurs since a, at most one more than fits.
+        firsts: list[int] = []
+        reach, known, spans, top = 0, 0, [], None
+        fresh = np.full(n, -1, dtype=np.int64)
+        fresh[after[after < n]] = np.flatnonzero(after < n)
+        previous = fresh.tolist()
+        for a in range(n):
+            while reach < n and len(firsts) <= most:
+                if previous[reach] < a:
+                    firsts.append(reach)
+                    known += is_hit[reach]
+                reach += 1
+            if is_hit[a] and known >= least and far[a] < n - 1:
+                place = np.array(firsts, dtype=np.int64)
+                size = np.arange(1, len(place) + 1)
+                common = np.cumsum(member[place])
+                border = np.append(place[1:], reach if len(place) <= most else place[-1])
+                stop = np.append(hits, n)[np.searchsorted(hits, np.maximum(place, far[a] + 1))]
+                good = (stop < border) & (2 * common * t.denominator >= t.numerator * (size + m))
+                if good.any():
+                    at = np.flatnonzero(good)
+                    spans.append((int(stop[at].min()), a))
+                    x = at[np.argmax(common[at] / (size[at] + m))]
+                    top = max(top or Fraction(0), Fraction(2 * int(common[x]), int(size[x]) + m))
+            firsts.pop(0)
+            known -= is_hit[a]
+            if following[a] < reach:
+                insort(firsts, following[a])
+                known += is_hit[a]
+        return spans, top
+
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """``doc_id, license, dice, n_passages`` of every row; no licence is null."""

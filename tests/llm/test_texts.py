@@ -363,6 +363,68 @@ def test_licenses_of_odd_rows(spark, odd_docs):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).isEmpty()
 
 
+def _with_windows(text, templates):
+    """Best licence, coefficient and number of passages, by trying every run of words."""
+    data = licenses.normal(text)
+    words = data.split()
+    lines = [line.split() for line in data.split(b"\n")]
+    ends = list(itertools.accumulate(len(line) for line in lines))
+    spans, block = {(0, len(words))} | {(e - len(line), e) for e, line in zip(ends, lines)}, None
+    for e, line in [*zip(ends, lines), (len(words), [])]:
+        if line:
+            block = (block[0] if block else e - len(line), e)
+        elif block:
+            spans.add(block)
+            block = None
+    sets = {name: licenses.bigrams(licenses.normal(t)) for name, t in templates.items()}
+    pairs = list(zip(words, words[1:]))
+    found, whole, windows = [], [], []
+    for a, b in spans:
+        value, name = min((-licenses.dice(set(pairs[a : b - 1]), s), name) for name, s in sets.items())
+        if b - a > 1 and -value * 5 >= 4:
+            whole.append((a, b))
+            found.append((value, name))
+    for name, s in sets.items():
+        for i in (i for i, p in enumerate(pairs) if p in s):
+            own = set()
+            for j in range(i, len(pairs)):
+                own.add(pairs[j])
+                if pairs[j] in s and licenses.dice(own, s) * 5 >= 4 and not any(a <= i and j + 2 <= b for a, b in whole):
+                    windows.append((j + 2, i))
+                    found.append((-licenses.dice(own, s), name))
+    n, free = len(whole), 0
+    for stop, first in sorted(windows):
+        if first >= free:
+            n, free = n + 1, stop
+    return (min(found)[1], -min(found)[0], n) if found else None
+
+
+def test_licenses_inside_longer_texts():
+    some = {k: licenses.TEMPLATES[k] for k in ("MIT", "MIT notice", "BSD-2-Clause", "GPL-3.0 header", "Rights reserved", "Apache-2.0 notice")}
+    pick = random.Random(3)
+
+    def prose(n):
+        return " ".join(f"v{pick.randint(0, 60)}" for _ in range(n))
+
+    def parted(name, gap, every):
+        words = some[name].split()
+        return gap.join(" ".join(words[i : i + every]) for i in range(0, len(words), every))
+
+    texts = [f"{prose(90)}\n\n{parted(name, gap, 45)}\n\n{prose(120)}" for name in ("MIT", "BSD-2-Clause", "GPL-3.0 header") for gap in ("\n\n", "\n#\n# ", "\n *\n * ")]
+    texts += [f"{prose(40)} text. Released under the MIT License. more {prose(40)}", prose(30) + " " + "all rights reserved " * 40]
+    texts += [f"{prose(20)} {some['MIT']} {prose(9)} {some['Rights reserved']} {prose(5)} {some['Rights reserved']}", some["MIT"] + "\n\n" + some["MIT"]]
+    small = "all rights reserved released under the mit license licensed apache version 2 0 x".split()
+    texts += [" ".join(pick.choice(small) + pick.choice(["", "", "", "\n", "\n\n"]) for _ in range(60)) for _ in range(150)]
+    notices = [t for k, t in some.items() if len(t) < 60]
+    texts += [" ".join(w for t in pick.choices(notices, k=5) for w in [prose(2), *t.split()] if pick.random() < 0.95) for _ in range(60)]
+    got = licenses.Scanner(some, 0.8).scan(texts)
+    for text, one in zip(texts, got, strict=True):
+        assert one == _with_windows(text, some), text
+    assert [g and g[0] for g in got[:9]] == ["MIT"] * 3 + ["BSD-2-Clause"] * 3 + ["GPL-3.0 header"] * 3 and got[9] == ("MIT notice", 1, 1)
+    full = licenses.Scanner(licenses.TEMPLATES, 0.8).scan([f"{prose(500)}\n\n{licenses.TEMPLATES[n]}\n\n{prose(2000)}" for n in ("Apache-2.0", "MPL-2.0")])
+    assert [f[:2] for f in full] == [("Apache-2.0", 1), ("MPL-2.0", 1)]
+
+
 # --- archives ---------------------------------------------------------------
 
 
