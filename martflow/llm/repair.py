@@ -3,7 +3,8 @@
 Each shard holds whole documents in ascending order.  Its ids are compressed by
 replacing frequent pairs of neighbours by new symbols, round after round: a round
 counts all pairs, takes the most frequent ones and replaces their occurrences from
-left to right, never across two documents.  The file stores the rules, the number of
+left to right, never across two documents, until no pair is frequent or all symbols of
+16 bits are in use.  The file stores the rules, the number of
 ids each symbol expands to, and where each document starts, so any range of ids can
 be decoded alone.
 
@@ -29,6 +30,9 @@ from martflow.llm.common import folder, fresh_name, gather, slices, staged, stor
 from martflow.llm.tokens import encoder
 
 MAGIC = b"RPR1"
+# A round takes pairs of at least this part of the highest count, and may use a third of
+# the symbols left, or so many.
+_FACTOR, _LEAST = 16, 1024
 _HEAD = struct.Struct("<4sIIIQQ")
 
 MANIFEST = "part int, seq int, file string, docs long, tokens long, before long, stored_bytes long"
@@ -89,9 +93,10 @@ class Grammar:
         return np.array(out[skip : skip + stop - first], dtype=np.uint32)
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, max_rounds: int = 4, min_count: int = 8, max_rules: int | None = None):
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = 8, max_rules: int | None = None):
     """Rules, their expansion lengths, the compressed ids and each document's number of
-    symbols.  A rule is made for a pair that occurs ``min_count`` times or more."""
+    symbols.  A rule is made for a pair that occurs ``min_count`` times or more; rounds end
+    when there is no such pair or all ``max_rules`` are made."""
     room = max((1 << 16) - base, 4096) if max_rules is None else max_rules
     seq = ids.astype(np.uint32)  # a copy
     last = np.zeros(len(seq), dtype=bool)
@@ -99,15 +104,13 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, max_rounds: int = 4
     last[ends[counts > 0] - 1] = True
     owner_ends = ends
     rules, lengths = [], np.ones(base, dtype=np.int64)
-    for step in range(max_rounds):
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) >= 2 and room > 0:
         fits = base + sum(map(len, rules)) <= 1 << 16
         keys = (seq[:-1] << np.uint32(16)) if fits else (seq[:-1].astype(np.uint64) << np.uint64(32))
         keys |= seq[1:]
         ordered = keys[~last[:-1]]
         ordered.sort()
-        if not len(ordered):
+        if len(ordered) < min_count:
             break
         # A key is frequent if the one min_count - 1 places on is equal.
         again = np.flatnonzero(ordered[min_count - 1 :] == ordered[: len(ordered) - min_count + 1])
@@ -116,28 +119,22 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, max_rounds: int = 4
         found, n = found[edge], np.diff(np.append(edge, len(found))) + min_count - 1
         if not len(found):
             break
-        # The last rounds may use all that is left; earlier ones leave room, so that
-        # long repeats get symbols of their own.
-        take = min(len(found), room if step >= max_rounds - 2 else max(1, room // 3))
+        # Pairs of far lower counts wait: this round's new symbols may form better ones.
+        good = n * _FACTOR >= n.max()
+        found, n = found[good], n[good]
+        take = min(len(found), max(room // 3, min(room, _LEAST)))
         if take < len(found):
-            found = found[np.sort(np.argpartition(-n, take - 1)[:take])]
+            top = np.sort(np.argpartition(-n, take - 1)[:take])
+            found, n = found[top], n[top]
         first_new = base + sum(map(len, rules))
-        bits = max(16, int(take).bit_length() + 3)
-        spread = _spread(found, bits)
-        table = np.full(1 << bits, -1, dtype=np.int32)
-        table[spread] = np.arange(take, dtype=np.int32)
-        kept = table[spread] == np.arange(take)
-        found = found[kept]
-        table[spread[kept]] = np.arange(len(found), dtype=np.int32)
-        table[np.setdiff1d(spread, spread[kept])] = -1
-        which = table[_spread(keys, bits)]
-        where = np.flatnonzero(which >= 0)
-        where = where[(found[which[where]] == keys[where]) & ~last[where]]
-        # In a run of overlapping occurrences every second one is replaced.
-        new_run = np.concatenate(([True], np.diff(where) > 1))
-        run_start = where[new_run][np.cumsum(new_run) - 1]
-        where = where[(where - run_start) % 2 == 0]
-        chosen = which[where]
+        where, chosen = _occurrences(found, keys, last)
+        # A rule that its neighbours leave next to nothing in this round is not made yet.
+        used = np.bincount(chosen, minlength=len(found)) >= max(2, min_count // 2)
+        if not used.all():
+            if not used.any():
+                used[np.argmax(n)] = True
+            found = found[used]
+            where, chosen = _occurrences(found, keys, last)
         wide = found.astype(np.uint64)
         half = np.uint64(16) if fits else np.uint64(32)
         pair = np.stack((wide >> half, wide & ((np.uint64(1) << half) - np.uint64(1))), axis=1).astype(np.uint32)
@@ -155,6 +152,28 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, max_rounds: int = 4
     return table_of, lengths[base:], seq, np.diff(np.concatenate(([0], owner_ends)))
 
 
+def _occurrences(found: np.ndarray, keys: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs ``found`` (sorted) are replaced, and which of them at each place."""
+    bits = max(16, len(found).bit_length() + 3)
+    spread = _spread(found, bits)
+    table = np.full(1 << bits, -1, dtype=np.int32)
+    table[spread] = np.arange(len(found), dtype=np.int32)
+    which = table[_spread(keys, bits)]
+    where = np.flatnonzero(which >= 0)
+    where = where[~last[where]]
+    which = which[where]
+    other = np.flatnonzero(found[which] != keys[where])
+    # Another pair has the slot: look for those that share it.
+    which[other] = np.minimum(np.searchsorted(found, keys[where[other]]), len(found) - 1)
+    right = found[which] == keys[where]
+    where, which = where[right], which[right]
+    # In a run of overlapping occurrences every second one is replaced.
+    new_run = np.concatenate(([True], np.diff(where) > 1))[: len(where)]
+    run_start = where[new_run][np.cumsum(new_run) - 1]
+    second = (where - run_start) % 2 == 0
+    return where[second], which[second]
+
+
 def _spread(keys: np.ndarray, bits: int) -> np.ndarray:
     if keys.dtype == np.uint32:
         return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)

@@ -3,6 +3,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -100,6 +101,36 @@ def test_equal_ids_and_no_ids():
         assert shard.decode()[0].tolist() == ids
 
 
+@pytest.mark.parametrize("base, copies", [(40_000, 60), (70_001, 60), (40_000, 9), (40_000, 3)])
+def test_pairs_are_replaced_until_none_is_frequent(base, copies):
+    pick = np.random.default_rng(copies)
+    passage = pick.integers(0, base, size=3000)
+    docs = [np.concatenate((pick.integers(0, base, size=50), passage)) for _ in range(copies)]
+    ids, counts = np.concatenate(docs).astype(np.uint32), np.full(copies, 3050)
+    shard = repair.unpack_shard(repair.pack_shard(ids, counts, list(range(copies)), base))
+    assert shard.decode()[0].tolist() == ids.tolist() and shard.decode()[1].tolist() == counts.tolist()
+    left = Counter()
+    for a, b in itertools.pairwise(shard.doc_symbols.tolist()):
+        left.update(itertools.pairwise(shard.symbols[a:b].tolist()))
+    assert max(left.values()) < 8
+    assert max(shard.lengths, default=1) == (3000 if copies >= 8 else 1)
+    # Short sequences, and what a limit on the rules leaves.
+    for n in range(1, 20):
+        few = repair.unpack_shard(repair.pack_shard(np.zeros(n, dtype=np.uint32), np.array([n]), [1], base))
+        assert few.decode()[0].tolist() == [0] * n
+    some = repair.unpack_shard(repair.pack_shard(ids, counts, list(range(copies)), base, max_rules=100))
+    assert len(some.rules) == (100 if copies >= 8 else 0) and some.decode()[0].tolist() == ids.tolist()
+
+
+def test_pairs_of_one_slot_all_get_rules():
+    keys = np.arange(1, 1 << 20, dtype=np.uint32)
+    spread = repair._spread(keys, 16)
+    found = keys[spread == spread[0]][:5]
+    text = np.tile(found, 4)
+    where, which = repair._occurrences(found, text, np.zeros(len(text), dtype=bool))
+    assert len(found) == 5 and where.tolist() == list(range(0, 20, 2)) and found[which].tolist() == text[::2].tolist()
+
+
 def test_shards_of_odd_rows(spark, odd_docs):
     shards = repair.write_shards(odd_docs.repartition(3), WORDS, 2, shard_tokens=10)
     rows = repair.read_shards(shards, shared_dir(spark)).collect()
