@@ -6,12 +6,15 @@ from collections.abc import Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from martflow.operators.changes import changed_since
 from martflow.operators.merge import SchemaMismatch, merge
 from martflow.operators.relational import in_types_of
 
+# Copies of a row that are made at a time.
+_BLOCK = 4096
+
 
 def incremental_append(
     target: DataFrame,
@@ -48,7 +51,9 @@ def missing_rows(
     A row that the source has three times and the target once is missing twice.  Columns
     that only the source has are not compared.  With ``high`` and ``overlap`` only rows
     from ``high - overlap`` on, and those without a time, are compared on both sides,
-    and an earlier row is taken for stored.  Rows are counted map-side by their columns.
+    and an earlier row is taken for stored.  Rows are counted map-side by their columns on
+    both sides; a source that has more columns than the target numbers its equal rows in
+    one task instead.
     """
     shared = [c for c in source.columns if c in target.columns]
     if ts is not None and high is not None and overlap is not None:
@@ -60,6 +65,8 @@ def missing_rows(
     same = reduce(
         lambda a, b: a & b, (F.col(f"_t.{c}").eqNullSafe(F.col(f"_s.{c}")) for c in shared)
     )
+    if not extra:
+        return _expanded(_counted(source), held, same, source.columns)
     # Equal rows are numbered, and as many as are held count as stored.
     number = Window.partitionBy(*shared).orderBy(*(F.col(c) for c in (extra or shared[:1])))
     numbered = source.withColumn("_number", F.row_number().over(number))
@@ -68,6 +75,40 @@ def missing_rows(
     return new.select(*(F.col(f"_s.{c}").alias(c) for c in source.columns))
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Distinct rows, their number ``_n``, and ``_upto``, the number of rows equal to them
+    up to and with them: 0.0 and -0.0 are equal and yet two rows here."""
+    own = rows.columns
+    split = [f.name for f in rows.schema if any(t in f.dataType.simpleString() for t in ("float", "double"))]
+    if not split:
+        return rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.col("_n"))
+    # Grouping makes one of both zeros, so the text tells them apart and a row's own is kept.
+    written = [F.col(c).cast("string").alias(f"_text{i}") for i, c in enumerate(split)]
+    kept = [F.first(c).alias(f"_own{i}") for i, c in enumerate(split)]
+    counted = rows.groupBy(*own, *written).agg(F.count(F.lit(1)).alias("_n"), *kept)
+    before = Window.partitionBy(*own).orderBy(*(f"_text{i}" for i in range(len(split))))
+    counted = counted.withColumn("_upto", F.sum("_n").over(before))
+    back = {c: F.col(f"_own{i}").alias(c) for i, c in enumerate(split)}
+    return counted.select(*(back.get(c, F.col(c)) for c in own), "_n", "_upto")
+
+
+def _expanded(counted: DataFrame, held: DataFrame, same: Column, columns: list[str]) -> DataFrame:
+    """The rows of ``counted`` beyond those held, each as often as it is missing."""
+    left = F.least(F.col("_n"), F.col("_upto") - F.coalesce("_held", F.lit(0)))
+    missing = (
+        counted.alias("_s")
+        .join(held.alias("_t"), same, "left")
+        .select(*(F.col(f"_s.{c}").alias(c) for c in columns), left.alias("_left"))
+        .where(F.col("_left") > 0)
+    )
+    blocks = missing.select(
+        "*", F.explode(F.expr(f"sequence(0L, (_left - 1) div {_BLOCK})")).alias("_block")
+    )
+    size = F.least(F.lit(_BLOCK).cast("long"), F.col("_left") - F.col("_block") * _BLOCK)
+    rows = blocks.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("_copy"))
+    return rows.select(*columns)
+
+
 def incremental_merge(
     target: DataFrame, source: DataFrame, keys: Sequence[str], **options
 ) -> DataFrame:

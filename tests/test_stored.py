@@ -521,6 +521,23 @@ def test_incremental_append_is_strict(spark, at):
     assert incremental_append(stored.where("false"), new, "ts").count() == 3
 
 
+def test_missing_rows_count_equal_rows_on_both_sides(spark):
+    """No window over all columns, so equal rows never meet in one task."""
+    hot = spark.range(10_000).select(F.lit("a").alias("k"), F.lit(None).cast("int").alias("n"))
+    source = hot.union(spark.createDataFrame([("b", 1), ("b", 1), ("c", 2), (None, None)], "k string, n int"))
+    target = hot.limit(1000).union(spark.createDataFrame([("b", 1), ("c", 2), ("c", 2), ("d", 4)], "k string, n int"))
+    new = missing_rows(target, source)
+    assert "Window" not in new._jdf.queryExecution().executedPlan().toString()
+    got = {(r["k"], r["n"]): r["count"] for r in new.groupBy("k", "n").count().collect()}
+    assert got == {("a", None): 9000, ("b", 1): 1, (None, None): 1}
+    # Both zeros and NaN: as many as are missing, as they stand.
+    real = spark.createDataFrame([(0.0,), (-0.0,), (-0.0,), (float("nan"),), (None,)], "x double")
+    rows = [str(r["x"]) for r in missing_rows(real.where("false"), real).collect()]
+    assert sorted(rows) == ["-0.0", "-0.0", "0.0", "None", "nan"]
+    assert len(missing_rows(real.where("x = 0").limit(2), real).collect()) == 3
+    assert missing_rows(real, real).isEmpty()
+
+
 def test_missing_rows_of_any_time(spark, at):
     schema = "ts timestamp_ntz, v string"
     stored = spark.createDataFrame([(at("01-02 00:00"), "a"), (at("01-02 00:00"), "b")], schema)
