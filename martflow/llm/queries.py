@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from martflow.llm import licenses, mtree, ngram, packing, pieces, pstable, quality, repair, substring, warc
+from martflow.llm import (
+    conversations,
+    licenses,
+    mtree,
+    ngram,
+    packing,
+    pieces,
+    pstable,
+    quality,
+    repair,
+    substring,
+    toxicity,
+    warc,
+    whitening,
+)
 from martflow.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,6 +178,86 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op11_noisy_channel_toxicity")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+# The checksum goes bit by bit over the place's bytes; then the cheapest letters to each role
+# state are found row by row, a path being its cost, its letters and its text.
+_REPAIR_SQL = """
+with recursive o as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as place
+  from conversations),
+c as (
+  select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, len(place) + 1),
+      lambda i: [ord(place[i])::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: case when b >= 0 then xor(a, b) else xor(a >> 1, 3988292384 * (a & 1)) end)) % 20 as kind
+  from o),
+d as (
+  select conv_id, turn, case kind when 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy
+  from c),
+n as (
+  select *, row_number() over w as i, left(role, 1) as initial, lag(left(role, 1)) over w as former,
+         row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
+         right(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'), 1) as last
+  from d window w as (partition by conv_id order by turn nulls first, role, sha256(text), copy)),
+f as (
+  select *, case when last = '' then 'blank' when seen > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated'
+            else 'sound' end as fault from n),
+-- States: 0 nothing yet, 1 system, 2 user, 3 assistant.
+ins as (
+  select * from (values (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+    (0, 2, 2, 'I', chr(10) || 'user:'), (1, 2, 2, 'I', chr(10) || 'user:'),
+    (2, 3, 2, 'I', chr(10) || 'assistant:'), (3, 2, 2, 'I', chr(10) || 'user:'),
+    (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'))
+  as t(q, p, cost, letters, added)),
+keep as (select * from (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) as t(q, initial, p)),
+turned as (select * from (values (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')) as t(q, p, role)),
+path as (
+  select conv_id, 0::bigint as i, 0 as q, {'cost': 0, 'letters': '', 'text': ''} as best from (select distinct conv_id from conversations)
+  union all
+  select conv_id, i, q, min(best) from (
+    select f.conv_id, f.i, edit.p as q, {'cost': path.best.cost + ins.cost + edit.cost,
+      'letters': path.best.letters || ins.letters || edit.letter, 'text': path.best.text || ins.added || edit.added} as best
+    from path join f on f.conv_id is not distinct from path.conv_id and f.i = path.i + 1 join ins on ins.q = path.q,
+    lateral (
+      select ins.p as p, 3 as cost, 'D' as letter, '' as added
+      union all select keep.p, (f.fault = 'truncated')::int, 'K', chr(10) || f.role || ':' || f.text from keep
+        where keep.q = ins.p and keep.initial = f.initial and f.fault in ('truncated', 'sound')
+      union all select turned.p, 2 + (f.fault = 'truncated')::int, 'R', chr(10) || turned.role || ':' || f.text from turned
+        where turned.q = ins.p and f.fault in ('truncated', 'sound')) as edit)
+  group by conv_id, i, q),
+t as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+         count(*) filter (fault = 'blank')::bigint as blank, count(*) filter (fault = 'duplicate')::bigint as duplicate,
+         count(*) filter (fault = 'truncated')::bigint as truncated,
+         count(*) filter (i > 1 and former || initial not in ('su', 'ua', 'au'))::bigint as illegal, max(i) as rows
+  from f group by conv_id),
+e as (
+  select path.conv_id, min({'cost': path.best.cost + ins.cost, 'letters': path.best.letters || ins.letters, 'text': path.best.text || ins.added}) as best
+  from path left join t on t.conv_id is not distinct from path.conv_id join ins on ins.q = path.q
+  where path.i = coalesce(t.rows, 0) and ins.p in (0, 3) group by path.conv_id)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, best.cost::bigint as cost,
+       best.letters as audit, sha256(substr(best.text, 2)) as repaired_sha256
+from e left join t on t.conv_id is not distinct from e.conv_id
+"""
+
+
+@query("op12_integer_weight_repair", _REPAIR_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.summarise(conversations.damage(table(spark, sf, "conversations")), times="times")
+
+
+@query("op13_bidiagonal_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
