@@ -151,9 +151,19 @@ def twisted(diagonal: np.ndarray, upper: np.ndarray, value: float) -> tuple[np.n
     return gamma, list(np.argsort(np.abs(gamma), kind="stable")), vector
 
 
+def _product(diagonal: np.ndarray, upper: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """``B'B z``."""
+    y = diagonal * z
+    y[:-1] += upper * z[1:]
+    out = diagonal * y
+    out[1:] += upper * y[:-1]
+    return out
+
+
 def directions(diagonal: np.ndarray, upper: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Unit eigenvectors of ``B'B`` as columns.  Where values are close, another place of the
-    twist is taken if a vector repeats earlier ones, and the rest is made orthogonal."""
+    twist is taken if a vector repeats earlier ones or is none, and the rest is made
+    orthogonal."""
     out = np.zeros((len(diagonal), len(values)))
     for j, value in enumerate(values):
         near = [i for i in range(j) if values[i] - value <= 1e-3 * values[i]]
@@ -161,17 +171,16 @@ def directions(diagonal: np.ndarray, upper: np.ndarray, values: np.ndarray) -> n
             out[0, j] = 1
             continue
         _, places, vector = twisted(diagonal, upper, value)
-        best, length = None, -1.0
+        best = None
         for k in places:
             z = vector(k)
             for _ in range(2):
                 z = z - out[:, near] @ (out[:, near].T @ z)
             norm = float(np.linalg.norm(z))
-            if norm > length:
-                best, length = z / norm if norm else z, norm
-            if norm > 0.5:
+            if norm > 0.5 and np.abs(_product(diagonal, upper, z) - value * z).max() <= 1e-10 * values[0]:
+                best = z / norm
                 break
-        if length < 0.1:  # no twist gives a new direction: inverse iteration beside the earlier ones
+        if best is None:  # no twist gives a new direction: inverse iteration beside the earlier ones
             b = np.diag(diagonal) + np.diag(upper, 1)
             shifted = b.T @ b - value * (1 + 4 * _EPS) * np.eye(len(diagonal))
             best = np.cos(np.arange(len(diagonal)) + 1.0)
