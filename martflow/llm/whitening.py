@@ -182,11 +182,11 @@ def directions(diagonal: np.ndarray, upper: np.ndarray, values: np.ndarray) -> n
                 break
         if best is None:  # no twist gives a new direction: inverse iteration beside the earlier ones
             b = np.diag(diagonal) + np.diag(upper, 1)
-            shifted = b.T @ b - value * (1 + 4 * _EPS) * np.eye(len(diagonal))
+            shifted = b.T @ b - (value + 64 * _EPS * values[0]) * np.eye(len(diagonal))
             best = np.cos(np.arange(len(diagonal)) + 1.0)
             for _ in range(4):
                 best = best - out[:, near] @ (out[:, near].T @ best)
-                best = np.linalg.lstsq(shifted, best / np.linalg.norm(best), rcond=None)[0]
+                best = np.linalg.solve(shifted, best / np.linalg.norm(best))
         for _ in range(2):
             best = best - out[:, near] @ (out[:, near].T @ best)
             best /= np.linalg.norm(best)
