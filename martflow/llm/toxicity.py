@@ -271,8 +271,8 @@ class Decoder:
 
 def learn_language(docs: DataFrame) -> array:
     """The character model of all texts of ``docs``."""
-    rows = staged(count_grams(docs), "grams").toPandas()  # bounded by the classes
-    return language_model(rows["gram"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.float64))
+    rows = staged(count_grams(docs), "grams").toArrow()  # bounded by the classes
+    return language_model(rows["gram"].to_numpy(), rows["n"].to_numpy())
 
 
 def restore(docs: DataFrame, model: array | None = None, name: str = "restored") -> DataFrame:
@@ -359,8 +359,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12000, max_words:
     rows = (
         docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(chosen), "_id")
-        .groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key"))
+        .groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("_same"))
         .agg(F.avg("_y").alias("label"), F.min("text").alias("text"))
+        .select(F.xxhash64("_same").alias("_key"), "label", "text")
     )
     shared = docs.sparkSession.sparkContext.broadcast(language)
 
@@ -372,15 +373,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12000, max_words:
                 for at in range(0, len(found), 10000):
                     part = found[at : at + 10000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(part)), pa.array([label] * len(part), pa.float64()), pa.array(part)],
+                        [pa.array([key] * len(part), pa.int64()), pa.array([label] * len(part), pa.float64()), pa.array(part)],
                         names=["_key", "label", "word"],
                     )
 
-    seen = staged(rows.mapInArrow(words, "_key string, label double, word string"), "toxic-words")
-    texts = sorted((r["_key"], r["label"]) for r in seen.select("_key", "label").distinct().collect())  # max_train at most
-    number = {k: i for i, (k, _) in enumerate(texts)}
-    y = np.array([label for _, label in texts])
-    rate = float(y.mean()) if len(y) else 0.5
+    seen = staged(rows.mapInArrow(words, "_key long, label double, word string"), "toxic-words")
+    texts = seen.groupBy("_key").agg(F.first("label")).toArrow().to_pydict()  # max_train rows at most
+    y = dict(sorted(zip(*texts.values(), strict=True)))
+    rate = sum(y.values()) / len(y) if y else 0.5
     features = (
         seen.where("word != ''")
         .groupBy("word")
@@ -389,13 +389,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12000, max_words:
         .orderBy(F.abs(F.col("hits") - F.col("n") * rate) / F.sqrt("n"), "word", ascending=[False, True])
         .limit(max_words)
     )
-    # max_words short rows; the pairs that come back are those of max_train texts.
-    pairs = seen.join(F.broadcast(features.select("word")), "word").select("_key", "word").toPandas()
-    names = sorted(set(pairs["word"]))
-    place = {w: i for i, w in enumerate(names)}
-    weights, intercept = fit_relaxed(
-        pairs["_key"].map(number).to_numpy(dtype=np.int64), pairs["word"].map(place).to_numpy(dtype=np.int64), y, len(names), l1
-    )
+    names = sorted(features.select("word").toArrow()["word"].to_pylist())
+    numbers = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "word string, _column int")
+    # max_words short rows are broadcast; what comes back are two numbers for each pair.
+    pairs = seen.join(F.broadcast(numbers), "word").select("_key", "_column").toArrow()
+    rows = np.searchsorted(np.array(list(y), dtype=np.int64), pairs["_key"].to_numpy())
+    weights, intercept = fit_relaxed(rows, pairs["_column"].to_numpy(), np.array(list(y.values())), len(names), l1)
     return Model(language, {w: float(x) for w, x in zip(names, weights, strict=True) if x}, intercept)
 
 
