@@ -9,6 +9,7 @@ and a repeated call with the same id finishes from there.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from urllib.parse import unquote
@@ -140,6 +141,12 @@ def _write(
         declare_schema(df.sparkSession, path, df.schema, replace=mode == "overwrite" and not dynamic)
 
 
+def commit_stage(spark: SparkSession, path: str, batch_id: str) -> str:
+    """The folder that keeps a batch of a table until it is in place."""
+    table = hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:16]
+    return f"{shared_dir(spark)}/martflow/commit/{batch_id}-{table}"
+
+
 def replace_partitions(
     df: DataFrame,
     path: str,
@@ -153,7 +160,8 @@ def replace_partitions(
     ``cluster=False`` writes without an exchange, for rows that already lie together.
 
     ``df`` may be read from ``path`` itself.  Returns the number of ``rows``, observed
-    during the write.
+    during the write.  ``batch_id`` keeps the rows aside until they are in place; they are
+    taken up again only by the same batch of the same table, with the same columns.
     """
     spark = df.sparkSession
     seen = Observation()
@@ -162,9 +170,12 @@ def replace_partitions(
     if batch_id is None:
         _write(rows.observe(seen, *metrics), path, by, "overwrite", True, fmt)
         return seen.get
-    stage = f"{shared_dir(spark)}/martflow/commit/{batch_id}"
-    if not storage.is_complete(spark, stage):
-        rows.write.mode("overwrite").parquet(stage)
+    stage = commit_stage(spark, path, batch_id)
+    kept = declared_schema(spark, stage)
+    if not storage.is_complete(spark, stage) or kept is None or kept.simpleString() != df.schema.simpleString():
+        storage.delete(spark, stage)
+        declare_schema(spark, stage, df.schema)
+        rows.write.mode("append").parquet(stage)
     staged = spark.read.schema(df.schema).parquet(stage)
     _write(staged.observe(seen, *metrics), path, by, "overwrite", True, fmt)
     result = seen.get

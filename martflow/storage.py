@@ -51,10 +51,13 @@ def has_data(spark: SparkSession, path: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small text file, or None if it is not there."""
+    """A small text file, or None if it is not there.  A run that ended while it put a new
+    version in place has left that version aside, complete."""
     fs, p = _resolve(spark, path)
     if not fs.exists(p):
-        return None
+        _, p = _resolve(spark, f"{path}.new")
+        if not fs.exists(p):
+            return None
     stream = fs.open(p)
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")

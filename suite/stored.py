@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from martflow import operators as op, sinks, sources, streaming
+from martflow import operators as op, sinks, sources, storage, streaming
 from martflow.functions import parse_access_log, with_partitions
 from martflow.plans import Project, jobs, listings_project, marts, shop_project
 from martflow.session import scratch_dir
@@ -990,6 +990,31 @@ def routed_second_checkpoint(spark, sf):
     return rows.select("offset", "user_id", "event_type")
 
 
+@query(
+    "routed_new_checkpoint",
+    """
+SELECT event_id AS "offset", user_id, event_type FROM events WHERE event_type = 'purchase'""",
+)
+def routed_new_checkpoint(spark, sf):
+    """SNK-13: the checkpoint is lost and made anew under the same path, the topics are read
+    again with what came since; then everything is compacted."""
+    root, landing, progress = (scratch_dir(spark, n) for n in ("routed", "topics", "progress"))
+    topics = given(spark, sf, "events").select(
+        F.concat(F.lit("rdb.shop."), "event_type").alias("topic"),
+        (F.col("event_id") % 3).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.to_json(F.struct("user_id", "event_type")).alias("value"),
+    )
+    for part in (topics.where("hash(offset) % 2 = 0"), topics.where("hash(offset) % 2 != 0")):
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(topics.schema).parquet(landing)
+        streaming.route_to_tables(stream, root, progress, r"rdb\.shop\.(.*)", once=True).awaitTermination()
+        storage.delete(spark, progress)
+    streaming.compact_routed(spark, root, "purchase")
+    rows = streaming.routed_table(spark, root, "purchase", "user_id bigint, event_type string")
+    return rows.select("offset", "user_id", "event_type")
+
+
 @query(
     "change_stream_tables",
     """

@@ -17,6 +17,7 @@ from martflow.plans import (
     missing_rows,
 )
 from martflow.session import shared_dir
+from martflow.sinks import writers
 from tests.conftest import rows_of
 
 HOURS = ["year", "month", "day", "hour"]
@@ -187,9 +188,10 @@ def test_newest_version_wins_and_unknown_keys_stay(spark, tmp_path, at):
 def test_interrupted_commit_is_finished_from_the_stage(spark, tmp_path, hourly):
     path, batch = str(tmp_path / "t"), "batch-1"
     sinks.write_partitions(hourly, path, HOURS, mode="overwrite_partitions")
-    stage = f"{shared_dir(spark)}/martflow/commit/{batch}"
+    stage = writers.commit_stage(spark, path, batch)
     changed = hourly.withColumn("id", F.col("id") + 10)
-    changed.write.parquet(stage)
+    writers.declare_schema(spark, stage, changed.schema)
+    changed.write.mode("append").parquet(stage)
     # The table lost a folder while it was replaced; what the retry is given no
     # longer has those rows either.
     sinks.drop_partitions(spark, path, HOURS, "hour = 13")
@@ -198,6 +200,30 @@ def test_interrupted_commit_is_finished_from_the_stage(spark, tmp_path, hourly):
     assert not storage.exists(spark, stage)
 
 
+def test_one_batch_id_on_two_tables(spark, tmp_path):
+    """A stage that a lost driver left belongs to its table, and to its columns."""
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    left = spark.createDataFrame([(1, "of a", 1)], "id int, v string, p int")
+    stage = writers.commit_stage(spark, a, "job-1")
+    writers.declare_schema(spark, stage, left.schema)
+    left.write.mode("append").parquet(stage)
+    sinks.replace_partitions(left.withColumn("v", F.lit("of b")), b, ["p"], batch_id="job-1")
+    assert rows_of(spark.read.parquet(b), "v") == [("of b",)]
+    # Other columns than the stage has: the stage is of an older form of the batch.
+    sinks.replace_partitions(left.withColumn("w", F.lit(2)), a, ["p"], batch_id="job-1")
+    assert rows_of(spark.read.parquet(a), "v", "w") == [("of a", 2)]
+    assert not storage.exists(spark, stage)
+
+
+def test_text_put_in_place_halfway(spark, tmp_path):
+    path = str(tmp_path / "x.json")
+    storage.write_text(spark, path, "one")
+    storage.write_text(spark, f"{path}.new", "two")
+    assert storage.read_text(spark, path) == "one"
+    storage.delete(spark, path)
+    assert storage.read_text(spark, path) == "two"
+
+
 def test_every_partition_moves(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(10).withColumn("p", F.col("id"))

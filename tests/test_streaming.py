@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from martflow import streaming
+from martflow import storage, streaming
 from martflow.functions import with_partitions
 from martflow.operators import latest_changes
+from martflow.streaming import offsets
 from tests.conftest import rows_of
 
 SCHEMA = "k int, ts timestamp_ntz, v string, Op string"
@@ -145,6 +146,88 @@ def test_routing(spark, dirs):
     assert spark.read.parquet(dirs["out"]).count() == 2
 
 
+PLACED = "topic string, partition int, offset long, value string"
+
+
+def _route(spark, dirs, checkpoint, **options):
+    stream = spark.readStream.schema(PLACED).parquet(dirs["in"])
+    streaming.route_to_tables(stream, dirs["out"], checkpoint, r"(.*)", once=True, **options).awaitTermination()
+    return rows_of(streaming.routed_table(spark, dirs["out"], "t", "id long"), "partition", "offset")
+
+
+def _places(*runs):
+    return [("t", p, o, f'{{"id":{o}}}') for p, low, high in runs for o in range(low, high + 1)]
+
+
+def test_new_checkpoint_of_the_same_name(spark, dirs):
+    _drop(spark, dirs["in"], _places((0, 0, 4)), PLACED)
+    assert _route(spark, dirs, dirs["ck"]) == [(0, o) for o in range(5)]
+    storage.delete(spark, dirs["ck"])
+    _drop(spark, dirs["in"], _places((0, 5, 7), (1, 2, 3)), PLACED)
+    assert _route(spark, dirs, dirs["ck"]) == [(0, o) for o in range(8)] + [(1, 2), (1, 3)]
+
+
+def test_rows_without_an_entry_do_not_count(spark, dirs, monkeypatch):
+    """A run that ends after the rows and before their ranges; then one that repeats it."""
+    _drop(spark, dirs["in"], _places((0, 0, 2)), PLACED)
+    _route(spark, dirs, dirs["ck"])
+    _drop(spark, dirs["in"], _places((0, 3, 4)), PLACED)
+    monkeypatch.setattr(offsets, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(Exception, match="lost"):
+        _route(spark, dirs, dirs["ck"])
+    monkeypatch.undo()
+    assert _route(spark, dirs, dirs["ck"]) == [(0, o) for o in range(5)]
+    assert spark.read.parquet(dirs["out"]).count() == 7  # what the lost run wrote lies there
+
+
+def test_compaction_lost_in_between(spark, dirs, monkeypatch):
+    for k in range(3):
+        _drop(spark, dirs["in"], _places((0, 3 * k, 3 * k + 2)), PLACED)
+        _route(spark, dirs, dirs["ck"])
+    want = [(0, o) for o in range(9)]
+    real = offsets.commit
+    for lost in (offsets.__dict__["commit"], storage.delete):
+        name, owner = ("commit", offsets) if lost is real else ("delete", storage)
+        monkeypatch.setattr(owner, name, lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            streaming.compact_routed(spark, dirs["out"], "t")
+        monkeypatch.undo()
+        assert rows_of(streaming.routed_table(spark, dirs["out"], "t", "id long"), "partition", "offset") == want
+    assert streaming.compact_routed(spark, dirs["out"], "t") == 0  # deletes what was left
+    entries = offsets.ledger(spark, dirs["out"])
+    assert rows_of(entries.where("low is not null"), "low", "high") == [(0, 8)]
+    assert _route(spark, dirs, str(dirs["ck"]) + "2") == want
+
+
+def test_folder_without_a_ledger_is_taken_over(spark, dirs):
+    rows = spark.createDataFrame(_places((0, 0, 3), (1, 7, 9)), PLACED).selectExpr("*", "'t' as table", "'x-0' as batch")
+    rows.write.partitionBy("table", "batch").parquet(dirs["out"])
+    _drop(spark, dirs["in"], _places((0, 2, 5)), PLACED)
+    assert _route(spark, dirs, dirs["ck"]) == [(0, o) for o in range(6)] + [(1, 7), (1, 8), (1, 9)]
+
+
+def test_ranges(spark, monkeypatch):
+    monkeypatch.setattr(offsets, "BLOCK", 8)
+    places = [(0, o) for o in [*range(3, 40), *range(50, 56), 70, *range(72, 90, 2), 90]] + [(1, o) for o in range(8)]
+    rows = spark.createDataFrame([("t", p, o) for p, o in places * 2], "topic string, partition int, offset long")
+    found = rows_of(offsets.ranges(rows), "partition", "low", "high")
+    want = [(0, 3, 39), (0, 50, 55), (0, 70, 70), *((0, o, o) for o in range(72, 90, 2)), (0, 90, 90), (1, 0, 7)]
+    assert found == sorted(want, key=repr)
+    entries = offsets.ranges(rows).selectExpr("'x' as table", "*")
+    batch = spark.createDataFrame([("t", p, o) for p in (0, 1, 2) for o in range(100)], "topic string, partition int, offset long")
+    left = offsets.not_held(batch.selectExpr("'x' as table", "*"), entries)
+    assert rows_of(left, "partition", "offset") == sorted({(p, o) for p in (0, 1, 2) for o in range(100)} - set(places), key=repr)
+    assert offsets.not_held(batch.selectExpr("'y' as table", "*"), entries).count() == 300
+
+
+def test_stored_rows_are_not_read_for_a_batch(spark, dirs):
+    _drop(spark, dirs["in"], _places((0, 0, 4)), PLACED)
+    _route(spark, dirs, dirs["ck"])
+    batch = spark.createDataFrame(_places((0, 3, 9)), PLACED).withColumn("table", F.lit("t"))
+    left = offsets.not_held(batch, offsets.held_ledger(spark, dirs["out"]))
+    assert left.count() == 5 and all("_ledger" in f for f in left.inputFiles())
+
+
 def test_topic_rows(spark):
     df = spark.createDataFrame(
         [("t", 0, 5, bytearray(b'{"k": 3}')), ("t", 0, 6, bytearray(b"{bad"))],
