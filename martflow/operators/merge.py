@@ -66,6 +66,15 @@ def _not_stale(target: DataFrame, source: DataFrame, keys: Sequence[str], ts: st
     return source.join(theirs, list(keys), "left").where(newer).select(*source.columns)
 
 
+def _not_deleted(source: DataFrame, deleted: DataFrame, keys: Sequence[str], ts: str, op: str) -> DataFrame:
+    """Source rows newer than the last delete of their key; deletes stay in any case."""
+    last = deleted.groupBy(*keys).agg(F.max(ts).alias("_gone"))
+    alive = F.col("_gone").isNull() | (F.col(ts) > F.col("_gone"))
+    if op in source.columns:
+        alive = alive | F.coalesce(F.col(op) == DELETE, F.lit(False))
+    return source.join(last, list(keys), "left").where(alive).select(*source.columns)
+
+
 def _kept(
     target: DataFrame, source: DataFrame, keys: Sequence[str], ts: str | None
 ) -> DataFrame:
@@ -94,6 +103,7 @@ def merge(
     newer_than: str | None = None,
     tie_break: Sequence[str | Column] = (),
     schema: str = "strict",
+    deleted: DataFrame | None = None,
 ) -> DataFrame:
     """The target after the changes of ``source``: matched keys replaced, new keys
     inserted, and keys whose change is a delete removed.
@@ -105,6 +115,8 @@ def merge(
     - ``newer_than`` names a version column: a source row older than the target's
       is ignored, so reading an overlap twice is harmless.  If the target repeats a
       key, copies older than the source row go in any case.
+    - ``deleted`` has the keys and times (``newer_than``) of earlier deletes: a source row
+      that is no newer than the delete of its key is ignored.
     - ``schema="evolve"`` adds the source's new columns to the table and fills
       columns the source has lost with NULL.
 
@@ -118,6 +130,10 @@ def merge(
         require_unique(source, keys)
     if deletes == "ignore" and op in source.columns:
         source = source.where(F.coalesce(F.col(op), F.lit(INSERT)) != DELETE)
+    if deleted is not None:
+        if newer_than is None:
+            raise ValueError("deleted needs newer_than")
+        source = _not_deleted(source, deleted, keys, newer_than, op)
     kept = _kept(target, source, keys, newer_than)
     fresh = source if newer_than is None else _not_stale(target, source, keys, newer_than)
     if op in fresh.columns:
@@ -128,14 +144,23 @@ def merge(
     return union_by_name(kept, upserts, allow_missing=schema == "evolve")
 
 
-def key_facts(source: DataFrame, keys: Sequence[str]) -> dict:
-    """Smallest and largest first key of a batch, and a repeated key if there is one.
-    One job."""
+def key_facts(source: DataFrame, keys: Sequence[str], op: str | None = None, ts: str | None = None) -> dict:
+    """Smallest and largest first key of a batch, and a repeated key if there is one; with
+    ``op`` whether it has deletes, with ``ts`` its first and last time.  One job."""
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    per_key = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    gone = F.coalesce(F.col(op) == DELETE, F.lit(False)) if op in source.columns else F.lit(False)
+    time = F.col(ts) if ts else F.lit(None).cast("timestamp_ntz")
+    per_key = source.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(gone).alias("_gone"), F.min(time).alias("_since"), F.max(time).alias("_until")
+    )
     repeated = F.when(known & (F.col("_n") > 1), F.to_json(F.struct(*keys)))
     row = per_key.agg(
-        F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high"), F.min(repeated).alias("repeated")
+        F.min(keys[0]).alias("low"),
+        F.max(keys[0]).alias("high"),
+        F.min(repeated).alias("repeated"),
+        F.coalesce(F.max("_gone"), F.lit(False)).alias("deletes"),
+        F.min("_since").alias("since"),
+        F.max("_until").alias("until"),
     ).head()
     return {**row.asDict(), "type": source.schema[keys[0]].dataType}
 

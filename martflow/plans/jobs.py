@@ -21,6 +21,7 @@ from martflow.operators.changes import (
     since_threshold,
 )
 from martflow.sinks.merging import upsert_path
+from martflow.sinks.tombstones import keep_deletes
 from martflow.sinks.writers import write_partitions
 from martflow.sources.bookmarks import Bookmarks
 from martflow.sources.files import (
@@ -47,14 +48,16 @@ def initial_load(
     tie_break: Sequence[str] = (),
 ) -> None:
     """Load a whole change log as a table: one row per key, partitioned by event day.
-    Deleted keys are left out."""
-    newest = latest_changes(rows, keys, ts, ties="one", tie_break=tie_break)
+    Deleted keys are left out, and stay out (see ``sinks.tombstones``)."""
+    newest = changes = latest_changes(rows, keys, ts, ties="one", tie_break=tie_break)
     if "Op" in rows.columns:
         newest = newest.where(F.coalesce("Op", F.lit("I")) != "D").drop(*CONTROL_COLUMNS)
     table = with_partitions(newest, ts, by[-1])
     if applied_at is not None:
         table = with_applied_at(table, applied_at)
     write_partitions(table, path, by, mode="overwrite")
+    if "Op" in rows.columns:
+        keep_deletes(changes, path, keys, ts, "Op")
 
 
 def _merge_newest(

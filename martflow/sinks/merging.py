@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -12,6 +13,7 @@ from pyspark.sql.types import StructType
 from martflow.operators.changes import CONTROL_COLUMNS, DELETE
 from martflow.operators.merge import in_key_range, key_facts, merge, refuse_repeats
 from martflow.operators.relational import union_by_name
+from martflow.sinks.tombstones import expire_deletes, held_deletes, keep_deletes
 from martflow.sinks.writers import (
     declare_schema,
     delete_unwritten,
@@ -39,6 +41,8 @@ def upsert_path(
     declared: StructType | str | None = None,
     on_duplicate: str = "error",
     keep: bool = True,
+    remember: bool = True,
+    lateness: timedelta | None = None,
     **options,
 ) -> dict:
     """Merge a batch into a partitioned Parquet folder, rewriting touched partitions.
@@ -49,6 +53,11 @@ def upsert_path(
     beside the table.  ``keep=False`` if the caller holds the batch already.
     ``options`` go to ``merge``.  Returns the number of ``rows`` written.
 
+    With ``newer_than`` deletes stay deleted: their keys and times are kept beside the
+    table (see ``sinks.tombstones``), and a later batch's row that is no newer is ignored.
+    ``lateness`` says how much older than the newest row of a batch a row can be; deletes
+    from before that are forgotten.  ``remember=False`` keeps and asks nothing.
+
     One aggregate of the batch gives its key range and finds repeated keys; then come
     the touched partitions, the write, and a look for emptied partitions.
     """
@@ -56,11 +65,19 @@ def upsert_path(
         source = source.persist(StorageLevel.MEMORY_AND_DISK)
     rules = {"op": op, "control": control, **options}
     try:
-        facts = key_facts(source, keys)
+        ts = options.get("newer_than")
+        recalled = remember and ts is not None and options.get("deletes", "apply") == "apply"
+        facts = key_facts(source, keys, op, ts if recalled else None)
         if on_duplicate == "error":
             refuse_repeats(facts)
             on_duplicate = "trust"
         rules["on_duplicate"] = on_duplicate
+        if recalled:
+            rules["deleted"] = held_deletes(spark, path, source, keys, ts, facts["since"])
+            if facts["deletes"]:
+                keep_deletes(source, path, keys, ts, op, rules["deleted"])
+            if lateness is not None and facts["until"] is not None:
+                expire_deletes(spark, path, facts["until"], lateness)
         if is_empty_table(spark, path):
             empty = spark.createDataFrame([], source.drop(op, *control).schema)
             declare_schema(spark, path, empty.schema)

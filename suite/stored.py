@@ -486,6 +486,53 @@ def upsert_after_empty(spark, sf):
     return sources.scan_full(spark, root, rows.schema)
 
 
+def _out_of_order(spark, sf):
+    """Three batches of order changes: inserts of one half; deletes of every fifth order,
+    known or not, ten days after its insert; then all inserts again, and newer ones for half
+    of the deleted."""
+    orders = given(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(o_orderkey % 50 as int))").alias("changed_at"),
+        F.col("o_totalprice").alias("price"),
+    )
+    first = orders.withColumn("Op", F.lit("I"))
+    gone = first.where("id % 5 = 0").withColumn("changed_at", F.expr("changed_at + interval 10 days"))
+    back = first.where("id % 10 = 0").withColumn("changed_at", F.expr("changed_at + interval 20 days"))
+    back = back.withColumn("price", F.col("price") + 1)
+    again = first.where("id % 10 > 0").union(back)
+    return [first.where("id % 2 = 0"), gone.withColumn("Op", F.lit("D")), again]
+
+
+_DELETED_STAYS_SQL = """
+SELECT way, o_orderkey AS id, timestamp '2024-01-01' + (o_orderkey % 50 + CASE WHEN o_orderkey % 10 = 0 THEN 20 ELSE 0 END) * interval 1 day AS changed_at,
+  CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price
+FROM orders, (VALUES ('job'), ('stream')) AS w(way) WHERE o_orderkey % 5 > 0 OR o_orderkey % 10 = 0"""
+
+
+@query("upsert_deleted_stays", _DELETED_STAYS_SQL)
+def upsert_deleted_stays(spark, sf):
+    """MRG-2, STR-1: an insert that is older than the key's delete comes in a later batch, in
+    a job and in a stream; the key stays deleted, and a newer insert brings it back."""
+    batches, months = _out_of_order(spark, sf), ["year", "month"]
+    job, stream, landing = (scratch_dir(spark, n) for n in ("job", "stream", "landing"))
+    state = sources.Bookmarks(spark, scratch_dir(spark, "bookmarks"))
+    for k, batch in enumerate(batches):
+        # Each batch is read as a whole: the overlap reaches back before all times.
+        jobs.upsert_changes(
+            batch, job, state, "orders", ["id"], "changed_at", datetime(2024, 1, 1 + k), timedelta(days=20000), by=months
+        )
+        with_partitions(batch, "changed_at", "month").write.mode("append").parquet(landing)
+        changes = spark.readStream.schema(with_partitions(batch, "changed_at", "month").schema).parquet(landing)
+        streaming.stream_upsert(
+            changes, stream, f"{landing}-progress", ["id"], "changed_at", months, once=True
+        ).awaitTermination()
+    columns = ["id", "changed_at", "price"]
+    return op.relational.union_by_name(
+        sources.scan_full(spark, job).select(F.lit("job").alias("way"), *columns),
+        sources.scan_full(spark, stream).select(F.lit("stream").alias("way"), *columns),
+    )
+
+
 @query("drop_many_partitions", "SELECT o_orderkey, o_custkey % 300 AS part FROM orders WHERE o_custkey % 300 % 3 > 0")
 def drop_many_partitions(spark, sf):
     """MRG-6: any number of partitions, none of them listed on the driver."""

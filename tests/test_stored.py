@@ -17,7 +17,7 @@ from martflow.plans import (
     missing_rows,
 )
 from martflow.session import shared_dir
-from martflow.sinks import writers
+from martflow.sinks import tombstones, writers
 from tests.conftest import rows_of
 
 HOURS = ["year", "month", "day", "hour"]
@@ -725,3 +725,78 @@ def test_log_job_without_lines(spark, tmp_path):
     _land(spark, raw, 14, "garbage")
     jobs.access_log_batch(spark, raw, out, marks, "log", now, missing="skip")
     assert marks.get("log") == datetime(2024, 6, 15, 14) and spark.read.parquet(out).count() == 1
+
+
+CHANGES = "id int, ts timestamp_ntz, v string, Op string, p int"
+
+
+def _merge(spark, path, *rows, **options):
+    batch = spark.createDataFrame([(i, t, v, o, i % 2) for i, t, v, o in rows], CHANGES)
+    return sinks.upsert_path(spark, path, batch, ["id"], ["p"], newer_than="ts", **options)
+
+
+def _ids(spark, path):
+    return rows_of(sources.scan_full(spark, path, "id int, ts timestamp_ntz, v string, p int"), "id", "v")
+
+
+def test_deletes_stay(spark, tmp_path, at):
+    path = str(tmp_path / "t")
+    _merge(spark, path, (1, at("01-01 00:00"), "a", "I"), (2, at("01-01 00:00"), "b", "I"), (3, at("01-05 00:00"), None, "D"))
+    _merge(spark, path, (1, at("01-03 00:00"), None, "D"))
+    late = [(1, at("01-02 00:00"), "a2", "U"), (3, at("01-05 00:00"), "same", "I"), (2, at("01-02 00:00"), "b2", "U")]
+    for _ in range(2):
+        _merge(spark, path, *late)
+        assert _ids(spark, path) == [(2, "b2")]
+    # A repeated delete is kept once, and a newer row brings the key back.
+    for _ in range(2):
+        _merge(spark, path, (1, at("01-03 00:00"), None, "D"))
+    assert spark.read.parquet(f"{path}/{tombstones.FOLDER}").count() == 2
+    _merge(spark, path, (1, at("01-04 00:00"), "back", "I"), (3, at("01-04 00:00"), "no", "I"))
+    assert _ids(spark, path) == [(1, "back"), (2, "b2")]
+    assert "deleted_month" not in sources.scan_full(spark, path).columns
+    _merge(spark, path, (3, at("01-04 00:00"), "asked for", "I"), remember=False)
+    assert (3, "asked for") in _ids(spark, path)
+
+
+def test_deletes_survive_a_run_that_ends_before_the_write(spark, tmp_path, at, monkeypatch):
+    from martflow.sinks import merging
+
+    path = str(tmp_path / "t")
+    _merge(spark, path, (1, at("01-01 00:00"), "a", "I"))
+    monkeypatch.setattr(merging, "replace_partitions", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        _merge(spark, path, (1, at("01-03 00:00"), None, "D"))
+    monkeypatch.undo()
+    assert _ids(spark, path) == [(1, "a")]
+    _merge(spark, path, (1, at("01-03 00:00"), None, "D"))
+    _merge(spark, path, (1, at("01-02 00:00"), "a", "I"))
+    assert _ids(spark, path) == []
+
+
+def test_deletes_are_forgotten_after_the_lateness(spark, tmp_path, at):
+    path, week = str(tmp_path / "t"), timedelta(days=7)
+    _merge(spark, path, (1, at("01-01 00:00"), None, "D"), (2, at("03-20 00:00"), None, "D"), lateness=week)
+    _merge(spark, path, (4, at("03-21 00:00"), "x", "I"), lateness=week)
+    held = spark.read.parquet(f"{path}/{tombstones.FOLDER}")
+    assert rows_of(held, "id") == [(2,)]
+
+
+def test_only_months_from_the_oldest_row_on_are_asked(spark, tmp_path, at):
+    path = str(tmp_path / "t")
+    _merge(spark, path, *((month, at(f"{month:02d}-05 12:00"), None, "D") for month in range(1, 7)))
+    batch = spark.createDataFrame([(5, at("05-02 00:00"), "x", "I", 1), (2, at("05-02 00:00"), "y", "I", 0)], CHANGES)
+    held = tombstones.held_deletes(spark, path, batch, ["id"], "ts", at("05-02 00:00"))
+    assert rows_of(held, "id") == [(5,)]
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "deleted_month" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_versions_that_are_no_times(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, n long, Op string, p int")
+    for batch in (rows((1, 5, "I", 0), (2, 9, "D", 0)), rows((2, 8, "I", 0), (1, 7, "D", 0)), rows((1, 6, "U", 0), (3, None, "D", 0))):
+        sinks.upsert_path(spark, path, batch, ["id"], ["p"], newer_than="n")
+    assert not storage.has_data(spark, path)
+    source = rows((1, 5, "I", 0))
+    with pytest.raises(ValueError):
+        merge(source.drop("Op"), source, ["id"], deleted=source.select("id", "n"))
