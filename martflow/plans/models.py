@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martflow.operators.checks import assert_checks
 from martflow.operators.merge import merge
-from martflow.operators.relational import union_by_name
+from martflow.operators.relational import in_types_of, union_by_name
+from martflow.plans.digests import changed_partitions, keep_digests
 from martflow.plans.incremental import (
     check_schema,
     incremental_append,
@@ -29,8 +30,8 @@ from martflow.plans.incremental import (
 )
 from martflow.sinks.merging import upsert_path
 from martflow.sinks.tables import ensure_database, layout, publish
-from martflow.sinks.writers import write_partitions
-from martflow.sources.catalog import discover_table
+from martflow.sinks.writers import in_partitions, stored_rows, write_partitions
+from martflow.sources.catalog import discover_table, register_partitions
 
 MATERIALIZED = ("view", "table", "ephemeral", "append", "merge")
 
@@ -84,7 +85,8 @@ class Project:
 
     An ``append`` model with a ``ts`` takes the rows newer than its newest; with
     ``late="all"`` it takes every row it does not have yet, late ones, ones of the same
-    instant and ones without a time.  A ``merge`` model refuses a batch, the first one
+    instant and ones without a time; if it is partitioned, only partitions that differ from
+    the source (see ``plans.digests``) are read and compared.  A ``merge`` model refuses a batch, the first one
     too, that repeats a key, unless its ``options`` say ``on_duplicate="latest"``.
     Checks of a table that is published as a whole run before it becomes visible.
     """
@@ -196,17 +198,50 @@ class Project:
         path = f"{self.root.rstrip('/')}/{table.replace('.', '/')}"
         if not context.is_incremental:
             write_partitions(self._first_rows(model, rows), path, by, mode="overwrite")
+            if model.late == "all":
+                stored = stored_rows(self.spark, path)
+                keep_digests(stored, path, by, stored.columns)
+            discover_table(self.spark, path, table)
         elif model.materialized == "append":
-            new = self._new_rows(model, context.this, rows)
-            write_partitions(new, path, by, mode="append")
+            self._append_partitioned(model, context.this, rows, path)
         else:
             known = [c for c in rows.columns if c in context.this.columns or c == "Op"]
             stored = context.this.schema
             batch = rows.select(*known)
-            upsert_path(
+            done = upsert_path(
                 self.spark, path, batch, model.keys, by, declared=stored, **model.options
             )
-        discover_table(self.spark, path, table)
+            if done.get("emptied"):
+                discover_table(self.spark, path, table)
+            else:
+                register_partitions(self.spark, table, batch)
+
+    def _append_partitioned(self, model: Model, target: DataFrame, rows: DataFrame, path: str) -> None:
+        """Append to a partitioned model.  With ``late="all"`` only partitions whose digest
+        is not the source's are compared, and only they are read."""
+        by, table = model.partition_by, self.table_name(model)
+        if model.late != "all":
+            new = self._new_rows(model, target, rows)
+            write_partitions(new, path, by, mode="append")
+            register_partitions(self.spark, table, new)
+            return
+        shared = [c for c in target.columns if c in rows.columns]
+        ours = in_types_of(rows, target.select(*shared))
+        changed = changed_partitions(ours, path, by, shared)
+        if changed.isEmpty():
+            return
+        # The folder is asked, not the catalog, which a lost run may have left behind.
+        held = in_partitions(stored_rows(self.spark, path), by, changed)
+        new = missing_rows(held.select(*target.columns), in_partitions(ours, by, changed))
+        new = check_schema(target, new, model.on_schema_change)
+        write_partitions(new, path, by, mode="append")
+        now = in_partitions(stored_rows(self.spark, path), by, changed)
+        keep_digests(now, path, by, shared)
+        if set(new.columns) != set(target.columns):
+            self.spark.sql(f"DROP TABLE {table}")  # the files stay; the new columns are read from them
+            discover_table(self.spark, path, table)
+        else:
+            register_partitions(self.spark, table, now)
 
     def _new_rows(self, model: Model, target: DataFrame, rows: DataFrame) -> DataFrame:
         if model.late == "all":

@@ -41,6 +41,7 @@ def shop_project(
     sources: Mapping[str, DataFrame],
     prefix: str = "",
     orders_by: Sequence[str] = ("year", "month", "day"),
+    log_by: Sequence[str] = ("year", "month", "day"),
 ) -> Project:
     """Staging, dimensions, facts and conversion rates of the shop.
 
@@ -48,7 +49,9 @@ def shop_project(
     ``access_log``.  Orders merge by id, and a row older than the stored one is ignored;
     the log appends what is not stored yet, however late it comes.
     Order facts are partitioned by ``orders_by``, taken from the order time, so that a
-    merge rewrites the days it touches; empty, they are one table rewritten whole.
+    merge rewrites the days it touches; empty, they are one table rewritten whole.  Log
+    facts are partitioned by ``log_by`` in the same way, and a run looks into the days
+    that differ from the log only.
     """
     project = Project(spark, root, prefix)
     for name in SHOP_SOURCES:
@@ -65,7 +68,20 @@ def shop_project(
     add("stg_accesslog", ["access_log"], marts.stg_accesslog, "view", "stg")
     add("dim_customer", ["stg_customer"], marts.dim_customer)
     add("dim_product", ["stg_product"], marts.dim_product)
-    add("fact_accesslog", ["stg_accesslog"], marts.fact_accesslog, "append", ts="timestamp", late="all")
+
+    def fact_accesslog(staged: DataFrame) -> DataFrame:
+        facts = marts.fact_accesslog(staged)
+        return with_partitions(facts, "timestamp", log_by[-1]) if log_by else facts
+
+    add(
+        "fact_accesslog",
+        ["stg_accesslog"],
+        fact_accesslog,
+        "append",
+        ts="timestamp",
+        late="all",
+        partition_by=log_by,
+    )
 
     def fact_orders(orders: DataFrame) -> DataFrame:
         facts = marts.fact_orders(orders)

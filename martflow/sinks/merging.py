@@ -51,7 +51,8 @@ def upsert_path(
     the table, and the way is the same for any number of them.  Merging the same batch
     again changes nothing.  ``declared`` is the stored schema; by default the one kept
     beside the table.  ``keep=False`` if the caller holds the batch already.
-    ``options`` go to ``merge``.  Returns the number of ``rows`` written.
+    ``options`` go to ``merge``.  Returns the number of ``rows`` written, and of
+    partitions ``emptied`` if the table was not.
 
     With ``newer_than`` deletes stay deleted: their keys and times are kept beside the
     table (see ``sinks.tombstones``), and a later batch's row that is no newer is ignored.
@@ -90,8 +91,8 @@ def upsert_path(
         touched = union_by_name(held.select("_p", "_on"), partitions_of(source, by))
         result = merge(in_partitions(target, by, touched), source, keys, schema=schema, **rules)
         written = replace_partitions(result, path, by, batch_id)
-        delete_unwritten(stored_like(source, path, by, target.schema), by, held)
-        return written
+        emptied = delete_unwritten(stored_like(source, path, by, target.schema), by, held)
+        return {**written, "emptied": emptied}
     finally:
         if keep:
             source.unpersist()

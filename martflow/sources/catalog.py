@@ -68,3 +68,29 @@ def discover_table(spark: SparkSession, root: str, name: str, fmt: str = "parque
     if any(c.isPartition for c in spark.catalog.listColumns(name)):
         spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
     spark.catalog.refreshTable(name)
+
+
+def register_partitions(spark: SparkSession, name: str, parts: DataFrame, page: int = 200) -> int:
+    """Add the partitions in ``parts``, a frame of the table's partition columns, to a
+    table's list, ``page`` at a time; nothing is listed.  A NULL partition has no name to
+    add it by: the list is then brought up to date as a whole.  Returns how many."""
+    columns = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    count, held = 0, []
+
+    def add() -> None:
+        if held:
+            spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(held)}")
+            held.clear()
+
+    for row in parts.select(*columns).distinct().toLocalIterator():
+        if any(v is None for v in row):
+            spark.sql(f"MSCK REPAIR TABLE {name} ADD PARTITIONS")
+            continue
+        values = [str(v).replace("\\", "\\\\").replace("'", "\\'") for v in row]
+        held.append(f"PARTITION ({', '.join(f"`{c}` = '{v}'" for c, v in zip(columns, values, strict=True))})")
+        count += 1
+        if len(held) == page:
+            add()
+    add()
+    spark.catalog.refreshTable(name)
+    return count

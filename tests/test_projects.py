@@ -1,11 +1,14 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from martflow.operators.merge import DuplicateKeys
-from martflow.plans import listings_project, projects, shop_project
+from martflow.functions import with_partitions
+from martflow.plans import Project, digests, listings_project, models, projects, shop_project
+from martflow.sources.catalog import discover_table, register_partitions
 from suite import inputs
 from tests.conftest import rows_of
 from tests.oracle import compare, connect
@@ -94,3 +97,75 @@ def test_results_do_not_depend_on_the_session_zone(spark, zone):
             assert compare(entry.QUERIES[name](spark, SF), con, entry.ORACLES[name]) == [], name
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+LOG = "id int, at timestamp_ntz, v double"
+
+
+def _log_project(spark, root, prefix, rows):
+    project = Project(spark, root, prefix)
+    project.source("log", spark.createDataFrame(rows, LOG))
+
+    @project.model("facts", refs=["log"], materialized="append", ts="at", late="all", partition_by=["month", "day"])
+    def _(ctx):
+        return with_partitions(ctx.ref("log"), "at", "day").drop("year")
+
+    return project
+
+
+def _files(root):
+    return {str(p): p.stat().st_mtime_ns for p in Path(root).rglob("*.parquet") if "_digests" not in str(p)}
+
+
+def test_append_looks_into_days_that_differ_only(spark, tmp_path, at, monkeypatch):
+    root = str(tmp_path)
+    rows = [(1, at("01-01 05:00"), 1.0), (2, at("01-02 05:00"), 2.0), (2, at("01-02 05:00"), 2.0), (3, None, 0.0), (4, at("01-03 05:00"), 4.0)]
+    assert _log_project(spark, root, "pd_", rows).run()["facts"].count() == 5
+    first = _files(root)
+    # A file that nobody must open, and no listing of all partitions after the first run.
+    (untouched,) = [f for f in first if "day=1/" in f]
+    whole = Path(untouched).read_bytes()
+    Path(untouched).write_bytes(b"not a Parquet file")
+    monkeypatch.setattr(models, "discover_table", None)
+    rows += [(2, at("01-02 05:00"), 2.0), (5, at("01-02 01:00"), 5.0), (6, at("01-04 00:00"), -0.0)]
+    _log_project(spark, root, "pd_", rows).run()
+    Path(untouched).write_bytes(whole)
+    for path, time in first.items():
+        assert path == untouched or _files(root)[path] == time
+    facts = spark.table("pd_mart.facts")
+    spark.catalog.refreshTable("pd_mart.facts")
+    assert rows_of(facts, "id") == [(1,), (2,), (2,), (2,), (3,), (4,), (5,), (6,)]
+    # Nothing new: nothing is written.
+    before = _files(root)
+    _log_project(spark, root, "pd_", rows).run()
+    assert _files(root) == before
+
+
+def test_append_after_a_run_that_ended_before_its_digests(spark, tmp_path, at, monkeypatch):
+    rows = [(1, at("01-01 05:00"), 1.0), (2, at("01-02 05:00"), 2.0)]
+    _log_project(spark, str(tmp_path), "pl_", rows).run()
+    rows += [(3, at("01-02 06:00"), 3.0), (4, at("01-05 06:00"), 4.0)]
+    monkeypatch.setattr(models, "keep_digests", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        _log_project(spark, str(tmp_path), "pl_", rows).run()
+    monkeypatch.undo()
+    facts = _log_project(spark, str(tmp_path), "pl_", rows).run()["facts"]
+    assert rows_of(facts, "id") == [(1,), (2,), (3,), (4,)]
+
+
+def test_digests_tell_multisets_apart(spark):
+    rows = lambda *ids: spark.createDataFrame([(i, None, float(i)) for i in ids], LOG)
+    digest = lambda df: digests.row_digests(df.withColumn("p", F.lit(1)), ["p"], ["id", "v"]).first()
+    assert digest(rows(1, 2, 3)) == digest(rows(3, 1, 2).repartition(3))
+    assert len({digest(rows(*ids)) for ids in ((1, 2), (1, 1, 2), (1, 2, 2), (1, 3), ())}) == 5
+
+
+def test_registered_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a'b"), (2, "c d/e"), (3, None), (4, "x")], "id int, p string")
+    df.where("id = 4").write.partitionBy("p").parquet(path)
+    discover_table(spark, path, "registered_parts")
+    df.where("id < 4").write.mode("append").partitionBy("p").parquet(path)
+    assert register_partitions(spark, "registered_parts", df.select("p"), page=2) == 3
+    assert rows_of(spark.table("registered_parts"), "id") == [(1,), (2,), (3,), (4,)]
+    spark.sql("DROP TABLE registered_parts")
