@@ -12,15 +12,17 @@ A model names what it reads; the project runs models after what they read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from martflow import storage
 from martflow.operators.checks import assert_checks
 from martflow.operators.merge import merge
 from martflow.operators.relational import in_types_of, union_by_name
+from martflow.plans.daily import refresh
 from martflow.plans.digests import changed_partitions, keep_digests
 from martflow.plans.incremental import (
     check_schema,
@@ -33,7 +35,7 @@ from martflow.sinks.tables import ensure_database, layout, publish
 from martflow.sinks.writers import in_partitions, stored_rows, write_partitions
 from martflow.sources.catalog import discover_table, register_partitions
 
-MATERIALIZED = ("view", "table", "ephemeral", "append", "merge")
+MATERIALIZED = ("view", "table", "ephemeral", "append", "merge", "daily")
 
 
 @dataclass
@@ -61,11 +63,12 @@ class Context:
     project: Project
     model: Model
     is_incremental: bool
+    given: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def ref(self, name: str) -> DataFrame:
         if name not in self.model.refs:
             raise KeyError(f"model {self.model.name} does not declare {name}")
-        return self.project.frames[name]
+        return self.given.get(name, self.project.frames[name])
 
     @property
     def this(self) -> DataFrame:
@@ -89,6 +92,10 @@ class Project:
     the source (see ``plans.digests``) are read and compared.  A ``merge`` model refuses a batch, the first one
     too, that repeats a key, unless its ``options`` say ``on_duplicate="latest"``.
     Checks of a table that is published as a whole run before it becomes visible.
+
+    A ``daily`` model's rows of a partition come from the same partition of its refs that
+    are stored with the same ``partition_by``, and from its other refs as a whole.  It is
+    built for the partitions whose files have changed since it was last made.
     """
 
     def __init__(self, spark: SparkSession, root: str, prefix: str = ""):
@@ -163,12 +170,15 @@ class Project:
     def _materialize(self, model: Model, full_refresh: bool) -> DataFrame:
         self._checked = False
         table = self.table_name(model)
-        stored = model.materialized in ("table", "append", "merge")
+        stored = model.materialized in ("table", "append", "merge", "daily")
         if stored:
             db = table.split(".")[0]
             ensure_database(self.spark, db, f"{self.root.rstrip('/')}/{db}")
         there = stored and self.spark.catalog.tableExists(table)
         incremental = there and model.materialized != "table" and not full_refresh
+        if model.materialized == "daily":
+            self._refresh(model, there and not full_refresh)
+            return self.spark.table(table)
         context = Context(self, model, incremental)
         rows = model.build(context)
         if model.materialized == "ephemeral":
@@ -187,6 +197,30 @@ class Project:
             self._publish(model, merged)
         return self.spark.table(table)
 
+    def _folder(self, model: Model) -> str:
+        return f"{self.root.rstrip('/')}/{self.table_name(model).replace('.', '/')}"
+
+    def _refresh(self, model: Model, there: bool) -> None:
+        by, path, table = tuple(model.partition_by), self._folder(model), self.table_name(model)
+        facts, others = {}, {}
+        for name in model.refs:
+            ref = self.models.get(name)
+            if ref and tuple(ref.partition_by) == by and ref.materialized in ("append", "merge", "daily"):
+                facts[name] = (self._folder(ref), self.frames[name])
+            else:
+                others[name] = self.frames[name]
+        if not there:
+            storage.delete(self.spark, path)
+
+        def build(parts: Mapping[str, DataFrame], wholes: Mapping[str, DataFrame]) -> DataFrame:
+            return model.build(Context(self, model, there, {**parts, **wholes}))
+
+        done = refresh(self.spark, path, by, build, facts, others)
+        if not there or (done and (done["parts"] is None or done["emptied"])):
+            discover_table(self.spark, path, table)
+        elif done:
+            register_partitions(self.spark, table, done["parts"])
+
     def _publish(self, model: Model, rows: DataFrame) -> None:
         laid_out = layout(rows, model.sort, model.cluster)
         check = (lambda staged: self._check(model, staged)) if model.checks else None
@@ -195,7 +229,7 @@ class Project:
 
     def _store_partitioned(self, model: Model, context: Context, rows: DataFrame) -> None:
         by, table = model.partition_by, self.table_name(model)
-        path = f"{self.root.rstrip('/')}/{table.replace('.', '/')}"
+        path = self._folder(model)
         if not context.is_incremental:
             write_partitions(self._first_rows(model, rows), path, by, mode="overwrite")
             if model.late == "all":

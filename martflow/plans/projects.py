@@ -23,6 +23,7 @@ SHOP_CHECKS = {
     "info_product_conversion_rate": {"not_null": ["product_id"]},
 }
 SHOP_SOURCES = ("customers", "products", "orders", "access_log")
+DAY_PARTS = ("year", "month", "day")
 LISTING_SOURCES = ("listings", "hosts", "reviews", "full_moons")
 
 def declared_checks(name: str, declared: Mapping = SHOP_CHECKS) -> list:
@@ -99,18 +100,20 @@ def shop_project(
         cluster=["order_id"],
     )
     facts = ["fact_accesslog", "fact_orders"]
-    add(
-        "info_product_conversion_rate",
-        [*facts, "dim_product"],
-        marts.product_conversion_daily,
-        layer="info",
-    )
-    add(
-        "info_customer_conversion_rate",
-        [*facts, "dim_customer"],
-        marts.customer_conversion_daily,
-        layer="info",
-    )
+    # Both facts lie by day, and so do the rates made from them: only days with new facts
+    # are made again.  Otherwise the rates are one table, made whole.
+    by_day = tuple(orders_by) == tuple(log_by) == DAY_PARTS
+
+    def add_rates(name, dimension, build):
+        def rates(*frames: DataFrame) -> DataFrame:
+            rows = build(*frames)
+            return with_partitions(rows, "view_date", "day") if by_day else rows
+
+        settings = {"partition_by": DAY_PARTS} if by_day else {}
+        add(name, [*facts, dimension], rates, "daily" if by_day else "table", "info", **settings)
+
+    add_rates("info_product_conversion_rate", "dim_product", marts.product_conversion_daily)
+    add_rates("info_customer_conversion_rate", "dim_customer", marts.customer_conversion_daily)
     return project
 
 

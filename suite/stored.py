@@ -769,7 +769,7 @@ def _shop(spark, sf, mart, first_orders=None, first_logs=None):
         for name, df in sources_now.items():
             project.source(name, df)
         frames = project.run([mart])
-    return frames[mart]
+    return frames[mart].drop("year", "month", "day")
 
 
 @query(
@@ -809,6 +809,26 @@ def shop_models_late_rows(spark, sf):
     )
 
 
+@query(
+    "shop_models_moved_orders",
+    f"WITH {LOGS_SQL}, {SHOP_SQL}, {_DIM_PRODUCT_SQL},"
+    + _conversion_sql("product_id", "product_name", "dim_product", "product_name", _ANY),
+)
+def shop_models_moved_orders(spark, sf):
+    """MDL-3, MART-2: the rates are kept by day.  The first run has every fifth order on
+    another day, so the second takes orders out of days, and has late log rows."""
+    logs, orders = parse_access_log(access_lines(spark, sf)), shop_orders(spark, sf)
+    away = F.when(F.col("order_id") % 5 == 0, F.expr("order_dt + interval 3 days")).otherwise(F.col("order_dt"))
+    earlier = F.expr("last_update_time - interval 1 day")
+    return _shop(
+        spark,
+        sf,
+        "info_product_conversion_rate",
+        orders.withColumns({"order_dt": away, "last_update_time": earlier}),
+        logs.where("coalesce(product_id, 0) % 4 > 0"),
+    )
+
+
 @query("merge_model_repeated_keys", f"WITH {SHOP_SQL} SELECT * FROM shop_orders")
 def merge_model_repeated_keys(spark, sf):
     """MDL-6: a first load with several versions of a key stores the newest; an older
