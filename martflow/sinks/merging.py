@@ -12,17 +12,15 @@ from pyspark.sql.types import StructType
 
 from martflow.operators.changes import CONTROL_COLUMNS, DELETE
 from martflow.operators.merge import in_key_range, key_facts, merge, refuse_repeats
-from martflow.operators.relational import union_by_name
 from martflow.sinks.tombstones import expire_deletes, held_deletes, keep_deletes
 from martflow.sinks.writers import (
     declare_schema,
     delete_unwritten,
-    held_partitions,
     in_partitions,
     is_empty_table,
-    partitions_of,
     replace_partitions,
     stored_like,
+    touched_partitions,
     with_file,
     write_partitions,
 )
@@ -87,8 +85,7 @@ def upsert_path(
         candidates = in_key_range(target, facts, keys[0])
         places = with_file(candidates, *keys, *(b for b in by if b not in keys))
         matched = places.join(source.select(*keys), list(keys), "left_semi")
-        held = held_partitions(matched, by)
-        touched = union_by_name(held.select("_p", "_on"), partitions_of(source, by))
+        touched, held = touched_partitions(matched, source, by)
         result = merge(in_partitions(target, by, touched), source, keys, schema=schema, **rules)
         written = replace_partitions(result, path, by, batch_id)
         emptied = delete_unwritten(stored_like(source, path, by, target.schema), by, held)

@@ -314,6 +314,14 @@ def with_file(target: DataFrame, *columns: str) -> DataFrame:
     return target.select(*columns, F.col(FILE).alias(ROWS_OF))
 
 
+def touched_partitions(matched: DataFrame, batch: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The partitions of ``with_file`` rows and of a batch, from one written list: all of
+    them, and those of the rows with one file of each."""
+    own = batch.select(_name(by).alias("_p"), F.lit(None).cast("string").alias(ROWS_OF))
+    listed = _kept_list(union_by_name(matched.select(_name(by).alias("_p"), ROWS_OF), own), "touched")
+    return listed.select("_p", "_on"), listed.where(F.col(ROWS_OF).isNotNull())
+
+
 def held_partitions(rows: DataFrame, by: Sequence[str], label: str = "held") -> DataFrame:
     """The distinct partitions of ``with_file`` rows, with one file of each, written out."""
     return _kept_list(rows.select(_name(by).alias("_p"), ROWS_OF), label)
