@@ -1,3 +1,4 @@
+from martflow.sinks.locations import index_keys, rows_that_may_match
 from martflow.sinks.merging import native_merge, reload, upsert_path
 from martflow.sinks.tables import (
     create_table,
@@ -28,6 +29,7 @@ __all__ = [
     "drop_partitions",
     "drop_table",
     "ensure_database",
+    "index_keys",
     "insert_into",
     "layout",
     "list_databases",
@@ -36,6 +38,7 @@ __all__ = [
     "publish",
     "reload",
     "replace_partitions",
+    "rows_that_may_match",
     "temp_view",
     "upsert_path",
     "write_bucketed",

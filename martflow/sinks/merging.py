@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from martflow.operators.changes import CONTROL_COLUMNS, DELETE
 from martflow.operators.merge import in_key_range, key_facts, merge, refuse_repeats
+from martflow.sinks.locations import index_keys, rows_that_may_match
 from martflow.sinks.tombstones import expire_deletes, held_deletes, keep_deletes
 from martflow.sinks.writers import (
     declare_schema,
@@ -41,6 +42,7 @@ def upsert_path(
     keep: bool = True,
     remember: bool = True,
     lateness: timedelta | None = None,
+    index: bool = False,
     **options,
 ) -> dict:
     """Merge a batch into a partitioned Parquet folder, rewriting touched partitions.
@@ -57,6 +59,10 @@ def upsert_path(
     ``lateness`` says how much older than the newest row of a batch a row can be; deletes
     from before that are forgotten.  ``remember=False`` keeps and asks nothing.
 
+    ``index`` keeps a Bloom filter of each file's keys beside the table (see
+    ``sinks.locations``) and opens only files that can hold a key of the batch: for keys
+    that are spread over the table, where a key range leaves nothing out.
+
     One aggregate of the batch gives its key range and finds repeated keys; then come
     the touched partitions, the write, and a look for emptied partitions.
     """
@@ -80,15 +86,21 @@ def upsert_path(
         if is_empty_table(spark, path):
             empty = spark.createDataFrame([], source.drop(op, *control).schema)
             declare_schema(spark, path, empty.schema)
-            return replace_partitions(merge(empty, source, keys, **rules), path, by, batch_id)
+            written = replace_partitions(merge(empty, source, keys, **rules), path, by, batch_id)
+            if index:
+                index_keys(stored_like(source, path, by, declared), path, keys)
+            return written
         target = stored_like(source, path, by, declared)
-        candidates = in_key_range(target, facts, keys[0])
+        may_match = rows_that_may_match(target, path, source, keys) if index else target
+        candidates = in_key_range(may_match, facts, keys[0])
         places = with_file(candidates, *keys, *(b for b in by if b not in keys))
         matched = places.join(source.select(*keys), list(keys), "left_semi")
         touched, held = touched_partitions(matched, source, by)
         result = merge(in_partitions(target, by, touched), source, keys, schema=schema, **rules)
         written = replace_partitions(result, path, by, batch_id)
         emptied = delete_unwritten(stored_like(source, path, by, target.schema), by, held)
+        if index:
+            index_keys(stored_like(source, path, by), path, keys)
         return {**written, "emptied": emptied}
     finally:
         if keep:

@@ -402,6 +402,21 @@ def upsert_path(spark, sf):
     return sources.scan_full(spark, root).drop(*parts)
 
 
+@query("upsert_indexed", _MERGED_SQL)
+def upsert_indexed(spark, sf):
+    """MRG-1: spread keys are looked up in filters of the table's files; two batches, the
+    first without updates, and both again."""
+    root = scratch_dir(spark, "orders")
+    target = with_partitions(order_target(spark, sf), "o_orderdate", "month")
+    parts = ["year", "month"]
+    sinks.write_partitions(target, root, parts, mode="overwrite")
+    changes = with_partitions(order_changes(spark, sf), "o_orderdate", "month")
+    plain = F.coalesce(F.col("Op"), F.lit("I")) == "I"
+    for batch in (changes.where(plain), changes.where(~plain), changes):
+        sinks.upsert_path(spark, root, batch, ["o_orderkey"], parts, index=True)
+    return sources.scan_full(spark, root).drop(*parts)
+
+
 @query(
     "moved_rows",
     """
