@@ -27,6 +27,7 @@ from martflow.operators.relational import (
     semi_join_max,
     union_frames,
 )
+from martflow.operators.skew import frequent_keys, skewed_join
 
 __all__ = [
     "assert_checks",
@@ -39,6 +40,7 @@ __all__ = [
     "check_not_nulls",
     "check_unique",
     "duplicate_keys",
+    "frequent_keys",
     "join_on_shifted_day",
     "join_single_value",
     "latest_changes",
@@ -48,6 +50,7 @@ __all__ = [
     "run_checks",
     "semi_join_max",
     "since_threshold",
+    "skewed_join",
     "split_changes",
     "touched_partitions",
     "ts_range",

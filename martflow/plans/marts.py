@@ -317,7 +317,8 @@ def product_conversion_percent(
     Every product is kept.  The date is the orders' date: a day with requests and
     no orders has none, and orders of a day without requests do not appear.
     ``ordered`` sorts by date and rate, both descending, for a report; a sort
-    before a partitioned write would be undone by it.
+    before a partitioned write would be undone by it.  Products and views break ties:
+    rows without a date, all at rate 0, are otherwise one range of the sort.
     """
     date = F.date_format(F.to_date("timestamp"), "yyyyMMdd").alias("_date")
     views = _daily(logs, ["product_id"], date, F.count(F.lit(1)).alias("_views"))
@@ -337,5 +338,5 @@ def product_conversion_percent(
         *(text_date_part("order_date", p).alias(p) for p in ("year", "month", "day")),
     )
     if ordered:
-        return mart.orderBy(F.col("order_date").desc(), F.col("conversion_rate").desc())
+        return mart.orderBy(F.col("order_date").desc(), F.col("conversion_rate").desc(), "product_id", "view_count")
     return mart

@@ -1,5 +1,6 @@
 from martflow.sinks.locations import index_keys, rows_that_may_match
 from martflow.sinks.merging import native_merge, reload, upsert_path
+from martflow.sinks.reports import read_sorted, write_sorted
 from martflow.sinks.tables import (
     create_table,
     drop_old_versions,
@@ -36,6 +37,7 @@ __all__ = [
     "list_tables",
     "native_merge",
     "publish",
+    "read_sorted",
     "reload",
     "replace_partitions",
     "rows_that_may_match",
@@ -43,4 +45,5 @@ __all__ = [
     "upsert_path",
     "write_bucketed",
     "write_partitions",
+    "write_sorted",
 ]

@@ -40,6 +40,7 @@ from suite.marts import (
     _MOONS_SQL,
     _PERCENT_SQL,
     _conversion_sql,
+    _staged_logs,
 )
 from suite.registry import query
 
@@ -381,6 +382,41 @@ def bucketed_join(spark, sf):
     return sources.table(spark, left).join(sources.table(spark, right), "o_orderkey")
 
 
+@query(
+    "skewed_join",
+    """
+SELECT e.event_id, e.o_custkey, c.c_name, e.value FROM (SELECT event_id, value,
+    CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 3 = 1 THEN NULL ELSE user_id END AS o_custkey
+  FROM events) e LEFT JOIN customer c ON c.c_custkey = e.o_custkey""",
+)
+def skewed_join(spark, sf):
+    """JN-8, MDL-8: bucketed sides; one key and NULL hold a third of the rows each."""
+    left, left_root = _name(spark, "events_bucketed")
+    right, right_root = _name(spark, "customers_bucketed")
+    key = F.expr("CASE event_id % 3 WHEN 0 THEN 1 WHEN 2 THEN user_id END")
+    events = given(spark, sf, "events").select("event_id", "value", key.cast("bigint").alias("o_custkey"))
+    customers = given(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("o_custkey"), "c_name")
+    sinks.write_bucketed(events, left, 8, ["o_custkey"], path=left_root)
+    sinks.write_bucketed(customers, right, 8, ["o_custkey"], path=right_root)
+    return op.skewed_join(sources.table(spark, left), sources.table(spark, right), ["o_custkey"], "left")
+
+
+@query(
+    "percent_report",
+    f"""
+SELECT *, row_number() OVER (ORDER BY order_date DESC NULLS LAST, conversion_rate DESC, product_id, view_count) AS position
+FROM ({_PERCENT_SQL})""",
+)
+def percent_report(spark, sf):
+    """SRT-1, MART-1: the sorted report, written and read back with each row's place."""
+    logs = _staged_logs(spark, sf)
+    mart = marts.product_conversion_percent(logs, shop_orders(spark, sf), shop_products(spark, sf))
+    root = scratch_dir(spark, "report")
+    order = [F.col("order_date").desc(), F.col("conversion_rate").desc()]
+    sinks.write_sorted(mart, root, order, ties=["product_id", "view_count"])
+    return sinks.read_sorted(spark, root)
+
+
 # --- merge into stored tables ----------------------------------------------
 
 _MERGED_SQL = f"""
