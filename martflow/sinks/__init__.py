@@ -1,3 +1,4 @@
+from martflow.sinks.checked import check_stored, check_unique_anywhere
 from martflow.sinks.locations import index_keys, rows_that_may_match
 from martflow.sinks.merging import native_merge, reload, upsert_path
 from martflow.sinks.reports import read_sorted, write_sorted
@@ -23,6 +24,8 @@ from martflow.sinks.writers import (
 )
 
 __all__ = [
+    "check_stored",
+    "check_unique_anywhere",
     "cluster_for_write",
     "compact",
     "create_table",

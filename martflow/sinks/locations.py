@@ -81,13 +81,13 @@ def _held(index: DataFrame) -> DataFrame:
     return blocks.groupBy("file").agg(F.sum("_own").alias("_own"), F.max("_rows").alias("_rows")).where("_own = _rows").select("file")
 
 
-def _listed(spark: SparkSession, path: str) -> DataFrame:
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
     """The table's files, from a listing; none is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
     return files.load(path).select(F.col(FILE).alias("file"))
 
 
-def _in_files(target: DataFrame, files: DataFrame, most: int) -> DataFrame | None:
+def in_files(target: DataFrame, files: DataFrame, most: int) -> DataFrame | None:
     """Rows of some files: their names are values in the plan, by which Spark's listing
     leaves out the others.  None if there are more than ``most``."""
     names = [r["file"] for r in files.select("file").distinct().limit(most + 1).toLocalIterator()]
@@ -111,7 +111,7 @@ def rows_that_may_match(
     index = _read(spark, path, types)
     # Powers of two: a few dozen values at most.
     levels = [r["blocks"] for r in index.select("blocks").distinct().toLocalIterator()]
-    listed = _listed(spark, path)
+    listed = listed_files(spark, path)
     files = listed.join(_held(index), "file", "left_anti")
     if levels:
         known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
@@ -123,7 +123,7 @@ def rows_that_may_match(
             on = on & _is_set(f"bits_{i}", _bit(i))
         hits = index.join(asked, on, "left_semi").select("file").distinct()
         files = union_by_name(files, listed.join(hits, "file", "left_semi"))
-    found = _in_files(target, files, max_files)
+    found = in_files(target, files, max_files)
     return target if found is None else found
 
 
@@ -138,9 +138,9 @@ def index_keys(target: DataFrame, path: str, keys: Sequence[str], max_files: int
     sets = _generations(spark, path)
     current = sets[-1] if sets else f"{path.rstrip('/')}/{FOLDER}/set-1"
     index = _read(spark, path, types)
-    held, listed = _held(index), _listed(spark, path)
+    held, listed = _held(index), listed_files(spark, path)
     fresh = listed.join(held, "file", "left_anti")
-    rows = _in_files(target, fresh, max_files)
+    rows = in_files(target, fresh, max_files)
     if rows is None:
         rows = target.join(fresh.select(F.col("file").alias("_f")), F.col(FILE) == F.col("_f"), "left_semi")
     _filters(rows, keys, types).write.mode("append").parquet(current)

@@ -417,6 +417,35 @@ def percent_report(spark, sf):
     return sinks.read_sorted(spark, root)
 
 
+_CHECKED_SQL = """
+WITH t AS (SELECT o_orderkey, o_custkey FROM orders UNION ALL
+  SELECT o_orderkey, nullif(o_custkey % 5, 0) FROM orders WHERE year(o_orderdate) = 1995),
+n AS (SELECT (SELECT count(*) FROM (SELECT o_orderkey FROM t GROUP BY 1 HAVING count(*) > 1)) AS twice,
+  (SELECT count(*) FROM t WHERE o_custkey IS NULL) AS nulls)
+SELECT 'unique' AS "check", 'o_orderkey' AS target, if(twice = 0, 'pass', 'error') AS status, twice AS failures FROM n
+UNION ALL SELECT 'not_null', 'o_custkey', if(nulls = 0, 'pass', 'error'), nulls FROM n
+UNION ALL SELECT 'unique', 'o_orderkey', if(twice = 0, 'pass', 'error'), twice FROM n"""
+
+
+@query("checked_partitions", _CHECKED_SQL)
+def checked_partitions(spark, sf):
+    """CHK-1, CHK-2: a second run reads the partition that has changed, and of the others
+    only files that can hold its keys."""
+    root = scratch_dir(spark, "orders")
+    orders = with_partitions(given(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderdate", "year")
+    sinks.write_partitions(orders, root, ["year"], mode="overwrite")
+
+    def run():
+        sinks.index_keys(writers.stored_rows(spark, root), root, ["o_orderkey"])
+        here = sinks.check_stored(spark, root, unique=["o_orderkey"], not_null=["o_custkey"])
+        return here.union(sinks.check_unique_anywhere(spark, root, ["o_orderkey"]))
+
+    run()
+    more = orders.where("year = 1995").withColumn("o_custkey", F.expr("nullif(o_custkey % 5, 0)"))
+    sinks.write_partitions(more, root, ["year"], mode="append")
+    return run()
+
+
 # --- merge into stored tables ----------------------------------------------
 
 _MERGED_SQL = f"""

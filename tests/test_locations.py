@@ -78,7 +78,7 @@ def test_unknown_files_partial_entries_and_gone_files(spark, tmp_path):
     sinks.index_keys(writers.stored_rows(spark, root), root, ["k"])
     after = locations._generations(spark, root)
     assert [f.rsplit("/", 1)[-1] for f in after] == ["set-2"]
-    assert locations._held(locations._read(spark, root, "k:bigint")).count() == locations._listed(spark, root).count()
+    assert locations._held(locations._read(spark, root, "k:bigint")).count() == locations.listed_files(spark, root).count()
 
 
 def test_text_keys_nulls_and_other_types(spark, tmp_path):
