@@ -24,6 +24,7 @@ from martflow.sources.files import (
     seed,
     unprocessed_files,
 )
+from martflow.sources.ledger import mark_files, next_files
 
 __all__ = [
     "Bookmarks",
@@ -33,9 +34,11 @@ __all__ = [
     "discover_table",
     "hours_between",
     "local_clock",
+    "mark_files",
     "mark_processed",
     "newest_day",
     "newest_hour",
+    "next_files",
     "oldest_hour",
     "prune_hours",
     "read_unprocessed",

@@ -1,3 +1,4 @@
+from martflow.streaming.once import add_once, lines_once
 from martflow.streaming.sinks import (
     compact_routed,
     hourly_rows,
@@ -13,13 +14,15 @@ from martflow.streaming.sources import (
     stream_topic,
     topic_rows,
 )
-from martflow.streaming.upsert import malformed_lines, merge_batches, stream_access_log, stream_upsert
+from martflow.streaming.upsert import malformed_lines, merge_batches, stream_access_log, stream_upsert, timed_lines
 
 __all__ = [
+    "add_once",
     "compact_routed",
-    "malformed_lines",
     "hourly_rows",
     "kafka_available",
+    "lines_once",
+    "malformed_lines",
     "merge_batches",
     "route_to_tables",
     "routed_table",
@@ -30,5 +33,6 @@ __all__ = [
     "stream_text",
     "stream_topic",
     "stream_upsert",
+    "timed_lines",
     "topic_rows",
 ]

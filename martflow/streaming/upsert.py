@@ -75,16 +75,22 @@ def stream_access_log(
 
     ``keys`` identify a line (its place in the log).  By default a line counts as a
     repeat however late it comes, and its key is kept for good; ``lateness`` bounds that
-    state by event time, and a line later than that is dropped.  Malformed lines have no
+    state by event time, and a line later than that is dropped; ``lines_once`` keeps such
+    lines too, and no state.  Malformed lines have no
     time: ``malformed_lines`` gives them, for an output of their own.  The state is best
     held on disk (``session.DEFAULTS`` says how).
     """
-    timed = _timed(lines, keys, col).where(F.col("event_time").isNotNull())
+    timed = timed_lines(lines, keys, col)
     if lateness is None:
         return timed.dropDuplicates([*keys])
     return timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark([*keys])
 
 
+def timed_lines(lines: DataFrame, keys: Sequence[str], col: str = "log") -> DataFrame:
+    """Parsed lines that have a time, repeats included."""
+    return _timed(lines, keys, col).where(F.col("event_time").isNotNull())
+
+
 def malformed_lines(lines: DataFrame, keys: Sequence[str], col: str = "log") -> DataFrame:
     """The lines that ``stream_access_log`` leaves out because no time can be read."""
     return _timed(lines, [*keys, col], col).where(F.col("event_time").isNull()).select(*keys, col)

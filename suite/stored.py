@@ -256,6 +256,33 @@ def unprocessed_files(spark, sf):
     return spark.read.parquet(out)
 
 
+@query(
+    "paged_files",
+    """
+SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT * FROM customer WHERE c_acctbal >= 0""",
+)
+def paged_files(spark, sf):
+    """SRC-8: four loads of a folder in pages of two files, oldest first; each load looks at
+    an hour before the newest file read only."""
+    root, ledger = scratch_dir(spark, "inbox"), scratch_dir(spark, "ledger")
+    out = scratch_dir(spark, "loaded")
+    customer = given(spark, sf, "customer")
+    customer.limit(0).write.parquet(out)
+    batches = [customer.repartition(3), None, customer.where("c_acctbal < 0"), customer.where("c_acctbal >= 0")]
+    for hour, batch in enumerate(batches):
+        if batch is not None:
+            batch.write.mode("append").parquet(root)
+        while True:
+            page = sources.next_files(spark, root, ledger, timedelta(hours=1), page=2).persist()
+            if page.isEmpty():
+                break
+            sources.read_unprocessed(spark, page, customer.schema).write.mode("append").parquet(out)
+            sources.mark_files(page, ledger, datetime(2024, 1, 1, hour))
+            page.unpersist()
+    return spark.read.parquet(out)
+
+
 # --- sinks -----------------------------------------------------------------
 
 
@@ -1242,6 +1269,27 @@ def tailed_lines(spark, sf):
     return spark.read.parquet(out)
 
 
+@query(
+    "stream_late_lines",
+    f"""
+WITH {LOGS_SQL} SELECT event_id, endpoint, product_id, stamp AS event_time FROM logs
+WHERE stamp IS NOT NULL""",
+)
+def stream_late_lines(spark, sf):
+    """STR-2: half of the lines come weeks after later ones, all of them twice; none is lost
+    and none doubled, without a state that grows."""
+    landing, out = scratch_dir(spark, "lines"), scratch_dir(spark, "once")
+    checkpoint = scratch_dir(spark, "progress")
+    lines = access_lines(spark, sf).select("event_id", "log")
+    for part in (lines.where("event_id % 2 = 0"), lines):
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(lines.schema).parquet(landing)
+        parsed = streaming.timed_lines(stream, ["event_id"])
+        parsed = parsed.withColumn("event_time", F.to_timestamp_ntz("timestamp"))
+        streaming.lines_once(parsed, out, ["event_id"], checkpoint, index=True).awaitTermination()
+    return writers.stored_rows(spark, out).select("event_id", "endpoint", "product_id", "event_time")
+
+
 @query(
     "stream_access_log",
     f"""
