@@ -104,12 +104,15 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = 8,
     last[ends[counts > 0] - 1] = True
     owner_ends = ends
     rules, lengths = [], np.ones(base, dtype=np.int64)
+    # Where a pair starts that may still be frequent.  The count of a pair only falls, and all
+    # new neighbours hold a new symbol, so a rare pair is looked at no more.
+    live = ~last
     while len(seq) >= 2 and room > 0:
         fits = base + sum(map(len, rules)) <= 1 << 16
-        keys = (seq[:-1] << np.uint32(16)) if fits else (seq[:-1].astype(np.uint64) << np.uint64(32))
-        keys |= seq[1:]
-        ordered = keys[~last[:-1]]
-        ordered.sort()
+        at = np.flatnonzero(live)
+        keys = (seq[at] << np.uint32(16)) if fits else (seq[at].astype(np.uint64) << np.uint64(32))
+        keys |= seq[at + 1]
+        ordered = np.sort(keys)
         if len(ordered) < min_count:
             break
         # A key is frequent if the one min_count - 1 places on is equal.
@@ -119,6 +122,11 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = 8,
         found, n = found[edge], np.diff(np.append(edge, len(found))) + min_count - 1
         if not len(found):
             break
+        bits = max(16, len(found).bit_length() + 4)
+        slots = np.zeros(1 << bits, dtype=bool)
+        slots[_spread(found, bits)] = True
+        some = np.flatnonzero(slots[_spread(keys, bits)])  # a few rare ones share a slot and stay
+        at, keys = at[some], keys[some]
         # Pairs of far lower counts wait: this round's new symbols may form better ones.
         good = n * _FACTOR >= n.max()
         found, n = found[good], n[good]
@@ -127,14 +135,15 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = 8,
             top = np.sort(np.argpartition(-n, take - 1)[:take])
             found, n = found[top], n[top]
         first_new = base + sum(map(len, rules))
-        where, chosen = _occurrences(found, keys, last)
+        spots, which = _occurrences(found, keys, at)
+        where, chosen = _apart(spots, which)
         # A rule that its neighbours leave next to nothing in this round is not made yet.
         used = np.bincount(chosen, minlength=len(found)) >= max(2, min_count // 2)
         if not used.all():
             if not used.any():
                 used[np.argmax(n)] = True
-            found = found[used]
-            where, chosen = _occurrences(found, keys, last)
+            found, ours = found[used], used[which]
+            where, chosen = _apart(spots[ours], (np.cumsum(used) - 1)[which[ours]])
         wide = found.astype(np.uint64)
         half = np.uint64(16) if fits else np.uint64(32)
         pair = np.stack((wide >> half, wide & ((np.uint64(1) << half) - np.uint64(1))), axis=1).astype(np.uint32)
@@ -143,31 +152,37 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = 8,
         room -= len(found)
         seq[where] = first_new + chosen
         last[where] = last[where + 1]
+        live[:] = False
+        live[at] = True
+        beside = np.concatenate((where, where[where > 0] - 1))
+        live[beside] = ~last[beside]
+        owner_ends = owner_ends - np.searchsorted(where + 1, owner_ends)
         keep = np.ones(len(seq), dtype=bool)
         keep[where + 1] = False
-        gone = np.concatenate(([0], np.cumsum(~keep)))
-        owner_ends = owner_ends - gone[owner_ends]
-        seq, last = seq[keep], last[keep]
+        kept = np.flatnonzero(keep)
+        seq, last, live = seq[kept], last[kept], live[kept]
     table_of = np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32)
     return table_of, lengths[base:], seq, np.diff(np.concatenate(([0], owner_ends)))
 
 
-def _occurrences(found: np.ndarray, keys: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the pairs ``found`` (sorted) are replaced, and which of them at each place."""
+def _occurrences(found: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs ``found`` (sorted) start among ``keys`` at the places ``at``, and
+    which of them at each."""
     bits = max(16, len(found).bit_length() + 3)
-    spread = _spread(found, bits)
     table = np.full(1 << bits, -1, dtype=np.int32)
-    table[spread] = np.arange(len(found), dtype=np.int32)
+    table[_spread(found, bits)] = np.arange(len(found), dtype=np.int32)
     which = table[_spread(keys, bits)]
-    where = np.flatnonzero(which >= 0)
-    where = where[~last[where]]
-    which = which[where]
-    other = np.flatnonzero(found[which] != keys[where])
+    hit = np.flatnonzero(which >= 0)
+    which, keys = which[hit], keys[hit]
+    other = np.flatnonzero(found[which] != keys)
     # Another pair has the slot: look for those that share it.
-    which[other] = np.minimum(np.searchsorted(found, keys[where[other]]), len(found) - 1)
-    right = found[which] == keys[where]
-    where, which = where[right], which[right]
-    # In a run of overlapping occurrences every second one is replaced.
+    which[other] = np.minimum(np.searchsorted(found, keys[other]), len(found) - 1)
+    right = found[which] == keys
+    return at[hit[right]], which[right]
+
+
+def _apart(where: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a run of overlapping occurrences every second one: those are replaced."""
     new_run = np.concatenate(([True], np.diff(where) > 1))[: len(where)]
     run_start = where[new_run][np.cumsum(new_run) - 1]
     second = (where - run_start) % 2 == 0
