@@ -1,5 +1,6 @@
 """Full texts of common licences, word for word as their stewards publish them."""
 
+# Public texts.
 # fmt: off
 TEXTS = {
     "Apache-2.0": """
