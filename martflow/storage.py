@@ -33,6 +33,15 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def size_of_tree(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number of files and of folders below a folder; one call."""
+    fs, p = _resolve(spark, path)
+    if not fs.exists(p):
+        return 0, 0
+    found = fs.getContentSummary(p)
+    return found.getFileCount(), found.getDirectoryCount() - 1
+
+
 def has_data(spark: SparkSession, path: str) -> bool:
     """True if a folder holds anything but marker files, at any depth.  Stops at the
     first file."""

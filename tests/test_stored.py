@@ -346,6 +346,21 @@ def test_a_wider_batch_takes_the_tables_types(spark, tmp_path):
     assert rows_of(got, "k", "n") == [(1, 11), (2, 20), (3, 30)]
 
 
+def test_bookmarks_compact_themselves(spark, tmp_path, at):
+    root = tmp_path / "marks"
+    marks = sources.Bookmarks(spark, str(root), keep=3)
+    for i in range(1, 9):
+        marks.advance("a b/c", at(f"01-0{i} 00:00"), at(f"02-0{i} 00:00"))
+        assert marks.get("a b/c") == at(f"01-0{i} 00:00")
+        marks.set("late", at("01-01 00:00"), at("02-01 00:00"))
+        assert len(list(root.glob("table_name=*/*.json"))) <= 6
+    # The bookmark in force stays, though an older run has set another since.
+    marks.set("a b/c", at("01-03 00:00"), at("02-03 00:00"))
+    marks.compact()
+    assert marks.get("a b/c") == at("01-08 00:00") and marks.get("late") == at("01-01 00:00")
+    assert marks.history().count() == 2
+
+
 def test_compact_keeps_rows(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.range(100).withColumn("p", F.col("id") % 3)
