@@ -50,18 +50,18 @@ def _aligned(target: DataFrame, upserts: DataFrame, schema: str) -> DataFrame:
     return in_types_of(upserts, target)
 
 
-def _not_stale(target: DataFrame, source: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+def _not_stale(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], ts: str, matched: DataFrame | None = None
+) -> DataFrame:
     """Source rows at least as new as the target's rows of the same key.
 
     Only keys and times of the target are read, and only those the source also
-    has go on, so what is aggregated is bounded by the source.
+    has go on, so what is aggregated is bounded by the source.  ``matched`` has those
+    rows, if the caller has looked for them already.
     """
-    theirs = (
-        target.select(*keys, F.col(ts).alias("_held"))
-        .join(source.select(*keys), list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.max("_held").alias("_held"))
-    )
+    if matched is None:
+        matched = target.join(source.select(*keys), list(keys), "left_semi")
+    theirs = matched.select(*keys, F.col(ts).alias("_held")).groupBy(*keys).agg(F.max("_held").alias("_held"))
     newer = F.col("_held").isNull() | (F.col(ts) >= F.col("_held"))
     return source.join(theirs, list(keys), "left").where(newer).select(*source.columns)
 
@@ -104,6 +104,7 @@ def merge(
     tie_break: Sequence[str | Column] = (),
     schema: str = "strict",
     deleted: DataFrame | None = None,
+    matched: DataFrame | None = None,
 ) -> DataFrame:
     """The target after the changes of ``source``: matched keys replaced, new keys
     inserted, and keys whose change is a delete removed.
@@ -117,6 +118,8 @@ def merge(
       key, copies older than the source row go in any case.
     - ``deleted`` has the keys and times (``newer_than``) of earlier deletes: a source row
       that is no newer than the delete of its key is ignored.
+    - ``matched`` has the keys and times of all target rows whose key the source has, for
+      callers that know them: the target is then read once.
     - ``schema="evolve"`` adds the source's new columns to the table and fills
       columns the source has lost with NULL.
 
@@ -135,7 +138,7 @@ def merge(
             raise ValueError("deleted needs newer_than")
         source = _not_deleted(source, deleted, keys, newer_than, op)
     kept = _kept(target, source, keys, newer_than)
-    fresh = source if newer_than is None else _not_stale(target, source, keys, newer_than)
+    fresh = source if newer_than is None else _not_stale(target, source, keys, newer_than, matched)
     if op in fresh.columns:
         upserts, _ = split_changes(fresh, op, [op, *control])
     else:
@@ -144,20 +147,27 @@ def merge(
     return union_by_name(kept, upserts, allow_missing=schema == "evolve")
 
 
-def key_facts(source: DataFrame, keys: Sequence[str], op: str | None = None, ts: str | None = None) -> dict:
+def key_facts(
+    source: DataFrame, keys: Sequence[str], op: str | None = None, ts: str | None = None, repeats: bool = True
+) -> dict:
     """Smallest and largest first key of a batch, and a repeated key if there is one; with
-    ``op`` whether it has deletes, with ``ts`` its first and last time.  One job."""
+    ``op`` whether it has deletes, with ``ts`` its first and last time.  One job.
+    ``repeats=False`` does not look for repeated keys, and groups nothing."""
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
     gone = F.coalesce(F.col(op) == DELETE, F.lit(False)) if op in source.columns else F.lit(False)
     time = F.col(ts) if ts else F.lit(None).cast("timestamp_ntz")
-    per_key = source.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(gone).alias("_gone"), F.min(time).alias("_since"), F.max(time).alias("_until")
-    )
-    repeated = F.when(known & (F.col("_n") > 1), F.to_json(F.struct(*keys)))
+    if repeats:
+        per_key = source.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.max(gone).alias("_gone"), F.min(time).alias("_since"), F.max(time).alias("_until")
+        )
+        repeated = F.min(F.when(known & (F.col("_n") > 1), F.to_json(F.struct(*keys))))
+    else:
+        per_key = source.select(*keys, gone.alias("_gone"), time.alias("_since"), time.alias("_until"))
+        repeated = F.lit(None).cast("string")
     row = per_key.agg(
         F.min(keys[0]).alias("low"),
         F.max(keys[0]).alias("high"),
-        F.min(repeated).alias("repeated"),
+        repeated.alias("repeated"),
         F.coalesce(F.max("_gone"), F.lit(False)).alias("deletes"),
         F.min("_since").alias("since"),
         F.max("_until").alias("until"),

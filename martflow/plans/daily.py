@@ -24,7 +24,6 @@ from martflow.sinks.writers import (
     in_partitions,
     replace_partitions,
     stored_rows,
-    with_file,
     write_partitions,
 )
 
@@ -104,7 +103,7 @@ def refresh(
         seen, done = staged, {"parts": None, "emptied": 0}
     else:
         rows = build({n: in_partitions(frame, by, days) for n, (_, frame) in facts.items()}, others)
-        before = held_partitions(with_file(in_partitions(stored_rows(spark, path), by, days), *by), by)
+        before = held_partitions(stored_rows(spark, path), by, days)
         replace_partitions(rows, path, by)
         emptied = delete_unwritten(stored_rows(spark, path), by, before)
         done = {"parts": in_partitions(stored_rows(spark, path), by, days).select(*by), "emptied": emptied}

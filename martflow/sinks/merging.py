@@ -22,7 +22,6 @@ from martflow.sinks.writers import (
     replace_partitions,
     stored_like,
     touched_partitions,
-    with_file,
     write_partitions,
 )
 
@@ -68,11 +67,12 @@ def upsert_path(
     """
     if keep:
         source = source.persist(StorageLevel.MEMORY_AND_DISK)
+    matched = None
     rules = {"op": op, "control": control, **options}
     try:
         ts = options.get("newer_than")
         recalled = remember and ts is not None and options.get("deletes", "apply") == "apply"
-        facts = key_facts(source, keys, op, ts if recalled else None)
+        facts = key_facts(source, keys, op, ts if recalled else None, repeats=on_duplicate == "error")
         if on_duplicate == "error":
             refuse_repeats(facts)
             on_duplicate = "trust"
@@ -93,9 +93,12 @@ def upsert_path(
         target = stored_like(source, path, by, declared)
         may_match = rows_that_may_match(target, path, source, keys) if index else target
         candidates = in_key_range(may_match, facts, keys[0])
-        places = with_file(candidates, *keys, *(b for b in by if b not in keys))
+        places = candidates.select(*dict.fromkeys([*keys, *by, *([ts] if ts else [])]))
         matched = places.join(source.select(*keys), list(keys), "left_semi")
-        touched, held = touched_partitions(matched, source, by)
+        if ts is not None:
+            # Bounded by the batch, and asked twice: for its places and for its times.
+            rules["matched"] = matched.persist(StorageLevel.MEMORY_AND_DISK)
+        touched, held = touched_partitions(matched, source, target, by)
         result = merge(in_partitions(target, by, touched), source, keys, schema=schema, **rules)
         written = replace_partitions(result, path, by, batch_id)
         emptied = delete_unwritten(stored_like(source, path, by, target.schema), by, held)
@@ -103,6 +106,8 @@ def upsert_path(
             index_keys(stored_like(source, path, by), path, keys)
         return {**written, "emptied": emptied}
     finally:
+        if matched is not None:
+            matched.unpersist()
         if keep:
             source.unpersist()
 

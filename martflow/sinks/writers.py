@@ -16,7 +16,7 @@ from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import FractionalType, StructField, StructType
 
 from martflow import storage
 from martflow.operators.changes import latest_changes
@@ -27,7 +27,7 @@ from martflow.session import scratch_dir, shared_dir
 MODES = ("overwrite_partitions", "overwrite", "append", "merge_partitions")
 # The stored schema, beside the table.  Readers skip names with an underscore.
 SCHEMA_FILE = "_martflow_schema.json"
-FILE, ROWS_OF = "_metadata.file_path", "_held_file"
+FILE, PLACE, ROWS_OF = "_metadata.file_path", "_metadata.row_index", "_held_file"
 
 
 def cluster_for_write(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -46,6 +46,13 @@ def _name(by: Sequence[str]) -> Column:
     return F.concat_ws("/", *value)
 
 
+def _parts(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The distinct partitions of a frame.  Fractions as text, as two can be equal and lie
+    in two folders (0.0, -0.0)."""
+    fractions = [c for c in by if isinstance(df.schema[c].dataType, FractionalType)]
+    return df.select(*(F.col(c).cast("string").alias(c) if c in fractions else c for c in by)).distinct()
+
+
 def partitions_of(df: DataFrame, by: Sequence[str], label: str = "partitions") -> DataFrame:
     """The distinct partitions of a frame, by name, written out."""
     return _kept_list(df.select(_name(by).alias("_p")), label)
@@ -314,17 +321,24 @@ def with_file(target: DataFrame, *columns: str) -> DataFrame:
     return target.select(*columns, F.col(FILE).alias(ROWS_OF))
 
 
-def touched_partitions(matched: DataFrame, batch: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The partitions of ``with_file`` rows and of a batch, from one written list: all of
-    them, and those of the rows with one file of each."""
-    own = batch.select(_name(by).alias("_p"), F.lit(None).cast("string").alias(ROWS_OF))
-    listed = _kept_list(union_by_name(matched.select(_name(by).alias("_p"), ROWS_OF), own), "touched")
-    return listed.select("_p", "_on"), listed.where(F.col(ROWS_OF).isNotNull())
+def files_of(target: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The files of a stored frame and the partition of each: the first row of every file."""
+    return with_file(target.where(F.col(PLACE) == 0), *by)
+
+
+def touched_partitions(
+    matched: DataFrame, batch: DataFrame, target: DataFrame, by: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """The partitions of rows of a stored ``target`` and of a batch, from one written list:
+    all of them, and those of the rows with one file of each."""
+    theirs, own = (_parts(df, by).select(_name(by).alias("_p"), F.lit(new).alias("_new")) for df, new in ((matched, 0), (batch, 1)))
+    listed = _kept_list(union_by_name(theirs, own), "touched")
+    return listed.select("_p", "_on"), held_partitions(target, by, listed.where("_new = 0"))
 
 
-def held_partitions(rows: DataFrame, by: Sequence[str], label: str = "held") -> DataFrame:
-    """The distinct partitions of ``with_file`` rows, with one file of each, written out."""
-    return _kept_list(rows.select(_name(by).alias("_p"), ROWS_OF), label)
+def held_partitions(target: DataFrame, by: Sequence[str], names: DataFrame, label: str = "held") -> DataFrame:
+    """The partitions of a stored frame that are in a list, with one file of each, written out."""
+    return _kept_list(files_of(in_partitions(target, by, names), by).select(_name(by).alias("_p"), ROWS_OF), label)
 
 
 def delete_unwritten(target: DataFrame, by: Sequence[str], held: DataFrame) -> int:
@@ -332,7 +346,7 @@ def delete_unwritten(target: DataFrame, by: Sequence[str], held: DataFrame) -> i
 
     A dynamic overwrite leaves alone a partition that it has no row for.  One that was
     replaced has new files only, so a file known from before means that it was not."""
-    now = in_partitions(with_file(target, *by), by, held).select(F.col(ROWS_OF).alias("f")).distinct()
+    now = files_of(in_partitions(target, by, held), by).select(F.col(ROWS_OF).alias("f"))
     before = held.select(F.col(ROWS_OF).alias("_was"))
     return _delete_folders(target.sparkSession, now.join(before, F.col("f") == F.col("_was"), "left_semi"))
 

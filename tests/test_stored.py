@@ -806,6 +806,46 @@ def test_only_months_from_the_oldest_row_on_are_asked(spark, tmp_path, at):
     assert "deleted_month" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
+def _tables_read(df):
+    """Folders that a frame reads by itself; cached frames are none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    found = [leaf for leaf in found if leaf.getClass().getSimpleName() == "LogicalRelation"]
+    return [leaf.relation().location().rootPaths().head().toUri().getPath() for leaf in found]
+
+
+def test_a_merge_by_time_reads_the_table_once(spark, tmp_path, at, monkeypatch):
+    from martflow.sinks import merging
+
+    path, read, replace = str(tmp_path / "t"), [], merging.replace_partitions
+    _merge(spark, path, (1, at("01-01 00:00"), "a", "I"), (2, at("01-05 00:00"), "b", "I"), (3, at("01-01 00:00"), "c", "I"))
+    monkeypatch.setattr(merging, "replace_partitions", lambda df, *a: read.extend(_tables_read(df)) or replace(df, *a))
+    _merge(spark, path, (1, at("01-02 00:00"), "a2", "U"), (2, at("01-04 00:00"), "old", "U"), (4, at("01-02 00:00"), "d", "I"))
+    assert read.count(path) == 1 and _ids(spark, path) == [(1, "a2"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_a_merge_takes_one_row_of_each_file(spark, tmp_path, monkeypatch):
+    path, aggregated, write_list = str(tmp_path / "t"), [], writers._kept_list
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id", "id % 3 as p")
+    for _ in range(2):  # two files in each partition and task
+        rows.write.mode("append").partitionBy("p").parquet(path)
+
+    def counted(names, label):
+        aggregated.append(names.count())
+        return write_list(names, label)
+
+    monkeypatch.setattr(writers, "_kept_list", counted)
+    batch = rows.where("p < 2").withColumn("Op", F.when(F.col("p") == 0, "D").otherwise("U"))
+    done = sinks.upsert_path(spark, path, batch, ["id"], ["p"])
+    assert done["emptied"] == 1 and max(aggregated) <= 2 * 2 * 4
+    assert rows_of(spark.read.parquet(path).groupBy("p").count()) == [(1, 333), (2, 666)]
+
+
+def test_partitions_of_fractions_keep_their_folders(spark):
+    frame = spark.sql("select * from values (0.0D), (-0.0D), (null), (1.5D), (1.5D) as t(p)")
+    assert sorted(r["_p"] for r in writers._parts(frame, ["p"]).select(writers._name(["p"]).alias("_p")).collect()) == ["\0", "-0.0", "0.0", "1.5"]
+
+
 def test_versions_that_are_no_times(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda *r: spark.createDataFrame(list(r), "id int, n long, Op string, p int")
