@@ -135,7 +135,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = 8,
             top = np.sort(np.argpartition(-n, take - 1)[:take])
             found, n = found[top], n[top]
         first_new = base + sum(map(len, rules))
-        spots, which = _occurrences(found, keys, at)
+        spots, which = _starts(found, keys, at)
         where, chosen = _apart(spots, which)
         # A rule that its neighbours leave next to nothing in this round is not made yet.
         used = np.bincount(chosen, minlength=len(found)) >= max(2, min_count // 2)
@@ -165,7 +165,14 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = 8,
     return table_of, lengths[base:], seq, np.diff(np.concatenate(([0], owner_ends)))
 
 
-def _occurrences(found: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _occurrences(found: np.ndarray, keys: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs ``found`` (sorted) are replaced, and which of them at each place, of
+    the keys of all places but those that are ``last``."""
+    at = np.flatnonzero(~last)
+    return _apart(*_starts(found, keys[at], at))
+
+
+def _starts(found: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the pairs ``found`` (sorted) start among ``keys`` at the places ``at``, and
     which of them at each."""
     bits = max(16, len(found).bit_length() + 3)
